@@ -19,6 +19,11 @@ def last_where(values: Column, test) -> Column:
     return F.try_element_at(F.filter(values, lambda v: test(v)), F.lit(-1))
 
 
+def words(values) -> Column:
+    """Constant array of words, built in one call instead of one per word."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
 def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add ``value`` as a column that later steps read instead of computing it again.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelode import schema as S
 from pagelode.functions import html as H
-from pagelode.functions.binding import evaluate_once, let
+from pagelode.functions.binding import evaluate_once, let, words
 from pagelode.functions.text import clean_text, iso_text, missing_to_null
 from pagelode.functions.urls import is_valid_url
 from pagelode.functions.validity import is_iso_timestamp
@@ -56,15 +56,14 @@ def spec_cells(markup: Column) -> Column:
 
 def field_of_label(label: Column) -> Column:
     """The column of a label, null for a label that is not on the list."""
-    known = F.lit(list(S.SPEC_LABELS))
-    return F.get(F.lit(list(S.SPEC_FIELDS)), F.array_position(known, label) - F.lit(1))
+    return F.get(words(S.SPEC_FIELDS), F.array_position(words(S.SPEC_LABELS), label) - F.lit(1))
 
 
 def field_values(cells: Column) -> Column:
     """For every column in turn the last value that a page gives it."""
     def lookup(found: Column) -> Column:
         return F.transform(
-            F.lit(list(S.SPEC_LABELS)),
+            words(S.SPEC_LABELS),
             lambda label: F.get(found["values"], F.array_position(found["labels"], label) - F.lit(1)))
 
     backwards = F.reverse(cells)
@@ -98,26 +97,35 @@ def widen(specs: DataFrame) -> DataFrame:
     return specs.groupBy("url").pivot("field", list(S.SPEC_FIELDS)).agg(last)
 
 
-def parse_details(pages: DataFrame) -> DataFrame:
+def parse_details(pages: DataFrame, every_status: bool = False) -> DataFrame:
     """Detail pages to wide, conformed rows with a ``valid`` flag.
 
     ``image_url`` is null here, since only a listing knows it; ``fetched_at`` stays so that
-    captures can be told apart.
+    captures can be told apart. ``every_status`` also gives rows, unparsed, for pages that were not
+    fetched well, and the column ``status_code``.
     """
+    if every_status:
+        ready = pages.where(F.col("kind") == "detail").select(
+            "url", "fetched_at", "status_code",
+            F.when(F.col("status_code") == 200, F.col("html")).alias("html"))
+    else:
+        ready = parsable(pages).select("url", "fetched_at", "html")
+
     def finds(markup: Column) -> Column:
         return F.struct(let(spec_cells(markup), field_values).alias("fields"),
                         price_block(markup).alias("prices"))
 
-    found = evaluate_once(
-        parsable(pages).select("url", "fetched_at", "html"),
-        "_found", let(H.element_markup(F.col("html")), finds)).drop("html")
-    values = {f: F.col("_found.fields")[i] for i, f in enumerate(S.SPEC_FIELDS)}
-    values |= {f: F.col(f"_found.prices.{f}") for f in S.PRICE_FIELDS}
-    values |= {f: clean_text(values[f]) for f in ("price_old", "price_savings", "price_updated")}
+    found = evaluate_once(ready, "_found", let(H.element_markup(F.col("html")), finds)).drop("html")
+    extra = [c for c in ("fetched_at", "status_code") if c in ready.columns]
+    fields = [f"_found.fields[{i}] AS {f}" for i, f in enumerate(S.SPEC_FIELDS)]
+    wide = found.selectExpr("url", *extra, *fields, "_found.prices.*")
     # D13. Times come from the archive, so a rerun gives the same rows.
-    values |= {"detail_url": clean_text(F.col("url")), "image_url": F.lit(None).cast("string"),
-               "scraped_at": iso_text(F.col("fetched_at"))}
-    wide = found.select(*[values[c].alias(c) for c in S.PRODUCT_COLUMNS], "fetched_at")
+    wide = wide.withColumns({
+        **{f: clean_text(F.col(f)) for f in ("price_old", "price_savings", "price_updated")},
+        "detail_url": clean_text(F.col("url")),
+        "image_url": F.lit(None).cast("string"),
+        "scraped_at": iso_text(F.col("fetched_at")),
+    }).select(*S.PRODUCT_COLUMNS, *extra)
     return wide.withColumn("valid", is_valid_product())
 
 

@@ -17,8 +17,6 @@ from pagelode.functions.urls import image_url, join_url, page_number, site_of, w
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 _PAYLOAD = "current_page string, last_page string, total_pages string, data array<string>"
-_PRODUCT = "struct<" + ",".join(f"{name}:{kind}" for name, kind in S.LISTING_FIELDS) + ">"
-_NO_PRODUCTS = F.lit(None).cast(f"array<{_PRODUCT}>")
 
 
 # --- embedded catalogue ------------------------------------------------------
@@ -100,12 +98,8 @@ def embedded_products(payloads: Column, lists: Column, site: Column) -> Column:
                            lambda m: listing_record(m, site))
         return F.filter(rows, lambda r: r["slug"] != "")
 
-    def non_empty(candidates: Column) -> Column:
-        return first_where(candidates, lambda rows: F.size(rows) > 0)
-
-    return F.coalesce(
-        non_empty(F.transform(payloads, lambda p: products(p["data"]))),
-        non_empty(F.transform(lists, products)))
+    catalogues = F.concat(F.transform(payloads, lambda p: p["data"]), lists)
+    return first_where(F.transform(catalogues, products), lambda rows: F.size(rows) > 0)
 
 
 # --- anchors -------------------------------------------------------------------
@@ -235,15 +229,16 @@ def scan_listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
 
     Gives one row per page with ``url``, ``page_no``, ``base_url``, ``site``, ``fetched_at`` and
     the raw finds in ``scan``; the page text is gone. ``site`` sets the scheme and host that
-    product links get; by default each page uses its own.
+    product links get; by default each page uses its own. A page that was not fetched well counts
+    as one without any finds.
     """
-    ready = pages.where((F.col("status_code") == 200) & (F.col("kind") == "listing")).select(
+    ready = pages.where(F.col("kind") == "listing").select(
         "url",
         F.coalesce("page_no", page_number(F.col("url"))).alias("page_no"),
         without_query(F.col("url")).alias("base_url"),
         (F.lit(site) if site else site_of(F.col("url"))).alias("site"),
         "fetched_at",
-        "html")
+        F.when(F.col("status_code") == 200, F.col("html")).alias("html"))
 
     def finds(markup: Column) -> Column:
         return F.struct(
@@ -262,7 +257,7 @@ def listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
     site_col, base, number = F.col("site"), F.col("base_url"), F.col("page_no")
     # L3: anchors count only where no catalogue has products, before any filter.
     found = F.coalesce(embedded_products(payloads, lists, site_col),
-                       anchor_products(links, site_col), _NO_PRODUCTS)
+                       anchor_products(links, site_col))
     following = F.concat(base, F.lit("?page="), (number + F.lit(1)).cast("string"))
     signal = F.coalesce(
         F.when(next_in_payload(payloads), following),

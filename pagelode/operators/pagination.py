@@ -1,6 +1,6 @@
 """Which listing pages of a catalogue count, and how many products of them."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pagelode import schema as S
@@ -8,8 +8,12 @@ from pagelode.sources.pages import latest_captures
 
 # After the page cap a catalogue has at most MAX_LISTING_PAGES rows here, one per page number,
 # so a window per catalogue stays small however large the archive is.
-_BY_PAGE = Window.partitionBy("base_url").orderBy("page_no")
-_BEFORE = _BY_PAGE.rowsBetween(Window.unboundedPreceding, -1)
+def _by_page() -> WindowSpec:
+    return Window.partitionBy("base_url").orderBy("page_no")
+
+
+def _before() -> WindowSpec:
+    return _by_page().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _numbered(listing: DataFrame, start_page: int, last_page: int) -> DataFrame:
@@ -17,12 +21,12 @@ def _numbered(listing: DataFrame, start_page: int, last_page: int) -> DataFrame:
     one_each = latest_captures(in_range, "base_url", "page_no")
     # A page number that the archive lacks ends the walk, as a failed download would.
     return one_each.withColumn(
-        "_gap", F.row_number().over(_BY_PAGE) != F.col("page_no") - F.lit(start_page - 1))
+        "_gap", F.row_number().over(_by_page()) != F.col("page_no") - F.lit(start_page - 1))
 
 
 def _walk(numbered: DataFrame, ends_after) -> DataFrame:
     empty = (F.size("products") == 0) | F.col("_gap")
-    ended = F.coalesce(F.max(empty | ends_after).over(_BEFORE), F.lit(False))
+    ended = F.coalesce(F.max(empty | ends_after).over(_before()), F.lit(False))
     return numbered.withColumn("_keep", ~empty & ~ended).where("_keep").drop("_keep", "_gap")
 
 
@@ -53,7 +57,7 @@ def with_position(taken: DataFrame) -> DataFrame:
     """Add how many products of the catalogue come before a page."""
     return taken.withColumn(
         "products_before",
-        F.coalesce(F.sum(F.size("products")).over(_BEFORE), F.lit(0)).cast("bigint"))
+        F.coalesce(F.sum(F.size("products")).over(_before()), F.lit(0)).cast("bigint"))
 
 
 def discover(listing: DataFrame, max_products: int | None = None,
