@@ -88,7 +88,7 @@ def f6_json_path(spark, sf_dir):
        "regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM pages")
 def f7_element_or_default(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    html = F.col("html")
+    html = H.element_markup(F.col("html"))
     return pages.select(
         "url", H.element_attribute_or_default(html, "html", "lang").alias("lang"),
         H.element_text_or_default(html, "section", id="product-specs").alias("no_section"),

@@ -1,6 +1,8 @@
 """Helpers that make Spark evaluate an expensive expression once."""
 
-from pyspark.sql import Column, DataFrame
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +33,21 @@ def evaluate_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     that uses it.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def built_once(build):
+    """Keep the column that ``build()`` makes for the rest of the session.
+
+    The page expressions are long, and each of their nodes is a call to the JVM to make.
+    """
+    made: dict[SparkSession, Column] = {}
+
+    @wraps(build)
+    def get() -> Column:
+        spark = SparkSession.active()
+        if spark not in made:
+            made.clear()
+            made[spark] = build()
+        return made[spark]
+
+    return get

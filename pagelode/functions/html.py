@@ -1,10 +1,12 @@
 """Text out of HTML by patterns, Column in and Column out.
 
-Tags, attributes and class tokens are matched as an HTML reader sees them: quotes of either kind
-or none, ``>`` inside a quoted value, tag names in either case. Repeated groups are possessive, so
-a long attribute list cannot exhaust the stack of the regex engine.
+The text functions take markup that went through ``element_markup``. Tags, attributes and class
+tokens are matched as an HTML reader sees them: quotes of either kind or none, ``>`` inside a
+quoted value, tag names in either case. Repeated groups are possessive, so a long attribute list
+cannot exhaust the stack of the regex engine.
 """
 
+import json
 import re
 from html.entities import name2codepoint
 
@@ -18,6 +20,8 @@ _QUOTED = r"""[^"'>]++|"[^"]*+"|'[^']*+'"""
 _ANY_TAG = rf"<(?=[A-Za-z/!?])(?:{_QUOTED})*+>"
 _NO_MARKUP = "<!>"  # stands where a comment, script or style sheet was
 _CUT = "\uffff"  # no character; removed from pages, so it marks where a text is cut
+# The ampersand comes last, so that what it uncovers is not decoded again.
+MARKUP_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 _ALL = 1 << 30  # more than any page has; the largest integer would overflow in slice
 
 
@@ -81,11 +85,16 @@ def _balanced(tag: str, depth: int = 4) -> str:
 
 
 def element_markup(html: Column) -> Column:
-    """The page without comments, scripts and style sheets, whose text is no markup."""
-    return F.regexp_replace(
+    """The page without comments, scripts and style sheets, whose text is no markup.
+
+    Character references are decoded on the way, but for those that stand for characters of the
+    markup itself; the text functions do these.
+    """
+    bare = F.regexp_replace(
         F.replace(html, F.lit(_CUT), F.lit("")),
         F.lit(r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"),
         F.lit(_NO_MARKUP))
+    return let(bare, decode_references)
 
 
 def cut_at(text: Column, pattern: str) -> Column:
@@ -173,7 +182,7 @@ def attribute(tag_text: Column, name: str) -> Column:
         tag_text,
         rf"""^{_up_to_attribute(name)}("[^"]*+"|'[^']*+'|[^ \t\n\f\r"'>]++)""", 1)
     return let(raw, lambda r: F.when(
-        r != "", decode_entities(F.regexp_replace(r, F.lit(r"""(?s)^(["'])(.*)\1$"""), F.lit("$2")))))
+        r != "", decode_markup_references(F.regexp_replace(r, F.lit(r"""(?s)^(["'])(.*)\1$"""), F.lit("$2")))))
 
 
 def tag_and_content(piece: Column) -> tuple[Column, Column]:
@@ -182,13 +191,16 @@ def tag_and_content(piece: Column) -> tuple[Column, Column]:
     return tag, F.substr(piece, F.char_length(tag) + F.lit(2))
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references: the named ones of HTML 4, and all numeric ones."""
-    names = F.from_json(
-        F.lit(_entity_json()), "map<string,string>")
+def decode_references(text: Column) -> Column:
+    """Replace character references: the named ones of HTML 4, and all numeric ones.
+
+    Those of the five markup characters come out under their names, to be decoded last.
+    """
+    names = F.from_json(F.lit(_reference_table()), "map<string,string>")
 
     def char(code: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return let(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), lambda c: F.coalesce(
+            *[F.when(c == char, name) for name, char in MARKUP_REFERENCES.items()], c))
 
     def token(t: Column) -> Column:
         return (
@@ -200,14 +212,26 @@ def decode_entities(text: Column) -> Column:
             .otherwise(t))
 
     tokens = F.regexp_extract_all(text, F.lit(r"(&#?\w+;|[^&]+|&)"), F.lit(1))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, token), "")).otherwise(
-        text)
+    return F.when(text.rlike(r"&(?!(?:amp|lt|gt|quot|apos);)#?\w+;"),
+                  F.array_join(F.transform(tokens, token), "")).otherwise(text)
+
+
+def decode_markup_references(text: Column) -> Column:
+    """Replace the references of the five markup characters."""
+    decoded = text
+    for name, char in MARKUP_REFERENCES.items():
+        decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+def decode_entities(text: Column) -> Column:
+    """Replace all character references of a text without tags."""
+    return let(decode_references(text), decode_markup_references)
 
 
-def _entity_json() -> str:
-    import json
-    table = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
-    return json.dumps({**table, "&apos;": "'"})
+def _reference_table() -> str:
+    return json.dumps({f"&{name};": chr(code) for name, code in name2codepoint.items()
+                       if f"&{name};" not in MARKUP_REFERENCES})
 
 
 def spaced_text(markup: Column) -> Column:
@@ -216,17 +240,15 @@ def spaced_text(markup: Column) -> Column:
     bare = F.when(F.contains(markup, F.lit("<")),
                   F.regexp_replace(markup, F.lit(f"{drawing}|{_ANY_TAG}"), F.lit(" "))
                   ).otherwise(markup)
-    return collapse_spaces(let(bare, decode_entities))
+    return collapse_spaces(let(bare, decode_markup_references))
 
 
 def tight_text(markup: Column) -> Column:
     """Text whose pieces between tags are stripped and joined with nothing."""
-    spaces = F.when(F.contains(markup, F.lit("&")), F.regexp_replace(
-        markup, F.lit(r"(?i)&nbsp;|&#160;|&#xA0;"), F.lit(" "))).otherwise(markup)
-    bare = let(spaces, lambda m: F.when(
-        F.contains(m, F.lit("<")),
-        replace_with_spaces(m, f"{SPACE}*{_ANY_TAG}{SPACE}*", "")).otherwise(m))
-    return strip(let(bare, decode_entities))
+    bare = F.when(
+        F.contains(markup, F.lit("<")),
+        replace_with_spaces(markup, f"{SPACE}*{_ANY_TAG}{SPACE}*", "")).otherwise(markup)
+    return strip(let(bare, decode_markup_references))
 
 
 def element_text_or_default(markup: Column, tag: str, default: str = "Unknown",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagelode import schema as S
 from pagelode.functions import html as H
-from pagelode.functions.binding import evaluate_once, let, words
+from pagelode.functions.binding import built_once, evaluate_once, let, words
 from pagelode.functions.text import clean_text, iso_text, missing_to_null
 from pagelode.functions.urls import is_valid_url
 from pagelode.functions.validity import is_iso_timestamp
@@ -71,6 +71,22 @@ def field_values(cells: Column) -> Column:
                         F.transform(backwards, lambda c: c["value"]).alias("values")), lookup)
 
 
+@built_once
+def page_finds() -> Column:
+    """All that a detail page gives, from its column ``html``."""
+    def finds(markup: Column) -> Column:
+        return F.struct(let(spec_cells(markup), field_values).alias("fields"),
+                        price_block(markup).alias("prices"))
+
+    return let(H.element_markup(F.col("html")), finds)
+
+
+@built_once
+def page_cells() -> Column:
+    """The specification cells of a detail page, from its column ``html``."""
+    return let(H.element_markup(F.col("html")), spec_cells)
+
+
 # --- DataFrame steps -------------------------------------------------------------
 
 def parsable(pages: DataFrame) -> DataFrame:
@@ -80,8 +96,7 @@ def parsable(pages: DataFrame) -> DataFrame:
 
 def long_specs(pages: DataFrame) -> DataFrame:
     """One row per specification cell of known label."""
-    cells = parsable(pages).select(
-        "url", F.explode(let(H.element_markup(F.col("html")), spec_cells)).alias("cell"))
+    cells = parsable(pages).select("url", F.explode(page_cells()).alias("cell"))
     return (cells.select("url", "cell.*")
             .select("url", "cat_pos", "row_pos", "category", "label",
                     field_of_label(F.col("label")).alias("field"), "value")
@@ -111,11 +126,7 @@ def parse_details(pages: DataFrame, every_status: bool = False) -> DataFrame:
     else:
         ready = parsable(pages).select("url", "fetched_at", "html")
 
-    def finds(markup: Column) -> Column:
-        return F.struct(let(spec_cells(markup), field_values).alias("fields"),
-                        price_block(markup).alias("prices"))
-
-    found = evaluate_once(ready, "_found", let(H.element_markup(F.col("html")), finds)).drop("html")
+    found = evaluate_once(ready, "_found", page_finds()).drop("html")
     extra = [c for c in ("fetched_at", "status_code") if c in ready.columns]
     fields = [f"_found.fields[{i}] AS {f}" for i, f in enumerate(S.SPEC_FIELDS)]
     wide = found.selectExpr("url", *extra, *fields, "_found.prices.*")

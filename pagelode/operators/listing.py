@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelode import schema as S
 from pagelode.functions import html as H
-from pagelode.functions.binding import evaluate_once, first_where, let
+from pagelode.functions.binding import built_once, evaluate_once, first_where, let
 from pagelode.functions.brands import brand_from_title, listing_brand
 from pagelode.functions.prices import not_whole_number, whole_number
 from pagelode.functions.text import blank_to_null, title_case
@@ -222,6 +222,40 @@ def _item_class(markup: Column) -> Column:
     return markup.rlike("|".join(patterns))
 
 
+@built_once
+def page_finds() -> Column:
+    """Catalogues and links of a page, from its column ``html``."""
+    def finds(markup: Column) -> Column:
+        return F.struct(
+            embedded_payloads(F.col("html")).alias("payloads"),
+            embedded_lists(F.col("html")).alias("lists"),
+            page_links(markup).alias("links"),
+            _item_class(markup).alias("has_item_class"))
+
+    return let(H.element_markup(F.col("html")), finds)
+
+
+@built_once
+def page_products() -> Column:
+    """Products of a scanned page. Anchors count only where no catalogue has any."""
+    scan, site = F.col("scan"), F.col("site")
+    found = F.coalesce(embedded_products(scan["payloads"], scan["lists"], site),
+                       anchor_products(scan["links"], site))
+    return first_of_slug(F.filter(found, is_listed))
+
+
+@built_once
+def page_signal() -> Column:
+    """Where a scanned page says that the next one is."""
+    scan, number, base = F.col("scan"), F.col("page_no"), F.col("base_url")
+    following = F.concat(base, F.lit("?page="), (number + F.lit(1)).cast("string"))
+    return F.coalesce(
+        F.when(next_in_payload(scan["payloads"]), following),
+        next_in_links(scan["links"], number, base, F.col("site")),
+        F.when((number < S.MAX_GUESSED_PAGES)
+               & has_products(scan["payloads"], scan["links"], scan["has_item_class"]), following))
+
+
 # --- whole pages -------------------------------------------------------------------
 
 def scan_listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
@@ -240,38 +274,16 @@ def scan_listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
         "fetched_at",
         F.when(F.col("status_code") == 200, F.col("html")).alias("html"))
 
-    def finds(markup: Column) -> Column:
-        return F.struct(
-            embedded_payloads(F.col("html")).alias("payloads"),
-            embedded_lists(F.col("html")).alias("lists"),
-            page_links(markup).alias("links"),
-            _item_class(markup).alias("has_item_class"))
-
-    return evaluate_once(ready, "scan", let(H.element_markup(F.col("html")), finds)).drop("html")
+    return evaluate_once(ready, "scan", page_finds()).drop("html")
 
 
 def listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
     """One row per listing page with its products and its next-page signal."""
     scanned = scan_listing_pages(pages, site)
-    payloads, lists, links = (F.col(f"scan.{c}") for c in ("payloads", "lists", "links"))
-    site_col, base, number = F.col("site"), F.col("base_url"), F.col("page_no")
-    # L3: anchors count only where no catalogue has products, before any filter.
-    found = F.coalesce(embedded_products(payloads, lists, site_col),
-                       anchor_products(links, site_col))
-    following = F.concat(base, F.lit("?page="), (number + F.lit(1)).cast("string"))
-    signal = F.coalesce(
-        F.when(next_in_payload(payloads), following),
-        next_in_links(links, number, base, site_col),
-        F.when((number < S.MAX_GUESSED_PAGES)
-               & has_products(payloads, links, F.col("scan.has_item_class")), following))
-    return evaluate_once(
-        scanned.select(
-            "url", "page_no", "base_url", "site", "fetched_at",
-            F.struct(first_of_slug(F.filter(found, is_listed)).alias("products"),
-                     signal.alias("next_page_url")).alias("_found")),
-        "_page", F.col("_found"),
-    ).select("url", "page_no", "base_url", "site", "fetched_at",
-             F.coalesce("_page.products", F.array()).alias("products"), "_page.next_page_url")
+    return evaluate_once(scanned, "page", F.struct(
+        page_products().alias("products"), page_signal().alias("next_page_url"))).select(
+        "url", "page_no", "base_url", "site", "fetched_at",
+        F.coalesce("page.products", F.array()).alias("products"), "page.next_page_url")
 
 
 def explode_products(listing: DataFrame, keep: tuple[str, ...] = ("url", "page_no")) -> DataFrame:

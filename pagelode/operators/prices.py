@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelode import schema as S
 from pagelode.functions import html as H
-from pagelode.functions.binding import let
+from pagelode.functions.binding import built_once, evaluate_once, let
 from pagelode.functions.prices import price_digits
 from pagelode.functions.text import SPACE, strip
 
@@ -76,14 +76,17 @@ def price_block(markup: Column) -> Column:
     return let(H.first_element(markup, "div", cls=S.PRICE_BLOCK_CLASS), prices)
 
 
-def price_table(pages: DataFrame) -> DataFrame:
-    """D7-D12 as a table: one row per detail page."""
-    from pagelode.functions.binding import evaluate_once
-    from pagelode.operators.detail import parsable
+@built_once
+def page_prices() -> Column:
+    """The prices of a detail page, from its column ``html``."""
+    return let(H.element_markup(F.col("html")), price_block)
+
 
-    found = evaluate_once(parsable(pages).select("url", "html"), "_prices",
-                          let(H.element_markup(F.col("html")), price_block))
-    return found.select("url", "_prices.*")
+def price_table(pages: DataFrame) -> DataFrame:
+    """D7-D12 as a table: one row per detail page that was fetched well."""
+    parsed = pages.where((F.col("kind") == "detail") & (F.col("status_code") == 200))
+    return evaluate_once(parsed.select("url", "html"), "_prices", page_prices()).select(
+        "url", "_prices.*")
 
 
 def variant_table(prices: DataFrame) -> DataFrame:
