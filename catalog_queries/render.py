@@ -20,7 +20,9 @@ PER_PAGE = 20
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """The parts, spread over all cores: the table is one small file, but each part becomes a page."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "p_partkey")
 
 
 def text(*parts) -> Column:

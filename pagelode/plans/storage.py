@@ -8,10 +8,10 @@ def checkpoint_folder(spark: SparkSession, fallback: str) -> str:
 
     It has to be one that all machines share, so the fallback is a folder next to a job's output.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(fallback)
-    return folder or fallback
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame, fallback: str) -> DataFrame:
