@@ -73,15 +73,16 @@ def enrich(listings: DataFrame, details: DataFrame, min_hot_rows: int = 100_000)
     return joined.select(*[enriched(c).alias(c) for c in S.PRODUCT_COLUMNS])
 
 
-def unmatched(listings: DataFrame, details: DataFrame) -> DataFrame:
+def unmatched(listings: DataFrame, details: DataFrame, min_hot_rows: int = 100_000) -> DataFrame:
     """Products of the listing that no detail page was parsed for, as rejects.
 
-    Only the keys of ``details`` travel, once each.
+    ``details`` has one row per detail URL, and only the URLs travel.
     """
-    urls = details.select("detail_url").distinct()
-    lost = listings.where(F.col("detail_url").isNotNull()).join(urls, "detail_url", "left_anti")
+    with_url = listings.where(F.col("detail_url").isNotNull() & (F.col("detail_url") != ""))
+    lost = join_many_to_one(with_url, details.select("detail_url"), "detail_url", "left_anti",
+                            min_hot_rows)
     nowhere = listings.where(F.col("detail_url").isNull() | (F.col("detail_url") == ""))
-    return lost.where(F.col("detail_url") != "").select(
+    return lost.select(
         F.col("detail_url").alias("url"), F.lit("network_errors").alias("error_type"),
         F.lit("no detail page").alias("reason"),
     ).unionByName(nowhere.select(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode import schema as S
+from pagelode.functions.urls import without_query
 from pagelode.operators import listing as L
 from pagelode.operators import pagination as G
 from pagelode.operators.detail import parse_details
@@ -33,14 +34,18 @@ class RunResult:
     exports: DataFrame | None
 
 
+def _of_catalogue(pages: DataFrame, base_url: str | None) -> DataFrame:
+    """Listing pages of one catalogue; the prefix reaches the scan, the exact test follows it."""
+    if base_url is None:
+        return pages
+    return pages.where(F.startswith("url", F.lit(base_url))
+                       & (without_query(F.col("url")) == base_url))
+
+
 def discover_products(pages: DataFrame, max_products: int | None = None, start_page: int = 1,
                       base_url: str | None = None, site: str | None = None) -> DataFrame:
     """W1, first phase: product rows in walk order; ``position`` counts them from 1 per catalogue."""
-    if base_url is not None:
-        pages = pages.where(F.startswith("url", F.lit(base_url)))
-    listing = L.listing_pages(pages, site)
-    if base_url is not None:
-        listing = listing.where(F.col("base_url") == base_url)
+    listing = L.listing_pages(_of_catalogue(pages, base_url), site)
     taken = G.with_position(G.discover(listing, max_products, start_page))
     rows = L.explode_products(taken, ("base_url", "page_no", "products_before"))
     return rows.withColumn("position", F.col("products_before") + F.col("pos") + 1).drop(
@@ -87,7 +92,7 @@ def run_catalogue(spark: SparkSession, pages: DataFrame, out_dir: str,
     products = outcomes.where(F.col("outcome") == "ok").select(*S.PRODUCT_COLUMNS)
     failed = outcomes.where(F.col("outcome") == "failed").select(
         F.col("detail_url").alias("url"), "error_type", "reason")
-    refused = rejects(failed, L.listing_rejects(pages, site))
+    refused = rejects(failed, L.listing_rejects(_of_catalogue(pages, base_url), site))
     success = not products.isEmpty()
     exports = export(products, out_dir, run_time=run_time) if success else None
     return RunResult(success, run_statistics(outcomes), products, refused, error_counts(refused),

@@ -308,3 +308,17 @@ def test_stream_equals_batch(spark, archive, tmp_path, step):
 def test_narrow_steps_do_not_shuffle(archive):
     for step in (lambda p: L.explode_products(L.listing_pages(p)), D.long_specs, D.parse_details):
         assert "Exchange" not in step(archive())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_what_they_need(spark, archive, tmp_path):
+    archive().write.parquet(f"{tmp_path}/p")
+    stored = spark.read.parquet(f"{tmp_path}/p")
+
+    def explained(df):
+        return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+    plan = explained(D.long_specs(stored))
+    assert "EqualTo(kind,detail)" in plan and "EqualTo(status_code,200)" in plan
+    assert "ReadSchema: struct<url:string,kind:string,status_code:int,html:string>" in plan
+    listing = explained(W.discover_products(stored, base_url=BASE))
+    assert "EqualTo(kind,listing)" in listing and "StringStartsWith(url,https://shop.example.com/list)" in listing
