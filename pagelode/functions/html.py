@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelode.functions.binding import let
-from pagelode.functions.text import SPACE, collapse_spaces, replace_with_spaces, strip
+from pagelode.functions.text import collapse_spaces, strip
 
 _QUOTED = r"""[^"'>]++|"[^"]*+"|'[^']*+'"""
 _ANY_TAG = rf"<(?=[A-Za-z/!?])(?:{_QUOTED})*+>"
@@ -247,7 +247,7 @@ def tight_text(markup: Column) -> Column:
     """Text whose pieces between tags are stripped and joined with nothing."""
     bare = F.when(
         F.contains(markup, F.lit("<")),
-        replace_with_spaces(markup, f"{SPACE}*{_ANY_TAG}{SPACE}*", "")).otherwise(markup)
+        F.array_join(F.transform(cut_at(markup, _ANY_TAG), strip), "")).otherwise(markup)
     return strip(let(bare, decode_markup_references))
 
 

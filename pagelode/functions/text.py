@@ -26,19 +26,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def replace_with_spaces(text: Column, pattern: str, by: str) -> Column:
-    """Replace a pattern that names whitespace as ``SPACE``.
+def collapse_spaces(text: Column) -> Column:
+    """Runs of whitespace become one space, none at the ends.
 
     The set is far quicker to test without its non-ASCII members, so plain text is spared them.
     """
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.regexp_replace(text, F.lit(pattern.replace(SPACE, ASCII_SPACE)), F.lit(by))
-                  ).otherwise(F.regexp_replace(text, F.lit(pattern), F.lit(by)))
-
+    def collapsed(t: Column) -> Column:
+        return F.when(F.octet_length(t) == F.char_length(t),
+                      F.regexp_replace(t, F.lit(f"{ASCII_SPACE}+"), F.lit(" "))
+                      ).otherwise(F.regexp_replace(t, F.lit(f"{SPACE}+"), F.lit(" ")))
 
-def collapse_spaces(text: Column) -> Column:
-    """Runs of whitespace become one space, none at the ends."""
-    return F.trim(let(text, lambda t: replace_with_spaces(t, f"{SPACE}+", " ")))
+    return F.trim(let(text, collapsed))
 
 
 def clean_text(text: Column) -> Column:

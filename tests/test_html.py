@@ -158,3 +158,5 @@ def test_long_attribute_lists_do_not_exhaust_the_stack(values):
     assert values(lambda c: H.tight_text(H.first_element(c, "div", cls="hit")), [tag]) == ["x"]
     many = "<div class=hit>" + "<p>y</p>" * 50_000 + "</div>"
     assert values(lambda c: F.length(H.first_element(c, "div", cls="hit")), [many]) == [len(many)]
+    spaces = "<td>" + " " * 200_000 + "<b>x</b>" + "\n" * 200_000 + "y</td>"
+    assert values(H.tight_text, [spaces]) == ["xy"] and values(H.spaced_text, [spaces]) == ["x y"]
