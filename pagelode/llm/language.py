@@ -32,23 +32,28 @@ BLANK = 1
 STRETCH = 1024
 
 
-def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384) -> list[tuple[str, str]]:
-    """At most ``texts`` stretches of at most ``chars`` characters for each language.
+def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384, languages: int = 500) -> list[tuple[str, str]]:
+    """At most ``texts`` stretches of at most ``chars`` characters for each of the ``languages`` most frequent labels.
 
     The documents are those with the smallest hashes of their ids; a stretch begins at a place that
-    the same hash gives. The bound holds for any size of the corpus. A first count finds the share
-    of hashes to look at, so no language is sorted as a whole.
+    the same hash gives. The bound holds for any size of the corpus. A count finds the share of hashes
+    to look at, so no language is sorted as a whole, and only ids are sorted, never texts.
     """
     order = F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 40) - 1))
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select(
-        F.col("lang"), F.col("text"), order.alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = rows.join(sizes, "lang").where(F.col("h") < (F.lit(float(1 << 40)) * 3 * texts / F.col("n")))
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\S")).withColumn("h", order)
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
+        return []
+    share = labelled.sparkSession.createDataFrame(
+        [(r.lang, int((1 << 40) * min(1.0, 3 * texts / r.n))) for r in sizes], "lang string, below long")
+    near = usable.join(F.broadcast(share), "lang").where(F.col("h") <= F.col("below")).select("lang", "doc_id", "h")
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= texts).select("lang", "doc_id").distinct()
     piece = F.substring(F.col("text"), (F.col("h") % F.greatest(F.length("text") - chars, F.lit(1)) + 1).cast("int"),
                         F.lit(chars))
-    by = Window.partitionBy("lang").orderBy("h", "piece")
-    sample = near.select("lang", "h", piece.alias("piece")).withColumn("r", F.row_number().over(by))
-    return [(r.lang, r.piece) for r in sample.where(F.col("r") <= texts).orderBy("lang", "r").collect()]
+    chosen = labelled.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most languages * texts rows
+    sample = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", piece.alias("piece"))
+    return [(r.lang, r.piece) for r in sample.distinct().orderBy("lang", "h", "piece").collect()]
 
 
 def is_letter(ch: str) -> bool:
