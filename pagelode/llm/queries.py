@@ -30,17 +30,13 @@ def joined_labels(column):
 @query()
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train_toxicity_model(labelled(docs, table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    model = toxicity.train_toxicity_model(docs, labels)
     return toxicity.score_toxicity(docs, model).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-def labelled(docs, labels):
-    """Texts with their label, outside the fold that is held out. Only labels travel to the rows of the same id."""
-    return docs.where(fold("doc_id", 5) != 0).select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
-
-
 @query()
 def op8_license_scan(spark, sf_dir):
     scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))

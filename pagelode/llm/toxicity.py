@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagelode.llm.words import SPACED, Words, pieces, split_words, text_array
 
@@ -379,28 +380,29 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 4, seed:
     return model
 
 
-def training_rows(labelled: DataFrame, rows: int, chars: int) -> tuple[list[str], list[int], float]:
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int,
+                  chars: int) -> tuple[list[str], list[int], float]:
     """At most ``rows`` labelled texts, half of each kind, each of at most ``chars`` characters; and the share of toxic.
 
-    The rows are those with the smallest hashes of their ids, so the bound holds for any corpus and the
-    choice is the same in every run.
+    The ids are chosen among the labels, those with the smallest hashes first, so the bound holds for any
+    corpus and the choice is the same in every run. Only then are their texts looked up, in one scan.
     """
-    known = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts, toxic = [], []
-    for kind in (0, 1):
-        some = known.where((F.col("toxic") == kind) & (F.length("text") <= chars)).orderBy(
-            F.xxhash64(F.col("doc_id")), "text").limit(rows // 2).select("text").collect()
-        texts += [r.text for r in some]
-        toxic += [kind] * len(some)
+    order = F.xxhash64(F.col("doc_id"))
+    chosen = [r for kind in (0, 1) for r in
+              known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(rows).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, known.schema)  # at most 2 * rows
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars)
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id", "text")))
+    sample = ranked.where(F.col("r") <= rows // 2).orderBy("toxic", "r").collect()
     total = sum(counts.values())
-    return texts, toxic, counts.get(1, 0) / total if total else 0.0
+    return [r.text for r in sample], [r.toxic for r in sample], counts.get(1, 0) / total if total else 0.0
 
 
-def train_toxicity_model(labelled: DataFrame, rows: int = 4096, chars: int = 6000) -> ToxicityModel:
-    """A model of labelled rows (``doc_id``, ``text``, ``toxic``); see ``training_rows`` for its bound."""
-    texts, toxic, prior = training_rows(labelled, rows, chars)
-    return fit(texts, toxic, prior)
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 4096, chars: int = 6000) -> ToxicityModel:
+    """A model of ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``); see ``training_rows``."""
+    return fit(*training_rows(docs, labels, rows, chars))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
