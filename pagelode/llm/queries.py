@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import language, licenses, toxicity
+from pagelode.llm import decontaminate, language, licenses, lines, mixing, toxicity
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
 
+#: Target weights of the mix: relative to 1.0 for a source that is not named.
+SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+
 
 def query(sql=None):
     def register(run):
@@ -27,6 +30,28 @@ def joined_labels(column):
     return F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda s: s.label))), ",")
 
 
+@query()
+def op2_decontamination(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_recurring_lines(docs, counts=True)
+
+
+@query()
+def op5_source_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs, SOURCE_WEIGHTS).select(
+        "doc_id", "source", "block", "slot", "position", "balanced")
+
+
 @query()
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -133,7 +133,8 @@ def cut_long_words(words: Words) -> Words:
     doc = np.repeat(words.doc, n)
     counts = np.bincount(doc, minlength=len(words.counts))
     hashes = np.repeat(words.hashes, n) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return Words(words.data, starts, ends, doc, counts, np.concatenate(([0], np.cumsum(counts))), hashes)
+    return Words(words.data, starts, ends, doc, counts, np.concatenate(([0], np.cumsum(counts))), hashes,
+                 words.breaks, words.bounds)
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -76,6 +76,8 @@ class Words:
     counts: np.ndarray    # words of each text
     offsets: np.ndarray   # first word of each text, and the number of words
     hashes: np.ndarray    # 64-bit hash of each word
+    breaks: np.ndarray    # where the texts have line feeds
+    bounds: np.ndarray    # where each text begins, and the end
 
     def text(self, i: int) -> str:
         return self.data[self.starts[i]:self.ends[i]].tobytes().decode()
@@ -110,7 +112,7 @@ def split_words(texts: pa.Array, table: np.ndarray) -> Words:
     if n == 0 or bounds[-1] == bounds[0]:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint8), empty, empty, empty, np.zeros(n, np.int64), np.zeros(n + 1, np.int64),
-                     np.zeros(0, np.uint64))
+                     np.zeros(0, np.uint64), empty, np.zeros(n + 1, np.int64))
     raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[bounds[0]:bounds[-1]]
     data = np.full(len(raw) + n + 1, 32, dtype=np.uint8)
     # One blank before each text keeps words of neighbours apart.
@@ -126,7 +128,8 @@ def split_words(texts: pa.Array, table: np.ndarray) -> Words:
     powers, inverse = _powers(len(data))
     sums = np.cumsum(_BYTE_VALUES[data] * powers[:len(data)])
     hashes = mixed((sums[ends - 1] - sums[starts - 1]) * inverse[starts])
-    return Words(data, starts, ends, np.repeat(np.arange(n), counts), counts, offsets, hashes)
+    return Words(data, starts, ends, np.repeat(np.arange(n), counts), counts, offsets, hashes, places[raw == 10],
+                 np.concatenate(([0], text_ends)))
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
