@@ -100,10 +100,11 @@ def recurring_lines(docs: DataFrame, least_words: int = 4) -> DataFrame:
     return dropped.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool = False,
+                         drop_emptied: bool = False) -> DataFrame:
     """The documents with recurring lines taken out of ``text``; with ``counts`` also ``n_lines`` and ``n_dropped``.
 
-    Every document stays, also one that keeps no line.
+    Every document stays; with ``drop_emptied`` all but those that lines were taken from and that keep no word.
     """
     marked = docs.withColumn("_row", _row(docs)).join(
         recurring_lines(docs, least_words).withColumnRenamed("row", "_row"), "_row", "left")
@@ -114,4 +115,7 @@ def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool
     if counts:
         columns += [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
                     F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped")]
-    return marked.select(*columns)
+    result = marked.select(*columns, F.col("lines").isNotNull().alias("_cut"))
+    if drop_emptied:
+        result = result.where(~F.col("_cut") | F.col("text").rlike(r"\S"))
+    return result.drop("_cut")

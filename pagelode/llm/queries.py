@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, language, licenses, lines, mixing, toxicity
+from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, toxicity
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
@@ -30,6 +30,11 @@ def joined_labels(column):
     return F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda s: s.label))), ",")
 
 
+@query()
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
