@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, toxicity
+from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, toxicity
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
@@ -87,3 +87,15 @@ def op9_language_id(spark, sf_dir):
     model = language.train_language_model(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
     return language.identify_languages(docs, model).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_interpolated_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    model, vocabulary = ngram_model.train_language_scores(
+        docs.where(number % 10 != 0), F.floor(number / 10) % 8 == 0)
+    scored = ngram_model.score_texts(docs, model, vocabulary)
+    return scored.select(
+        "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
