@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, toxicity
+from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, spotsigs, toxicity
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
@@ -67,6 +67,13 @@ def op4_toxicity(spark, sf_dir):
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+@query()
+def op7_spot_signatures(spark, sf_dir):
+    found = spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 @query()
 def op8_license_scan(spark, sf_dir):
     scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
