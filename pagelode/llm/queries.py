@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, spotsigs, toxicity
+from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, pii, spotsigs, toxicity
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
@@ -67,6 +67,18 @@ def op4_toxicity(spark, sf_dir):
         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+@query()
+def op6_personal_data(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(number(k) for k in pii.KINDS),
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 @query()
 def op7_spot_signatures(spark, sf_dir):
     found = spotsigs.fingerprints(table(spark, sf_dir, "documents"))
