@@ -117,5 +117,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of any item, with the columns they came with."""
-    bad = matched_windows(docs, benchmark).select("row").distinct()
-    return docs.withColumn("_row", _row(docs)).join(bad, F.col("_row") == F.col("row"), "left_anti").drop("_row")
+    bad = matched_windows(docs, benchmark).select(F.col("row").alias("_row")).distinct()
+    return docs.withColumn("_row", _row(docs)).join(bad, "_row", "left_anti").select(*docs.columns)

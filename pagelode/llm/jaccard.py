@@ -11,8 +11,9 @@ The order puts frequent n-grams last. Any order gives the same links, so a sketc
 to tell which ones are frequent. Copies of the same set are one node from the start. A first round links
 each node to the smallest one of the list it shares most; lists whose nodes are then in one component
 have nothing left to show. A second round compares the nodes of the other lists that are in different
-components: the component that most of a list's nodes have meets the others only. Candidates are
-checked on whole texts, so the result is exact but for collisions of 64-bit hashes.
+components: the component that most of a list's nodes have meets the others only. They have
+to share as many n-grams at the start of the order as any similar pair does. Candidates are checked on
+whole texts, so the result is exact but for collisions of 64-bit hashes.
 
 Null texts and texts without words have no set and are linked with nothing. An id is taken to stand for
 one text; repeated rows stay repeated. A null id takes part, but names no component: rows that only
@@ -254,6 +255,17 @@ def _similar_sizes(a: str, b: str):
     return (F.least(a, b) * 5 >= F.greatest(a, b) * 4)
 
 
+def _prefix_share(a: str, b: str, light: int):
+    """How many n-grams of their prefixes two similar sets of these sizes share at least.
+
+    All that is common up to the end of the prefix that ends first is in both prefixes; beyond it there
+    are no more than one set has beyond its prefix. Small sets list subsets, of which one is enough.
+    """
+    rest = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
+    needed = F.ceil((F.col(a) + F.col(b)) * 4 / 9) - F.greatest(rest(a), rest(b))
+    return F.when(F.least(a, b) <= light, F.lit(1)).otherwise(F.greatest(needed, F.lit(1)))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links lead to) of each row."""
     spark = docs.sparkSession
@@ -279,7 +291,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         named.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
         F.col("doc_id").alias("node"), "text"))
     stars = named.where((F.col("node") != F.col("pivot_node")) & _similar_sizes("n", "pivot_n")).groupBy(
-        "node", "pivot_node").agg(F.count("*").alias("c"))
+        "node", "pivot_node", "n", "pivot_n").agg(F.count("*").alias("c"))
+    # Half of what all their lists would have to show: other lists of the two may have other pivots.
+    stars = stars.where(F.col("c") * 2 >= _prefix_share("n", "pivot_n", light))
     first = written(stars.groupBy("node").agg(F.max(F.struct("c", "pivot_node")).alias("best")).select(
         F.col("best.pivot_node").alias("a"), F.col("node").alias("b")))
     linked = written(verified(first, texts, words))
@@ -296,7 +310,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
                                "main")
     met = left.join(right, "key").where(
         (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")))
-        & _similar_sizes("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        & _similar_sizes("xn", "yn")).groupBy(
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"),
+            F.greatest("xn", "yn").alias("bn")).agg(F.count("*").alias("c"))
+    # Every list that two nodes of different components share is still here, so the count is whole.
+    met = met.where(F.col("c") >= _prefix_share("an", "bn", light)).select("a", "b")
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(verified(met.join(seen, ["a", "b"], "left_anti"), texts, words))
 

@@ -107,15 +107,16 @@ def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool
     Every document stays; with ``drop_emptied`` all but those that lines were taken from and that keep no word.
     """
     marked = docs.withColumn("_row", _row(docs)).join(
-        recurring_lines(docs, least_words).withColumnRenamed("row", "_row"), "_row", "left")
+        recurring_lines(docs, least_words).select(
+            F.col("row").alias("_row"), F.col("lines").alias("_lines")), "_row", "left")
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("lines", i.cast("long"))), "\n")
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept).alias("text")
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
+    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("text")
     columns = [text if c == "text" else F.col(c) for c in docs.columns]
     if counts:
         columns += [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                    F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped")]
-    result = marked.select(*columns, F.col("lines").isNotNull().alias("_cut"))
+                    F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_dropped")]
+    result = marked.select(*columns, F.col("_lines").isNotNull().alias("_cut"))
     if drop_emptied:
         result = result.where(~F.col("_cut") | F.col("text").rlike(r"\S"))
     return result.drop("_cut")

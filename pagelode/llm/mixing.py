@@ -63,6 +63,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     ``max_sources``, and the ``slots`` of a period are the only things the driver sees.
     """
     spark = docs.sparkSession
+    docs = docs.drop("block", "slot", "position", "balanced")  # columns of these names give way
     rows = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_part", F.substring("_key", 1, 4))
     parts = rows.groupBy("source", "_part").agg(F.count("*").alias("_n"))

@@ -243,7 +243,7 @@ def mixture_weights(events: tuple[np.ndarray, np.ndarray], rare: list[tuple[int,
             buckets.append(bucket[is_rare])
         f, weight, bucket = np.concatenate(parts), np.concatenate(weights), np.concatenate(buckets)
     ids = np.arange(BUCKETS)
-    able = np.stack((ids // 16 > 0, ids % 16 > 0, np.ones(BUCKETS), np.ones(BUCKETS)), 1).astype(float)
+    able = np.stack((ids // 16 > 0, ids % 16 > 0, np.full(BUCKETS, model.tokens > 0), np.ones(BUCKETS)), 1).astype(float)
     w = able / able.sum(1, keepdims=True)
     for _ in range(rounds):
         share = w[bucket] * f

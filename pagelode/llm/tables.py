@@ -16,7 +16,8 @@ def fold(doc_id: Column | str, parts: int) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the session's ``spark.checkpoint.dir``; under its warehouse where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+           or spark.conf.get("spark.sql.warehouse.dir"))
     return f"{top.rstrip('/')}/pagelode/{uuid.uuid4().hex}"
 
 

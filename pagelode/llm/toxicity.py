@@ -406,22 +406,22 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 4096, c
     return fit(*training_rows(docs, labels, rows, chars))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """``doc_id``, the columns of ``keep`` and ``toxicity`` (0 to 1) of each whole text."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str, name: str = "toxicity") -> DataFrame:
+    """``doc_id``, the columns of ``keep``, and in ``name`` the score (0 to 1) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ["doc_id", *keep]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("toxicity", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             scores = shared.value.scores(text_array(piece.column("text")))
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(scores, pa.float64())],
-                                             names=[*kept, "toxicity"])
+                                             names=[*kept, name])
 
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows that score below the threshold, with the columns they came with."""
-    scored = score_toxicity(docs, model, *(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("toxicity") < threshold).select(*docs.columns)
+    scored = score_toxicity(docs, model, *(c for c in docs.columns if c != "doc_id"), name="_toxicity")
+    return scored.where(F.col("_toxicity") < threshold).select(*docs.columns)
