@@ -137,6 +137,19 @@ def cut_long_words(words: Words) -> Words:
                  words.breaks, words.bounds)
 
 
+def words_of_all(texts: list[str]) -> Words:
+    """The words of many texts, split in pieces so that what splitting needs stays small."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    parts = [split_words(piece.column("text"), SPACED) for piece in pieces([batch])]
+    bytes_before = np.cumsum([0, *(len(p.data) for p in parts)])
+    texts_before = np.cumsum([0, *(len(p.counts) for p in parts)])
+    moved = lambda name, before: np.concatenate([getattr(p, name) + b for p, b in zip(parts, before)])
+    counts = np.concatenate([p.counts for p in parts])
+    return Words(np.concatenate([p.data for p in parts]), moved("starts", bytes_before), moved("ends", bytes_before),
+                 moved("doc", texts_before), counts, np.concatenate(([0], np.cumsum(counts))),
+                 np.concatenate([p.hashes for p in parts]), moved("breaks", bytes_before), moved("bounds", bytes_before))
+
+
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all texts: the window's text, its first word in the text, its number of words."""
     n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
@@ -331,7 +344,7 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 4, seed:
         "word.b": np.zeros(6 * WORD_STATES, F32),
         "out.w": (rng.normal(size=2 * WORD_STATES) * 0.5).astype(F32), "out.b": np.zeros(1, F32)})
     model = ToxicityModel(params, (1.0, 0.0, 0.0), float(prior))
-    words = cut_long_words(split_words(pa.array(texts, pa.large_string()), SPACED))
+    words = cut_long_words(words_of_all(texts))
     _, unique_at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
     pairs = np.unique(inverse.astype(np.int64) * len(texts) + words.doc)
     n_texts = np.bincount(pairs // len(texts), minlength=len(unique_at))
@@ -401,7 +414,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int,
     return [r.text for r in sample], [r.toxic for r in sample], counts.get(1, 0) / total if total else 0.0
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 4096, chars: int = 6000) -> ToxicityModel:
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 2560, chars: int = 6000) -> ToxicityModel:
     """A model of ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``); see ``training_rows``."""
     return fit(*training_rows(docs, labels, rows, chars))
 
