@@ -114,3 +114,19 @@ def f9_iso_timestamp(spark, sf_dir):
     value = (F.when(k == 0, text).when(k == 1, R.text(F.substr(text, F.lit(1), F.lit(19)), "Z"))
              .when(k == 2, F.regexp_replace(text, "-01-", "-13-")).otherwise(F.regexp_replace(text, "T", "T9")))
     return events.select("event_id", is_iso_timestamp(value).alias("valid"))
+
+
+@query("""SELECT p_partkey, 'a' || chr(65533) || 'b' || chr(65533) || 'c' || chr(65533) || 'd' || chr(65533) || 'e' || chr(8217)
+  || 'f' || chr(160) || 'g' || chr(10003) || 'h' || chr(172) || 'it;' || p_name || 'A' AS decoded FROM part""")
+def d4_odd_references(spark, sf_dir):
+    """References beyond the characters, of surrogates and of zero, of Windows-1252, of HTML 5, and without a semicolon."""
+    text = R.text("a&#x110000;b&#9999999;c&#xD800;d&#0;e&#146;f&nbsp", "g&check;h&notit;", F.col("p_name"), "&#00000000065;")
+    return R.part(spark, sf_dir).select("p_partkey", H.decode_entities(text).alias("decoded"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS valid FROM part")
+def f8_long_urls(spark, sf_dir):
+    """Hosts of some thousand labels, whose last one decides."""
+    last = F.when(R.k() % 3 == 0, "com").when(R.k() % 3 == 1, "c0m").otherwise("-x.com")
+    url = F.concat(F.lit("https://"), F.repeat(F.lit("ab."), (F.lit(2000) + R.k() % 50).cast("int")), last, F.lit("/"), F.col("p_partkey"))
+    return R.part(spark, sf_dir).select("p_partkey", is_valid_url(url).alias("valid"))

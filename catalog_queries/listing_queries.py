@@ -366,7 +366,21 @@ def a4_page_counts(spark, sf_dir):
 
 
 @query(ITEMS + "SELECT page_url AS url, 'parsing_errors' AS error_type, "
-       "'record without a title' AS reason FROM items i WHERE title IS NULL "
-       "AND NOT (page_no % 5 > 2) AND NOT (shop % 3 = 2 AND page_no = 8)")
+       "'record without a title' AS reason FROM items i WHERE title IS NULL")
 def x3_untitled_records(spark, sf_dir):
     return L.listing_rejects(R.catalogue_pages(spark, sf_dir))
+
+
+# Two catalogues with a page for each part: odd parts in one whose pages tell of the next, even ones in one of anchors.
+@query("SELECT CAST(p_partkey % 2 AS BIGINT) AS shop, CAST(p_partkey // 2 + 1 AS INTEGER) AS page_no FROM part")
+def l15_long_walk(spark, sf_dir):
+    number = F.floor(R.k() / 2) + 1
+    payload = R.text('<script>let productDataArray = {"current_page": ', number.cast("string"), ', "last_page": 1000000000, "data": [{"title": "Phone ',
+                     R.k().cast("string"), '", "slug": "p-', R.k().cast("string"), '"}]};</script>')
+    anchor = R.text("<a href='/mobile/p-", R.k().cast("string"), "' title='Phone ", R.k().cast("string"), "'>x</a>")
+    pages = R.part(spark, sf_dir).select(
+        R.text(f"{R.BASE}", (R.k() % 2).cast("string"), "?page=", number.cast("string")).alias("url"),
+        number.cast("int").alias("page_no"), F.lit("listing").alias("kind"), F.lit(200).alias("status_code"),
+        F.when(R.k() % 2 == 1, payload).otherwise(anchor).alias("html"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    taken = G.take_pages(L.listing_pages(pages))
+    return taken.select(F.regexp_extract("base_url", r"list(\d+)$", 1).cast("bigint").alias("shop"), "page_no")

@@ -1,7 +1,5 @@
 """Queries of joins, counts, triage, exports, jobs and the stream mode."""
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pagelode.operators import listing as L
 from pagelode.operators import stats as A
 from pagelode.operators import triage as X
 from pagelode.plans import catalogue as W
+from pagelode.plans.storage import shared_folder
 from pagelode.sinks import export as K
 from pagelode.streaming.pages import append_stream, stream_pages
 
@@ -32,9 +31,8 @@ def query(sql=None):
 
 
 def scratch(spark):
-    """A new folder name under the shared checkpoint folder; local where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='pagelode-')}/{uuid.uuid4().hex}"
+    """A new folder name that all machines share."""
+    return shared_folder(spark)
 
 
 def events(spark, sf_dir):
@@ -229,14 +227,14 @@ def k5_timestamped_names(spark, sf_dir):
     """One export per part type, found again by the time in its name."""
     out = scratch(spark)
     rows = R.part(spark, sf_dir)
-    for kind in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"):
-        name = K.snapshot_name("json", run_time=datetime(2025, len(kind) % 9 + 1, 1))
-        K.write_json(rows.where(F.col("p_type") == kind), f"{out}/{kind}/{name}")
-    runs = K.list_snapshots(spark, out).select("run_ts").distinct()
+    # One write gives every month its folder; the names are those of the snapshots of that month.
+    month = F.length("p_type") % 9 + 1
+    months = {m: K.snapshot_name("json", run_time=datetime(2025, m, 1)) for m in range(1, 10)}
+    name = F.coalesce(*[F.when(month == m, n) for m, n in months.items()])
+    rows.withColumn("kind", F.col("p_type")).withColumn("snapshot", name).write.partitionBy("kind", "snapshot").json(out)
     run_ts = F.regexp_extract(F.input_file_name(), r"_(\d{8}_\d{6})\.json", 1)
-    exported = spark.read.json(f"{out}/*/*").select("p_type", run_ts.alias("run_ts"))
-    return exported.groupBy("p_type", "run_ts").agg(F.count("*").alias("n")).join(
-        runs, "run_ts", "left_semi").select("p_type", "run_ts", "n")
+    exported = spark.read.json(out).select("p_type", run_ts.alias("run_ts"))
+    return exported.groupBy("p_type", "run_ts").agg(F.count("*").alias("n"))
 
 
 @query("SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS run_ts, o_orderdate IN (SELECT DISTINCT "
@@ -263,6 +261,15 @@ def s4_read_export_back(spark, sf_dir):
         "detail_url", "brand", "model", "status", "price_savings", F.size("price_variants").alias("n_variants"))
 
 
+@query("SELECT p_partkey, '2025-03-04T05:06:07' AS scraped_at FROM part WHERE p_partkey % 19 <> 0")
+def d13_no_capture_time(spark, sf_dir):
+    """Pages of an archive without capture times get the time of the run."""
+    pages = R.detail_pages(spark, sf_dir).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    stamp = F.to_timestamp(F.lit("2025-03-04 05:06:07"))
+    key = F.regexp_extract("detail_url", r"p-(\d+)$", 1).cast("bigint").alias("p_partkey")
+    return D.parse_details(pages, run_time=stamp).select(key, "scraped_at")
+
+
 # --- jobs --------------------------------------------------------------------------------------
 
 def all_pages(spark, sf_dir):
@@ -309,7 +316,7 @@ def w3_piecewise(spark, sf_dir):
 def t1_stream_of_pages(spark, sf_dir):
     """The specification step over a stream of page files."""
     out = scratch(spark)
-    R.detail_pages(spark, sf_dir).repartition(4).write.parquet(f"{out}/pages")
+    R.detail_pages(spark, sf_dir).write.parquet(f"{out}/pages")
     append_stream(stream_pages(spark, f"{out}/pages", files_per_batch=2), D.long_specs,
                   f"{out}/specs", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/specs").select("url", "field", "value")

@@ -8,7 +8,7 @@ cannot exhaust the stack of the regex engine.
 
 import json
 import re
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -192,27 +192,47 @@ def tag_and_content(piece: Column) -> tuple[Column, Column]:
 
 
 def decode_references(text: Column) -> Column:
-    """Replace character references: the named ones of HTML 4, and all numeric ones.
+    """Replace character references: the named ones of HTML 5, and all numeric ones.
 
-    Those of the five markup characters come out under their names, to be decoded last.
+    They are read as HTML readers do: the older names also without a semicolon and at the start of a
+    longer word, 128 to 159 as Windows-1252, and numbers that are no character as U+FFFD. Those of the
+    five markup characters come out under their names, to be decoded last.
     """
-    names = F.from_json(F.lit(_reference_table()), "map<string,string>")
+    common = F.from_json(F.lit(_reference_table(HTML4_NAMES)), "map<string,string>")
+    names = F.from_json(F.lit(_reference_table(html5)), "map<string,string>")
+    windows = F.from_json(F.lit(_windows_table()), "map<string,string>")
+
+    def kept(c: Column) -> Column:
+        return F.coalesce(*[F.when(c == char, name) for name, char in MARKUP_REFERENCES.items()], c)
 
     def char(code: Column) -> Column:
-        return let(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), lambda c: F.coalesce(
-            *[F.when(c == char, name) for name, char in MARKUP_REFERENCES.items()], c))
+        """``code``: hexadecimal digits without leading zeros."""
+        number = F.conv(code, 16, 10).cast("bigint")
+        good = (F.char_length(code) <= 6) & (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return (F.when(number.between(128, 159), F.coalesce(F.try_element_at(windows, number.cast("string")), F.lit("\ufffd")))
+                .when(good, let(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), kept)).otherwise("\ufffd"))
+
+    def decimal(digits: Column) -> Column:
+        return F.when(F.char_length(digits) <= 7, char(F.hex(digits.cast("bigint")))).otherwise("\ufffd")
+
+    def named(t: Column) -> Column:
+        old = F.regexp_extract(t, _old_names(), 1)
+        longest = F.when(old != "", F.concat(F.try_element_at(names, F.concat(old, F.lit(";"))),
+                                             F.substr(t, F.char_length(old) + F.lit(1))))
+        return F.coalesce(F.try_element_at(common, t), F.try_element_at(names, t), longest, t)
 
     def token(t: Column) -> Column:
         return (
-            F.when(t.rlike(r"^&#[0-9]{1,7};$"),
-                   char(F.hex(F.regexp_extract(t, "([0-9]+)", 1).cast("bigint"))))
-            .when(t.rlike(r"^&#[xX][0-9A-Fa-f]{1,6};$"),
-                  char(F.regexp_extract(t, "^&#.([0-9A-Fa-f]+)", 1)))
-            .when(t.rlike(r"^&\w+;$"), F.coalesce(F.try_element_at(names, t), t))
+            F.when(t.rlike("^&#[0-9]"), let(F.regexp_extract(t, "^&#0*+([0-9]*+)", 1), lambda d: decimal(
+                F.when(d == "", "0").otherwise(d))))
+            .when(t.rlike("^&#[xX][0-9A-Fa-f]"), let(F.regexp_extract(t, "^&#.0*+([0-9A-Fa-f]*+)", 1), lambda d: char(
+                F.when(d == "", "0").otherwise(d))))
+            .when(t.rlike("^&[A-Za-z]"), named(t))
             .otherwise(t))
 
-    tokens = F.regexp_extract_all(text, F.lit(r"(&#?\w+;|[^&]+|&)"), F.lit(1))
-    return F.when(text.rlike(r"&(?!(?:amp|lt|gt|quot|apos);)#?\w+;"),
+    tokens = F.regexp_extract_all(
+        text, F.lit(r"(&#[0-9]++;?|&#[xX][0-9A-Fa-f]++;?|&[A-Za-z][A-Za-z0-9]*+;?|[^&]++|&)"), F.lit(1))
+    return F.when(text.rlike(r"&(?!(?:amp|lt|gt|quot|apos);)[#A-Za-z]"),
                   F.array_join(F.transform(tokens, token), "")).otherwise(text)
 
 
@@ -229,9 +249,25 @@ def decode_entities(text: Column) -> Column:
     return let(decode_references(text), decode_markup_references)
 
 
-def _reference_table() -> str:
-    return json.dumps({f"&{name};": chr(code) for name, code in name2codepoint.items()
-                       if f"&{name};" not in MARKUP_REFERENCES})
+# The names of HTML 4 are tried first, as a lookup goes through its table.
+HTML4_NAMES = {f"{name};": chr(code) for name, code in name2codepoint.items()}
+
+
+def _reference_table(characters: dict[str, str]) -> str:
+    """References with their semicolon; those of the markup characters give its usual name."""
+    markup = {char: name for name, char in MARKUP_REFERENCES.items()}
+    return json.dumps({f"&{name}": markup.get(char, char) for name, char in characters.items() if name.endswith(";")})
+
+
+def _windows_table() -> str:
+    """What the numbers 128 to 159 stand for, where Windows-1252 has a character."""
+    return json.dumps({str(i): bytes([i]).decode("cp1252", "ignore") or "\ufffd" for i in range(128, 160)})
+
+
+def _old_names() -> str:
+    """A pattern of the names that need no semicolon, the longest ones first."""
+    names = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return f"^(&(?:{'|'.join(names)}))"
 
 
 def spaced_text(markup: Column) -> Column:

@@ -3,15 +3,14 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as a well-formed URL.
-URL_PATTERN = (
-    r"(?i)^https?://"
-    r"(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|"
-    r"localhost|"
-    r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    r"(?::\d+)?"
-    r"(?:/?|[/?]\S+)$"
-)
+from pagelode.functions.binding import let
+
+# What counts as a well-formed URL. A host's labels are tested one by one, since a pattern
+# that repeats a group for each of them takes a stack frame for each.
+URL_PARTS = r"(?i)^https?://([A-Z0-9.-]++)(?::\d++)?(?:/?|[/?]\S+)$"
+PLAIN_HOST = r"(?i)^(?:localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$"
+HOST_LABEL = r"(?i)^[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?$"
+TOP_LABEL = r"(?i)^[A-Z]{2,6}$"
 
 
 def page_number(url: Column) -> Column:
@@ -38,7 +37,7 @@ def join_url(site: Column, link: Column) -> Column:
               F.concat(F.regexp_extract(site, r"^([^:]+:)", 1), link))
         .when(link.rlike(r"^[/?#]"), F.concat(site, link))
         .otherwise(F.concat(site, F.lit("/"),
-                            F.regexp_replace(link, F.lit(r"^(?:\.{1,2}/)+"), F.lit(""))))
+                            F.regexp_replace(link, F.lit(r"^(?:\.{1,2}/)++"), F.lit(""))))
     )
 
 
@@ -53,4 +52,12 @@ def image_url(site: Column, link: Column) -> Column:
 
 def is_valid_url(url: Column) -> Column:
     """F8."""
-    return F.coalesce(url.rlike(URL_PATTERN), F.lit(False))
+    def named(labels: Column) -> Column:
+        inner = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
+        return ((F.size(labels) > 1) & F.get(labels, F.size(labels) - 1).rlike(TOP_LABEL)
+                & F.forall(inner, lambda label: label.rlike(HOST_LABEL)))
+
+    def known(host: Column) -> Column:
+        return host.rlike(PLAIN_HOST) | let(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), named)
+
+    return F.coalesce(let(F.regexp_extract(url, URL_PARTS, 1), lambda host: (host != "") & known(host)), F.lit(False))

@@ -112,12 +112,12 @@ def widen(specs: DataFrame) -> DataFrame:
     return specs.groupBy("url").pivot("field", list(S.SPEC_FIELDS)).agg(last)
 
 
-def parse_details(pages: DataFrame, every_status: bool = False) -> DataFrame:
+def parse_details(pages: DataFrame, every_status: bool = False, run_time: Column | None = None) -> DataFrame:
     """Detail pages to wide, conformed rows with a ``valid`` flag.
 
     ``image_url`` is null here, since only a listing knows it; ``fetched_at`` stays so that
     captures can be told apart. ``every_status`` also gives rows, unparsed, for pages that were not
-    fetched well, and the column ``status_code``.
+    fetched well, and the column ``status_code``. ``run_time`` stamps pages without a capture time.
     """
     if every_status:
         ready = pages.where(F.col("kind") == "detail").select(
@@ -135,7 +135,7 @@ def parse_details(pages: DataFrame, every_status: bool = False) -> DataFrame:
         **{f: clean_text(F.col(f)) for f in ("price_old", "price_savings", "price_updated")},
         "detail_url": clean_text(F.col("url")),
         "image_url": F.lit(None).cast("string"),
-        "scraped_at": iso_text(F.col("fetched_at")),
+        "scraped_at": iso_text(F.col("fetched_at") if run_time is None else F.coalesce("fetched_at", run_time)),
     }).select(*S.PRODUCT_COLUMNS, *extra)
     return wide.withColumn("valid", is_valid_product())
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pagelode import schema as S
 from pagelode.functions.text import blank_to_null, iso_text
 from pagelode.operators.detail import invalid_reason
+from pagelode.plans.storage import written
 
 # Product column <- listing column. The detail page wins in the first set, the listing in the second.
 FILL_FROM_LISTING = {"brand": "brand", "model": "title"}
@@ -15,36 +16,36 @@ TAKE_FROM_LISTING = {
     "operating_system": "os",
 }
 
-HOT_KEYS = 1000
-SALTS = 64
+# Rows of one key that go to one task.
+ROWS_PER_SALT = 100_000
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = 100_000) -> DataFrame:
-    """The keys with most rows, at most ``HOT_KEYS`` of them, each with ``min_rows`` or more.
+def salted_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Every key with more than ``rows_per_salt`` rows, with as many salts as it takes to stay below that.
 
-    Any key that holds more than one row in a thousand is among them, and the table is small
-    enough to broadcast whatever the size of ``df``. Counting combines rows before its shuffle.
+    Counting combines rows before its shuffle.
     """
-    return (df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= min_rows)
-            .orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key))
+    return (df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > rows_per_salt)
+            .select(key, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts")))
 
 
 def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner",
-                     min_hot_rows: int = 100_000) -> DataFrame:
+                     rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Equi join of ``many`` to ``one``, which has each key at most once.
 
-    The rows of ``many`` have to differ in some column for those of a hot key to spread.
-
-    Rows of a hot key are spread over salts and its single partner is copied to each of them, so a
-    key that holds a third of the rows still fills many tasks. Other keys carry salt 0 and nothing
-    is copied for them. Which keys are hot decides where rows go, not what comes out.
+    ``many`` is written first and read twice from there: for the sizes of its keys, and to be joined.
+    The rows of a frequent key go to salts by their content, as many as the key's size asks for, and its
+    single partner is copied to each of them; any number of keys may be frequent. Rows without a key
+    match nothing and are spread as well. Which keys are frequent decides where rows go, not what comes out.
+    The table of frequent keys is joined in the way its size allows, which Spark decides when it is there.
     """
-    hot = F.broadcast(hot_keys(many, key, min_hot_rows).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
-    left = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    many = written(many)
+    salts = salted_keys(many, key, rows_per_salt)
+    content = F.xxhash64(*many.columns)
+    left = many.join(salts, key, "left").withColumn("_salt", F.when(F.col(key).isNull(), content).otherwise(
+        F.pmod(content, F.coalesce("_salts", F.lit(1)).cast("bigint")))).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
+    right = one.join(salts, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
@@ -64,23 +65,23 @@ def enriched(name: str) -> Column:
     return F.col(name)
 
 
-def enrich(listings: DataFrame, details: DataFrame, min_hot_rows: int = 100_000) -> DataFrame:
+def enrich(listings: DataFrame, details: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Products of the listing with the specifications of their detail pages.
 
     ``details`` has one row per detail URL. A product listed twice comes out twice.
     """
-    joined = join_many_to_one(_renamed(listings), details, "detail_url", "inner", min_hot_rows)
+    joined = join_many_to_one(_renamed(listings), details, "detail_url", "inner", rows_per_salt)
     return joined.select(*[enriched(c).alias(c) for c in S.PRODUCT_COLUMNS])
 
 
-def unmatched(listings: DataFrame, details: DataFrame, min_hot_rows: int = 100_000) -> DataFrame:
+def unmatched(listings: DataFrame, details: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Products of the listing that no detail page was parsed for, as rejects.
 
     ``details`` has one row per detail URL, and only the URLs travel.
     """
     with_url = listings.where(F.col("detail_url").isNotNull() & (F.col("detail_url") != ""))
     lost = join_many_to_one(with_url, details.select("detail_url"), "detail_url", "left_anti",
-                            min_hot_rows)
+                            rows_per_salt)
     nowhere = listings.where(F.col("detail_url").isNull() | (F.col("detail_url") == ""))
     return lost.select(
         F.col("detail_url").alias("url"), F.lit("network_errors").alias("error_type"),
@@ -92,7 +93,7 @@ def unmatched(listings: DataFrame, details: DataFrame, min_hot_rows: int = 100_0
 
 def judge(listings: DataFrame, details: DataFrame, require_valid: bool = True,
           on_error: str = "reject", now: Column | None = None,
-          min_hot_rows: int = 100_000) -> DataFrame:
+          rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """J1-J3 in one pass: every product of the listing with its outcome.
 
     Gives the product columns, ``outcome`` ('ok' or 'failed'), ``processed``, ``error_type`` and
@@ -101,7 +102,7 @@ def judge(listings: DataFrame, details: DataFrame, require_valid: bool = True,
     makes a row of URLs and a time for a product without a detail page, which is then judged too.
     """
     parsed = details.withColumn("_parsed", F.lit(True))
-    joined = join_many_to_one(_renamed(listings), parsed, "detail_url", "left", min_hot_rows)
+    joined = join_many_to_one(_renamed(listings), parsed, "detail_url", "left", rows_per_salt)
     has_url = F.col("detail_url").isNotNull() & (F.col("detail_url") != "")
     found = F.coalesce(F.col("_parsed"), F.lit(False))
     skeleton = F.lit(on_error == "skeleton")

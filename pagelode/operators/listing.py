@@ -249,18 +249,22 @@ def page_products() -> Column:
     return first_of_slug(F.filter(found, is_listed))
 
 
-@built_once
-def page_signal() -> Column:
-    """Where a scanned page says that the next one is."""
+def page_signal_up_to(max_guessed_pages: int | None) -> Column:
+    """Where a scanned page says that the next one is; guesses end at ``max_guessed_pages``, if any."""
     scan, number, base = F.col("scan"), F.col("page_no"), F.col("base_url")
     following = F.concat(base, F.lit("?page="), (number + F.lit(1)).cast("string"))
     return F.coalesce(
         F.when(next_in_payload(scan["payloads"]), following),
         next_in_links(scan["links"], number, base, F.col("site")),
-        F.when((number < S.MAX_GUESSED_PAGES)
+        F.when((F.lit(True) if max_guessed_pages is None else number < max_guessed_pages)
                & has_products(scan["payloads"], scan["links"], scan["has_item_class"]), following))
 
 
+@built_once
+def page_signal() -> Column:
+    return page_signal_up_to(None)
+
+
 # --- whole pages -------------------------------------------------------------------
 
 def scan_listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
@@ -276,19 +280,29 @@ def scan_listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
         F.coalesce("page_no", page_number(F.col("url"))).alias("page_no"),
         without_query(F.col("url")).alias("base_url"),
         (F.lit(site) if site else site_of(F.col("url"))).alias("site"),
-        "fetched_at",
+        "fetched_at", "status_code",
         F.when(F.col("status_code") == 200, F.col("html")).alias("html"))
 
     return evaluate_once(ready, "scan", page_finds()).drop("html")
 
 
-def listing_pages(pages: DataFrame, site: str | None = None) -> DataFrame:
-    """One row per listing page with its products and its next-page signal."""
+def listing_pages(pages: DataFrame, site: str | None = None, max_guessed_pages: int | None = None,
+                  rejects: bool = False) -> DataFrame:
+    """One row per listing page with its products and its next-page signal.
+
+    Where nothing on a page tells of a next one, products alone do, up to page ``max_guessed_pages``
+    if that is given. ``rejects`` adds what ``page_rejects`` needs: the status and the number of
+    records without a title, out of the same scan.
+    """
     scanned = scan_listing_pages(pages, site)
-    return evaluate_once(scanned, "page", F.struct(
-        page_products().alias("products"), page_signal().alias("next_page_url"))).select(
+    signal = page_signal() if max_guessed_pages is None else page_signal_up_to(max_guessed_pages)
+    values = [page_products().alias("products"), signal.alias("next_page_url")]
+    if rejects:
+        values.append(F.size(untitled_records(F.col("scan"))).alias("untitled"))
+    more = ["status_code", F.coalesce("page.untitled", F.lit(0)).alias("untitled")] if rejects else []
+    return evaluate_once(scanned, "page", F.struct(*values)).select(
         "url", "page_no", "base_url", "site", "fetched_at",
-        F.coalesce("page.products", F.array()).alias("products"), "page.next_page_url")
+        F.coalesce("page.products", F.array()).alias("products"), "page.next_page_url", *more)
 
 
 def explode_products(listing: DataFrame, keep: tuple[str, ...] = ("url", "page_no")) -> DataFrame:
@@ -302,12 +316,25 @@ def explode_products(listing: DataFrame, keep: tuple[str, ...] = ("url", "page_n
 def listing_rejects(pages: DataFrame, site: str | None = None) -> DataFrame:
     """Embedded records without a title, which no product row can be made of."""
     scanned = scan_listing_pages(pages, site)
-    untitled = F.filter(
-        F.flatten(F.transform(F.col("scan.payloads"),
-                              lambda p: F.coalesce(records_of(p["data"]),
-                                                   F.array().cast("array<map<string,string>>")))),
-        lambda m: F.map_contains_key(m, F.lit("title"))
-        & F.try_element_at(m, F.lit("title")).isNull())
-    return scanned.select("url", F.explode(untitled).alias("record")).select(
+    return scanned.select("url", F.explode(untitled_records(F.col("scan"))).alias("record")).select(
         "url", F.lit("parsing_errors").alias("error_type"),
         F.lit("record without a title").alias("reason"))
+
+
+def untitled_records(scan: Column) -> Column:
+    """The records of a page's catalogues, objects and arrays, whose title is null."""
+    none = F.array().cast("array<map<string,string>>")
+    data = F.concat(F.transform(scan["payloads"], lambda p: p["data"]), scan["lists"])
+    return F.filter(
+        F.flatten(F.transform(data, lambda d: F.coalesce(records_of(d), none))),
+        lambda m: F.map_contains_key(m, F.lit("title")) & F.try_element_at(m, F.lit("title")).isNull())
+
+
+def page_rejects(listing: DataFrame) -> DataFrame:
+    """Rejects of pages that ``listing_pages`` has read with ``rejects``: failed pages, untitled records."""
+    failed = F.coalesce(F.col("status_code") != 200, F.lit(True))
+    status = F.concat(F.lit("status "), F.coalesce(F.col("status_code").cast("string"), F.lit("none")))
+    found = F.when(failed, F.array(F.struct(F.lit("network_errors").alias("error_type"), status.alias("reason")))).otherwise(
+        F.array_repeat(F.struct(F.lit("parsing_errors").alias("error_type"),
+                                F.lit("record without a title").alias("reason")), F.col("untitled")))
+    return listing.select("url", F.explode(found).alias("r")).select("url", "r.error_type", "r.reason")

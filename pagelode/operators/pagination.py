@@ -3,11 +3,9 @@
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from pagelode import schema as S
 from pagelode.sources.pages import latest_captures
 
-# After the page cap a catalogue has at most MAX_LISTING_PAGES rows here, one per page number,
-# so a window per catalogue stays small however large the archive is.
+# A window per catalogue; it spills, and a catalogue has one row per page number, not per product.
 def _by_page() -> WindowSpec:
     return Window.partitionBy("base_url").orderBy("page_no")
 
@@ -16,8 +14,10 @@ def _before() -> WindowSpec:
     return _by_page().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _numbered(listing: DataFrame, start_page: int, last_page: int) -> DataFrame:
-    in_range = listing.where(F.col("page_no").between(start_page, last_page))
+def _numbered(listing: DataFrame, start_page: int, last_page: int | None) -> DataFrame:
+    in_range = listing.where(F.col("page_no") >= start_page)
+    if last_page is not None:
+        in_range = in_range.where(F.col("page_no") <= last_page)
     one_each = latest_captures(in_range, "base_url", "page_no")
     # A page number that the archive lacks ends the walk, as a failed download would.
     return one_each.withColumn(
@@ -30,9 +30,12 @@ def _walk(numbered: DataFrame, ends_after) -> DataFrame:
     return numbered.withColumn("_keep", ~empty & ~ended).where("_keep").drop("_keep", "_gap")
 
 
-def take_pages(listing: DataFrame, start_page: int = 1) -> DataFrame:
-    """Pages in order while each has products and tells of a next one."""
-    last_page = max(S.MAX_LISTING_PAGES, start_page)
+def take_pages(listing: DataFrame, start_page: int = 1, max_pages: int | None = None) -> DataFrame:
+    """Pages in order while each has products and tells of a next one.
+
+    ``max_pages`` ends the walk after so many pages of a catalogue; by default nothing but the pages do.
+    """
+    last_page = None if max_pages is None else start_page + max_pages - 1
     return _walk(_numbered(listing, start_page, last_page), F.col("next_page_url").isNull())
 
 
@@ -60,10 +63,17 @@ def with_position(taken: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size("products")).over(_before()), F.lit(0)).cast("bigint"))
 
 
-def discover(listing: DataFrame, max_products: int | None = None,
-             start_page: int = 1) -> DataFrame:
-    """Pages of the run: the short walk for small runs, else the full one cut to size."""
-    if max_products and max_products <= S.SMALL_RUN:
-        return take_first(listing, max_products, start_page)
-    taken = take_pages(listing, start_page)
+def reached_pages(listing: DataFrame, start_page: int = 1, max_pages: int | None = None) -> DataFrame:
+    """The pages of ``take_pages`` and the one that has ended the walk, if the archive has it."""
+    last_page = None if max_pages is None else start_page + max_pages - 1
+    numbered = _numbered(listing, start_page, last_page)
+    stop = (F.size("products") == 0) | F.col("_gap") | F.col("next_page_url").isNull()
+    ended = F.coalesce(F.max(stop).over(_before()), F.lit(False))
+    return numbered.withColumn("_ended", ended).where(~F.col("_ended") & ~F.col("_gap")).drop("_ended", "_gap")
+
+
+def discover(listing: DataFrame, max_products: int | None = None, start_page: int = 1,
+             max_pages: int | None = None) -> DataFrame:
+    """Pages of the run: the full walk, cut to size; one rule however many products are asked for."""
+    taken = take_pages(listing, start_page, max_pages)
     return limit_products(taken, max_products) if max_products else taken

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode import schema as S
+from pagelode.functions.text import clean_text
 from pagelode.functions.urls import without_query
 from pagelode.operators import listing as L
 from pagelode.operators import pagination as G
@@ -14,11 +15,12 @@ from pagelode.operators.detail import parse_details
 from pagelode.operators.enrich import judge
 from pagelode.operators.stats import error_counts, run_statistics
 from pagelode.operators.triage import rejects
-from pagelode.plans.storage import stored
+from pagelode.plans.storage import written
 from pagelode.sinks.export import export
 from pagelode.sources.pages import latest_captures
 
-# A run of at most this many products broadcasts their URLs to the detail pages before parsing.
+# URLs of at most this many products are broadcast to the detail pages before parsing; with more of them
+# the pages are parsed first. The rows are the same either way.
 FEW_PRODUCTS = 10_000
 
 
@@ -46,21 +48,27 @@ def discover_products(pages: DataFrame, max_products: int | None = None, start_p
                       base_url: str | None = None, site: str | None = None) -> DataFrame:
     """W1, first phase: product rows in walk order; ``position`` counts them from 1 per catalogue."""
     listing = L.listing_pages(_of_catalogue(pages, base_url), site)
-    taken = G.with_position(G.discover(listing, max_products, start_page))
+    return _products_of(G.discover(listing, max_products, start_page))
+
+
+def _products_of(pages_taken: DataFrame) -> DataFrame:
+    taken = G.with_position(pages_taken)
     rows = L.explode_products(taken, ("base_url", "page_no", "products_before"))
     return rows.withColumn("position", F.col("products_before") + F.col("pos") + 1).drop(
         "products_before")
 
 
-def product_details(pages: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+def product_details(pages: DataFrame, listings: DataFrame | None = None,
+                    run_time: datetime | None = None) -> DataFrame:
     """W1, second phase: one parsed row per detail URL, the newest capture where there are several.
 
     ``listings`` restricts parsing to the pages of few products, given with a known bound.
     """
     if listings is not None:
-        wanted = listings.select(F.col("detail_url").alias("url")).distinct()
-        pages = pages.join(F.broadcast(wanted), "url", "left_semi")
-    parsed = parse_details(pages, every_status=True).drop("valid")
+        wanted = listings.select(F.col("detail_url").alias("_wanted")).distinct()
+        pages = pages.join(F.broadcast(wanted), clean_text(F.col("url")) == F.col("_wanted"), "left_semi")
+    stamp = None if run_time is None else F.lit(run_time)
+    parsed = parse_details(pages, every_status=True, run_time=stamp).drop("valid")
     newest = latest_captures(parsed, "detail_url")
     return newest.where(F.col("status_code") == 200).drop("fetched_at", "status_code")
 
@@ -82,18 +90,21 @@ def run_catalogue(spark: SparkSession, pages: DataFrame, out_dir: str,
 
     ``max_products`` (per catalogue; none or 0 for all), ``start_page`` and ``base_url`` choose
     what to discover, ``out_dir`` takes the exports. A run without products, or without one that
-    passes, ends without an export.
+    passes, ends without an export. Listing pages are read once, into a table that gives products,
+    signals and rejects; rejects are those of the pages that the walk has reached.
     """
-    scratch = f"{out_dir}/_checkpoints"
-    listings = stored(discover_products(pages, max_products, start_page, base_url, site), scratch)
-    few = bool(max_products) and base_url is not None and max_products <= FEW_PRODUCTS
-    details = product_details(pages, listings if few else None)
-    outcomes = stored(judge(listings, details, require_valid, on_error), scratch)
+    run_time = run_time or datetime.now()
+    listing = written(L.listing_pages(_of_catalogue(pages, base_url), site, rejects=True))
+    listings = written(_products_of(G.discover(listing, max_products, start_page)))
+    few = bool(max_products) and listings.limit(FEW_PRODUCTS + 1).count() <= FEW_PRODUCTS
+    details = product_details(pages, listings if few else None, run_time)
+    outcomes = written(judge(listings, details, require_valid, on_error))
     products = outcomes.where(F.col("outcome") == "ok").select(*S.PRODUCT_COLUMNS)
     failed = outcomes.where(F.col("outcome") == "failed").select(
         F.col("detail_url").alias("url"), "error_type", "reason")
-    refused = rejects(failed, L.listing_rejects(_of_catalogue(pages, base_url), site))
+    refused = written(rejects(failed, L.page_rejects(G.reached_pages(listing, start_page))))
     success = not products.isEmpty()
     exports = export(products, out_dir, run_time=run_time) if success else None
+    success = success and exports.where(~F.col("success")).isEmpty()
     return RunResult(success, run_statistics(outcomes), products, refused, error_counts(refused),
                      exports)

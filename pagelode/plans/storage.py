@@ -1,23 +1,25 @@
 """Where a job keeps what it uses more than once."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str) -> str:
-    """The folder that the session names for checkpoints; ``fallback`` where it names none.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name that all machines share: under the session's ``spark.checkpoint.dir``, else its warehouse.
 
-    It has to be one that all machines share, so the fallback is a folder next to a job's output.
+    The session's own settings stay as they are.
     """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
-    return context.getCheckpointDir()
+    top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+           or spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{top.rstrip('/')}/pagelode/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, fallback: str) -> DataFrame:
-    """Write a result to the checkpoint folder and go on from there.
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as a Parquet table, in a new shared folder if none is given.
 
-    What follows reads files, so a lost executor costs no earlier step again.
+    What follows reads files, so a lost executor costs no earlier step again, and only the columns it needs.
     """
-    checkpoint_folder(df.sparkSession, fallback)
-    return df.checkpoint()
+    path = folder or shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

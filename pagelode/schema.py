@@ -104,10 +104,7 @@ NUMERIC_UNITS = {
     "battery_capacity": "mAh", "weight": "g", "thickness": "mm", "height": "mm", "width": "mm",
 }
 
-# Limits and counters.
-MAX_LISTING_PAGES = 250
-MAX_GUESSED_PAGES = 210
-SMALL_RUN = 50
+# Counters.
 BATCH_SIZE = 50
 ERROR_TYPES = (
     "network_errors", "parsing_errors", "validation_errors", "critical_errors", "warnings",

@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,8 @@ def export(df: DataFrame, out_dir: str, base: str = S.EXPORT_NAME,
     """K1-K6, K8: JSON and CSV of one table, and one row about each.
 
     ``df`` is computed once per format: pass a stored table where that is dear, as the catalogue
-    job does. ``run_time`` defaults to now.
+    job does. ``run_time`` defaults to now. A format that cannot be written gives a row with the error
+    and does not keep the other from being written; ``record_count`` counts the rows as they are written.
     """
     require_rows(df)
     run_time = run_time or datetime.now()
@@ -72,12 +73,14 @@ def export(df: DataFrame, out_dir: str, base: str = S.EXPORT_NAME,
     results = []
     for fmt, write in (("json", write_json), ("csv", write_csv)):
         path = f"{out_dir}/{snapshot_name(fmt, base, run_time)}"
-        write(df, path)
-        results.append((fmt, path))
-    rows = df.count()
+        seen = Observation()
+        try:
+            write(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+            results.append((True, fmt, path, seen.get["n"], None))
+        except Exception as e:  # told to the caller as a row
+            results.append((False, fmt, path, 0, str(e).splitlines()[0][:500] if str(e) else type(e).__name__))
     return spark.createDataFrame(
-        [(True, fmt, path, rows) for fmt, path in results],
-        "success boolean, format string, path string, record_count bigint")
+        results, "success boolean, format string, path string, record_count bigint, error string")
 
 
 def read_json_export(spark: SparkSession, path: str, schema: T.StructType = S.PRODUCT_SCHEMA,

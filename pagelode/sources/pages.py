@@ -43,11 +43,21 @@ def read_text_pages(spark: SparkSession, path: str, url: Column | None = None,
 
 def read_binary_pages(spark: SparkSession, path: str, url: Column | None = None,
                       kind: str | Column | None = None, charset: str = "UTF-8") -> DataFrame:
-    """One page per binary file; the change time of the file is the capture time."""
+    """One page per binary file; the change time of the file is the capture time.
+
+    A byte that is none of the charset's becomes U+FFFD and costs no page. ``charset`` is UTF-8 or one
+    that has a character for every byte.
+    """
+    if charset.upper() == "UTF-8":
+        html = F.make_valid_utf8(F.col("content").cast("string"))
+    elif charset.upper() in ("ISO-8859-1", "LATIN1"):
+        html = F.decode("content", "ISO-8859-1")
+    else:
+        raise ValueError(f"charset {charset}: convert the files to UTF-8 first")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return as_pages(files.select(
         (url if url is not None else F.col("path")).alias("url"),
-        F.decode("content", charset).alias("html"),
+        html.alias("html"),
         F.col("modificationTime").alias("fetched_at")), kind)
 
 

@@ -130,3 +130,13 @@ def test_urls(values):
         "https://shop.example.com/media/x.webp", "https://i.example.com/x", "", ""]
     assert values(page_number, ["https://s.example/l", "https://s.example/l?page=7", "l?a=1&page=12#x",
                                 "l?page=99999999999"]) == [1, 7, 12, 1]
+
+
+def test_long_urls(values):
+    from pagelode.functions.urls import is_valid_url, join_url
+    hosts = ["a." * 50_000 + "com", "a." * 50_000 + "c0m", "a" * 63 + ".com", "a" * 64 + ".com", "a..com", "-a.com", "a-.com", "a.b.co.",
+             "LOCALHOST:80", "1.2.3.4:8/x", "com", "a.com:x", "a.com/ x", ""]
+    assert values(is_valid_url, [f"https://{h}" for h in hosts]) == [
+        True, False, True, False, False, False, False, True, True, True, False, False, False, False]
+    got = values(lambda v: join_url(F.lit("https://s"), v), ["../" * 40_000 + "x", "./y", ".z", "..."])
+    assert got == ["https://s/x", "https://s/y", "https://s/.z", "https://s/..."]

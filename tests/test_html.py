@@ -160,3 +160,13 @@ def test_long_attribute_lists_do_not_exhaust_the_stack(values):
     assert values(lambda c: F.length(H.first_element(c, "div", cls="hit")), [many]) == [len(many)]
     spaces = "<td>" + " " * 200_000 + "<b>x</b>" + "\n" * 200_000 + "y</td>"
     assert values(H.tight_text, [spaces]) == ["xy"] and values(H.spaced_text, [spaces]) == ["x y"]
+
+
+def test_references_as_readers_take_them(values):
+    import html as python_html
+    texts = ["&#x110000;a", "&#9999999;", "&#xD800;b", "&#0;", "&#146;", "&#x80;x", "&#0000000000065;", "&#x000000000041;", "&#99999999999999999999999;",
+             "&check;", "&nbsp d", "&notit;", "&copy2024", "&amp;lt;", "&AMP;", "&ltx", "&unknown;", "&;", "&#;", "&#x;", "&#65 b", "a & b", "&Eacute;&eacute",
+             "&" * 5000, "&#65;" * 20_000, "&NotEqualTilde;"]
+    got = values(H.decode_entities, texts)
+    for text, result in zip(texts, got):
+        assert result == python_html.unescape(text), text[:40]

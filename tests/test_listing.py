@@ -129,10 +129,13 @@ def test_next_page_signals(pages):
                    f"{BASE}?page=7", None, "https://o.example.com/l?page=9"]
 
 
-def test_guess_stops_at_210(pages):
+def test_guesses_have_no_end_of_their_own(pages):
     item = "<div class='phone-item'></div>"
-    table = pages(*[(f"{BASE}?page={n}", n, "listing", 200, item) for n in (209, 210)])
-    assert [r.next_page_url is None for r in L.listing_pages(table).orderBy("page_no").collect()] == [False, True]
+    table = pages(*[(f"{BASE}?page={n}", n, "listing", 200, item) for n in (209, 210, 3000)])
+
+    def ends(**options):
+        return [r.next_page_url is None for r in L.listing_pages(table, **options).orderBy("page_no").collect()]
+    assert ends() == [False] * 3 and ends(max_guessed_pages=210) == [False, True, True]
 
 
 def walk(listing_df):
@@ -154,10 +157,31 @@ def test_walk_ends_at_gaps_empty_pages_and_missing_signals(pages):
     assert walk(G.take_first(make([1, 2, 3], p2=no_signal), 9)) == [1, 2, 3]
 
 
-def test_walk_cap(pages):
+def test_long_walks(pages):
     full = script([record("a")], 1, 999)
-    table = L.listing_pages(pages(*[(f"{BASE}?page={n}", n, "listing", 200, full) for n in range(1, 256)]))
-    assert walk(G.take_pages(table)) == list(range(1, 251))
+    table = L.listing_pages(pages(*[(f"{BASE}?page={n}", n, "listing", 200, full) for n in range(1, 301)]))
+    assert walk(G.take_pages(table)) == list(range(1, 301))
+    assert walk(G.take_pages(table, start_page=260)) == list(range(260, 301))
+    assert walk(G.take_pages(table, start_page=10, max_pages=5)) == list(range(10, 15))
+
+
+def test_one_stop_rule_for_every_size(pages):
+    no_signal = "<script>let phones = " + json.dumps([record(f"z{i}") for i in range(10)]) + ";</script>"
+    full = script([record(f"y{i}") for i in range(60)], 2, 9)
+    table = listing(pages, no_signal, full)
+    assert [sum(len(r.products) for r in G.discover(table, n).collect()) for n in (50, 51, None)] == [10, 10, 10]
+
+
+def test_rejects_of_reached_pages(pages):
+    untitled = {"type": "mobile", "title": None, "slug": "u"}
+    odd = "<script>let phones = " + json.dumps([record("b"), untitled]) + "</script><script>var phones = [];</script>"
+    odd = odd.replace("]</script>", "];</script>", 1) + "<a href='?page=3'>3</a>"
+    make = [(f"{BASE}?page={n}", n, "listing", s, h) for n, s, h in (
+        (1, 200, script([record("a"), untitled, untitled])), (2, 200, odd), (3, 503, None), (4, 200, script([untitled])))]
+    table = L.listing_pages(pages(*make), rejects=True)
+    got = sorted((r.url[-1], r.error_type, r.reason) for r in L.page_rejects(G.reached_pages(table)).collect())
+    assert got == [("1", "parsing_errors", "record without a title")] * 2 + [
+        ("2", "parsing_errors", "record without a title"), ("3", "network_errors", "status 503")]
 
 
 def test_limits_cut_in_page_order(pages):

@@ -11,7 +11,7 @@ from pagelode.operators import listing as L
 from pagelode.operators import stats as A
 from pagelode.operators import triage as X
 from pagelode.plans import catalogue as W
-from pagelode.plans.storage import checkpoint_folder
+from pagelode.plans.storage import shared_folder
 from pagelode.sinks import export as K
 from pagelode.sources import pages as P
 from pagelode.streaming.pages import append_stream, stream_pages
@@ -72,10 +72,10 @@ def test_salted_join_equals_plain_join(spark):
     one = spark.range(400).select(F.col("id").alias("key"), (F.col("id") * 7).alias("w"))
     for how in ("inner", "left"):
         plain = many.join(one, "key", how)
-        salted = E.join_many_to_one(many, one, "key", how, min_hot_rows=1_000)
+        salted = E.join_many_to_one(many, one, "key", how, rows_per_salt=1_000)
         assert salted.columns == plain.columns
         assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
-    assert {r.key for r in E.hot_keys(many, "key", 1_000).collect()} == {0, 1}
+    assert {r.key for r in E.salted_keys(many, "key", 1_000).collect()} == {0, 1}
 
 
 def test_salt_spreads_the_hot_key(spark):
@@ -84,7 +84,7 @@ def test_salt_spreads_the_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = E.join_many_to_one(many, one, "key", "inner", min_hot_rows=1_000)
+        joined = E.join_many_to_one(many, one, "key", "inner", rows_per_salt=1_000)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -274,22 +274,55 @@ def test_positions_count_products_of_a_catalogue(archive):
     assert got == [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "e")]
 
 
-class FakeContext:
-    folder = None
+def test_shared_folder_follows_the_session():
+    class Session:
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+        conf = {"spark.checkpoint.dir": "hdfs://shared/", "spark.sql.warehouse.dir": "file:/house"}
+    assert shared_folder(Session).startswith("hdfs://shared/pagelode/")
+    Session.conf = {"spark.sql.warehouse.dir": "file:/house"}
+    assert shared_folder(Session).startswith("file:/house/pagelode/") and shared_folder(Session) != shared_folder(Session)
 
-    def getCheckpointDir(self):
-        return self.folder
 
-    def setCheckpointDir(self, folder):
-        self.folder = folder
+def test_null_keys_and_many_frequent_keys_fill_several_partitions(spark):
+    many = spark.range(30_000).select(F.when(F.col("id") < 15_000, None).otherwise(F.col("id") % 1_100).alias("key"), "id")
+    one = spark.range(1_100).select(F.col("id").alias("key"), F.lit("x").alias("w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = E.join_many_to_one(many, one, "key", "left", rows_per_salt=5)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count_if(F.col("key") == 1_099).alias("last")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(p.n for p in parts) == 30_000 and max(p.nulls for p in parts) < 5_000
+    assert sum(p["last"] > 0 for p in parts) > 1
 
 
-@pytest.mark.parametrize(("named", "want"), [("hdfs://shared", "hdfs://shared"), (None, "own")])
-def test_checkpoint_folder(named, want):
-    class Session:
-        sparkContext = FakeContext()
-        conf = {"spark.checkpoint.dir": named}
-    assert checkpoint_folder(Session, "own") == want
+def test_capture_time_from_the_run(archive):
+    table = archive().withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    stamp = F.to_timestamp(F.lit("2025-03-04 05:06:07"))
+    assert {r.scraped_at for r in D.parse_details(table, run_time=stamp).collect()} == {"2025-03-04T05:06:07"}
+    assert {r.scraped_at for r in D.parse_details(table).collect()} == {None}
+
+
+def test_failed_export_is_a_row(spark, archive, tmp_path):
+    run_time = datetime(2025, 6, 1)
+    (tmp_path / K.snapshot_name("csv", run_time=run_time)).mkdir()  # in the way of one format
+    run = W.run_catalogue(spark, archive(), str(tmp_path), run_time=run_time)
+    rows = {r.format: r for r in run.exports.collect()}
+    assert rows["json"].success and rows["json"].record_count == 2 and rows["json"].error is None
+    assert not rows["csv"].success and rows["csv"].record_count == 0 and "already exists" in rows["csv"].error
+    assert not run.success and run.statistics.first().total_found == 5
+
+
+def test_bad_bytes_cost_no_page(spark, tmp_path):
+    (tmp_path / "bad.html").write_bytes(b"\x41\xff\xfe\x42")
+    assert P.read_binary_pages(spark, str(tmp_path)).first().html == "A\ufffd\ufffdB"
+    assert P.read_binary_pages(spark, str(tmp_path), charset="ISO-8859-1").first().html == "Aÿþ" + "B"
+    with pytest.raises(ValueError):
+        P.read_binary_pages(spark, str(tmp_path), charset="UTF-16")
 
 
 # --- stream --------------------------------------------------------------------------------------
