@@ -35,7 +35,30 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
-@query()
+#: A-Z in lower case, words of ASCII letters, digits and anything beyond ASCII.
+WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query(CONTAMINATION_SQL)
 def op2_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -44,7 +67,32 @@ def op2_decontamination(spark, sf_dir):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query()
+LINES_SQL = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, i - 1 AS line, parts[i] AS s FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM split)),
+w AS (SELECT doc_id, line, s, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM l),
+m AS (SELECT doc_id, line, w, len(w) AS n, [CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END FOR x IN w] AS v
+  FROM w WHERE len(w) >= 4),
+c AS (SELECT *, 2 * len([x FOR x IN v IF x <> chr(1)]) >= n AS mostly FROM m),
+keys AS (
+  SELECT doc_id, line, CASE WHEN mostly THEN 'm ' || array_to_string(v, ' ')
+    ELSE 'e ' || array_to_string(v[1:3], ' ') || chr(2) || array_to_string(w, ' ') END AS key FROM c
+  UNION ALL
+  SELECT doc_id, line, p || ' ' || n || ' ' || array_to_string(
+    [CASE WHEN i <= 3 OR (i - 1) % 2 = p THEN v[i] ELSE '' END FOR i IN range(1, n + 1)], ' ')
+  FROM c, (VALUES (0), (1)) t(p) WHERE mostly AND n >= 8),
+recurring AS (SELECT key, min(doc_id) AS first FROM keys GROUP BY key HAVING min(doc_id) < max(doc_id)),
+dropped AS (SELECT DISTINCT doc_id, line FROM keys JOIN recurring USING (key) WHERE doc_id > first),
+kept AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY line) AS text FROM l ANTI JOIN dropped USING (doc_id, line) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM dropped GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN split.text ELSE coalesce(kept.text, '') END AS text,
+  CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_dropped
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+
+@query(LINES_SQL)
 def op3_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_recurring_lines(docs, counts=True)

@@ -1,28 +1,16 @@
-"""Folds of documents, and stages that a job keeps in the folder all machines share."""
+"""Folds of documents, and the tables that a job keeps in the folder all machines share."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelode.plans.storage import shared_folder, written
+
+__all__ = ["fold", "shared_folder", "written"]
+
 
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name under the session's ``spark.checkpoint.dir``; under its warehouse where that is unset."""
-    top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-           or spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{top.rstrip('/')}/pagelode/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: what follows survives lost executors."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
