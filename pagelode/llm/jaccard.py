@@ -9,7 +9,7 @@ being cheaper than scanning lists.
 
 The order puts frequent n-grams last. Any order gives the same links, so a sketch of fixed size is enough
 to tell which ones are frequent. Copies of the same set are one node from the start. A first round links
-each node to the smallest one of the list it shares most; lists whose nodes are then in one component
+each node to the most central one of the list it shares most, and those of long lists to others; lists whose nodes are then in one component
 have nothing left to show. A second round compares the nodes of the other lists that are in different
 components: the component that most of a list's nodes have meets the others only. They have
 to share as many n-grams at the start of the order as any similar pair does. Candidates are checked on
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagelode.llm.components import connected_components
 from pagelode.llm.tables import written
@@ -42,6 +43,8 @@ SKETCH_BITS = 18
 LARGEST_LIGHT = 12
 #: Postings of one list that are looked at together in the first round.
 LIST_ROWS = 20_000
+#: Lists of so many nodes get a round more before all that is left is compared.
+CROWDED = 64
 
 _CLASS_BITS = np.uint64(58)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -143,13 +146,14 @@ def light_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
 
 
 def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied: dict[int, object]) -> DataFrame:
-    """(part, key, set, n): what each set puts into lists. ``copied``: the document that speaks for a very frequent set.
+    """(part, key, set, n, central): what each set puts into lists. ``copied``: the document that speaks for a frequent set.
 
-    A list that the sketch expects to be long has several parts.
+    A list that the sketch expects to be long has several parts. ``central`` is how many frequent n-grams
+    the prefix of the set has: edited copies have rare ones of their own, what they were made from has not.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequency_classes(counts), counts, copied))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "key", "set", "n")])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "key", "set", "n", "central")])
 
     def keys_of(order, size):
         keys = []
@@ -170,7 +174,7 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
             cell = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             ordered = (classes[cell] << _CLASS_BITS) | (mixed(hashes) >> np.uint64(6))
             parts = np.maximum(1, -(-counts[cell] // LIST_ROWS))
-            out_keys, out_parts, own = [], [], []
+            out_keys, out_parts, own, central = [], [], [], np.zeros(len(ids), np.int64)
             docs_ids = piece.column("doc_id").to_pylist() if copied else None
             for i in np.flatnonzero(sizes).tolist():
                 if copied and copied.get(int(ids[i]), docs_ids[i]) != docs_ids[i]:
@@ -179,6 +183,7 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
                 order = np.argsort(ordered[a:b])
                 keys = keys_of(ordered[a:b][order], b - a)
                 split = np.ones(len(keys), np.int64)
+                central[i] = np.count_nonzero(classes[cell[a:b][order[:prefix_length(b - a)]]])
                 if classes[cell[a:b]].any() and (b - a > light or 5 * (b - a) // 4 > light):
                     first = order[:prefix_length(b - a)]
                     split[:len(first)] = np.where(classes[cell[a:b][first]] > 0, parts[a:b][first], 1)
@@ -191,24 +196,25 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
             salt = (mixed(ids[own].view(np.uint64)) % split.astype(np.uint64)) * _SALT
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mixed(keys + salt).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(ids[own]),
-                 pa.array(sizes[own])], names=["part", "key", "set", "n"])
+                 pa.array(sizes[own]), pa.array(central[own])],
+                names=["part", "key", "set", "n", "central"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """Of the postings, those whose list has several sets; with the smallest set of its part of the list."""
+    """Of the postings, those whose list has several sets; with the most central set of its part of the list."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "set", "n", "pivot", "pivot_n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], [], []]
+        columns = [[], [], [], [], []]
         for batch in batches:
             for kept, column in zip(columns, batch.columns):
                 kept.append(column.to_numpy())
         if not columns[0]:
             return
-        part, key, own, n = (np.concatenate(c) for c in columns)
-        order = np.lexsort((own, part))
+        part, key, own, n, central = (np.concatenate(c) for c in columns)
+        order = np.lexsort((own, -central, part))
         part, key, own, n = part[order], key[order], own[order], n[order]
         fresh = np.ones(len(part), bool)
         fresh[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
@@ -266,6 +272,16 @@ def _prefix_share(a: str, b: str, light: int):
     return F.when(F.least(a, b) <= light, F.lit(1)).otherwise(F.greatest(needed, F.lit(1)))
 
 
+def _unsettled(named: DataFrame, linked: DataFrame, least: int = 2) -> DataFrame:
+    """Lists of at least ``least`` nodes that are in several components; ``main`` is the one that most are in."""
+    grouped = named.select("key", "node", "n").join(connected_components(linked), "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
+    by_key = grouped.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("m"), F.sum("c").alias("all"))
+    several = by_key.where((F.col("m") > 1) & (F.col("all") >= least))
+    return written(grouped.join(several.select("key", F.col("most.component").alias("main")), "key"))
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links lead to) of each row."""
     spark = docs.sparkSession
@@ -298,12 +314,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.col("best.pivot_node").alias("a"), F.col("node").alias("b")))
     linked = written(verified(first, texts, words))
 
-    first_groups = connected_components(linked)
-    grouped = named.select("key", "node", "n").join(first_groups, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    by_key = grouped.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("m")).where("m > 1")
-    mixed_lists = written(grouped.join(by_key.select("key", F.col("most.component").alias("main")), "key"))
+    # Members of long lists that are not yet with most of the list try two more of those that are.
+    crowded = _unsettled(named, linked, CROWDED)
+    some = crowded.where(F.col("component") == F.col("main")).groupBy("key").agg(
+        F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("y"))
+    tries = crowded.where(F.col("component") != F.col("main")).join(some, "key").select(
+        F.col("node").alias("b"), F.col("n").alias("bn"), F.col("y.node").alias("a"), F.col("y.n").alias("an")).where(
+        _similar_sizes("an", "bn")).groupBy("a", "b").agg(F.count("*").alias("c"))
+    best = tries.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("r <= 2")
+    linked = written(linked.union(verified(best.select("a", "b"), texts, words)))
+
+    mixed_lists = _unsettled(named, linked)
     others = mixed_lists.where(F.col("component") != F.col("main"))
     left = others.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
     right = mixed_lists.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"),
