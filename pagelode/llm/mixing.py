@@ -81,8 +81,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     empty = min((b // slots_of[r.source]) * length + place[r.source, b % slots_of[r.source]]
                 for r in sizes for b in [-(-r.n // block_rows)])
 
-    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # Rows before a part: those of the groups of parts before its own, and those before it in its group.
+    # A window holds 256 rows at most, whatever a source has.
+    grouped = parts.withColumn("_group", F.substring("_part", 1, 2))
+    before = Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("source", "_group").agg(F.sum("_n").alias("_n")).select(
+        F.col("source").alias("_s"), F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("source", "_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = grouped.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))).select(
+        "source", "_part", (F.col("_start") + F.col("_inside")).alias("_offset"))
     within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", F.xxhash64("text"))
     numbered = rows.withColumn("_i", F.row_number().over(within)).alias("d").join(
         offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d._part") == F.col("o._part")))
