@@ -251,6 +251,19 @@ def k8_export_result(spark, sf_dir):
     return K.export(sample(spark, sf_dir), scratch(spark)).select("success", "format", "record_count")
 
 
+@query("SELECT p_brand AS brand, count(*) AS rows, count(*) FILTER (p_partkey < 0) = 0 AS refused FROM part GROUP BY p_brand")
+def k6_empty_guard(spark, sf_dir):
+    """By brand, its rows and whether an export of those with a negative key is refused, which are none."""
+    rows = sample(spark, sf_dir)
+    out = scratch(spark)
+    try:
+        K.export(rows.where(F.col("alpha").cast("bigint") < 0), out)
+        refused = False
+    except ValueError:
+        refused = True
+    return rows.groupBy("brand").agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
+
+
 @query(DETAILS + "SELECT url AS detail_url, brand, model, status, price_savings, "
        "CAST(n_variants AS INTEGER) AS n_variants FROM wide")
 def s4_read_export_back(spark, sf_dir):
