@@ -146,14 +146,15 @@ def light_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
 
 
 def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied: dict[int, object]) -> DataFrame:
-    """(part, key, set, n, central): what each set puts into lists. ``copied``: the document that speaks for a frequent set.
+    """(part, key, split, set, n, central): what each set puts into lists. ``copied``: the document that speaks for a frequent set.
 
-    A list that the sketch expects to be long has several parts. ``central`` is how many frequent n-grams
+    A list that the sketch expects to be long has several parts, and ``split`` is how many. ``central`` is how many frequent n-grams
     the prefix of the set has: edited copies have rare ones of their own, what they were made from has not.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequency_classes(counts), counts, copied))
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "key", "set", "n", "central")])
+    shared = spark.sparkContext.broadcast((frequency_classes(counts), np.maximum(1, -(-counts // LIST_ROWS)), copied))
+    names = ["part", "key", "split", "set", "n", "central"]
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def keys_of(order, size):
         keys = []
@@ -167,13 +168,13 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
         return np.concatenate(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, counts, copied = shared.value
+        classes, cell_parts, copied = shared.value
         for piece in pieces(batches):
             hashes, offsets = sets_of_piece(text_array(piece.column("text")), words)
             ids, sizes = set_ids(hashes, offsets), np.diff(offsets)
             cell = (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             ordered = (classes[cell] << _CLASS_BITS) | (mixed(hashes) >> np.uint64(6))
-            parts = np.maximum(1, -(-counts[cell] // LIST_ROWS))
+            parts = cell_parts[cell]
             out_keys, out_parts, own, central = [], [], [], np.zeros(len(ids), np.int64)
             docs_ids = piece.column("doc_id").to_pylist() if copied else None
             for i in np.flatnonzero(sizes).tolist():
@@ -195,9 +196,8 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
             keys, split, own = np.concatenate(out_keys), np.concatenate(out_parts), np.concatenate(own)
             salt = (mixed(ids[own].view(np.uint64)) % split.astype(np.uint64)) * _SALT
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mixed(keys + salt).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(ids[own]),
-                 pa.array(sizes[own]), pa.array(central[own])],
-                names=["part", "key", "set", "n", "central"])
+                [pa.array(mixed(keys + salt).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(split), pa.array(ids[own]),
+                 pa.array(sizes[own]), pa.array(central[own])], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -207,23 +207,23 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "set", "n", "pivot", "pivot_n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], [], [], []]
+        columns = [[], [], [], [], [], []]
         for batch in batches:
             for kept, column in zip(columns, batch.columns):
                 kept.append(column.to_numpy())
         if not columns[0]:
             return
-        part, key, own, n, central = (np.concatenate(c) for c in columns)
+        part, key, split, own, n, central = (np.concatenate(c) for c in columns)
         order = np.lexsort((own, -central, part))
-        part, key, own, n = part[order], key[order], own[order], n[order]
+        part, key, split, own, n = part[order], key[order], split[order], own[order], n[order]
         fresh = np.ones(len(part), bool)
         fresh[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
-        part, key, own, n = part[fresh], key[fresh], own[fresh], n[fresh]
+        part, key, split, own, n = part[fresh], key[fresh], split[fresh], own[fresh], n[fresh]
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         size = np.diff(np.concatenate((first, [len(part)])))
         pivot = np.repeat(first, size)
         # A list in parts may have its other sets in another part.
-        keep = (np.repeat(size, size) > 1) | (part != mixed(key.view(np.uint64)).view(np.int64))
+        keep = (np.repeat(size, size) > 1) | (split > 1)
         for i in range(0, len(part), 100_000):
             k = np.flatnonzero(keep[i:i + 100_000]) + i
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], own[k], n[k], own[pivot[k]], n[pivot[k]])],

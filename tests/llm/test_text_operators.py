@@ -80,6 +80,18 @@ def test_similar_documents_match_brute_force(spark, docs):
     assert kept == {i for i, (_, c) in got.items() if c == i}
 
 
+@pytest.mark.parametrize("list_rows", [2, 3])
+def test_similar_documents_of_lists_in_parts_match_brute_force(spark, docs, monkeypatch, list_rows):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
+    rng = random.Random(14)
+    rows = []
+    for _ in range(40):
+        base = prose(rng, 40)
+        rows += [(len(rows) + k, base) for k in range(list_rows)] + [(len(rows) + list_rows, base + " other")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs(rows)).collect()}
+    assert got == plain_components(rows)
+
+
 def test_similar_documents_of_nothing_and_of_odd_rows(spark, docs):
     assert jaccard.similar_documents(docs([])).count() == 0
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (None, "q w e r t y u")]
