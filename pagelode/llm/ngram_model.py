@@ -5,11 +5,15 @@ three, two and one words and a uniform one are mixed with weights that depend on
 was seen; expectation-maximisation learns them from training events whose own count is taken out
 (deleted), over a fixed share of the training documents.
 
-All words count in the unigrams, however rare: frequent ones are looked up in a table whose size is
-bounded by a share of all tokens, the others by a join. N-grams of several words enter the model from a
-share of all tokens on, which bounds their tables the same way at every size; as an n-gram is no more
-frequent than its parts, rarer parts need not be counted. Their estimates are over what the model keeps,
-so the mixture is a probability over all texts, with one place for unknown words.
+All words, pairs and triples of the training documents are in the model, however rare. Their counts are
+a table in the shared folder, which grows with the documents. Texts are read in parts of some megabytes;
+each part sends its distinct n-grams to the table once and gets their counts back. As every word of a
+text is followed by one token, a context's total is its own count. The mixture is a probability over all
+texts, with one place for unknown words.
+
+A caller who wants a small model gives ``ngram_share``: n-grams of several words then enter it from that
+share of all tokens on, and its tables are broadcast; only rare words are looked up by a join. Its
+estimates are over what it keeps.
 
 Null texts are empty and have an end only. A null id counts as the empty text for folds. Without
 training documents the uniform estimate over the one unknown word is left, log probability 0. Repeated
@@ -18,6 +22,7 @@ rows are learned and scored each. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode.llm.tables import written
-from pagelode.llm.words import SPACED, pieces, split_words, text_array
+from pagelode.llm.words import SPACED, mixed, pieces, split_words, text_array
 
 END = np.uint64(0x5851F42D4C957F2D)
+START = np.uint64(0x14057B7EF767814F)
 BUCKETS = 256
-#: From this share of all tokens on, words are in the broadcast table, and n-grams in the model.
-COMMON_SHARE, NGRAM_SHARE = 2e-7, 1e-5
+#: From this share of all tokens on, words are in the broadcast table of a small model.
+COMMON_SHARE = 2e-7
+#: Text of the documents whose n-grams are looked up together.
+PART_BYTES = 16 << 20
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +71,27 @@ def in_unique(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return found_in(keys, unique)[inverse]
 
 
+def bucket_of(seen3: np.ndarray, seen2: np.ndarray) -> np.ndarray:
+    level = lambda n: np.where(n > 0, 1 + np.minimum(14, np.log2(np.maximum(n, 1)) // 2), 0).astype(np.int64)
+    return 16 * level(seen3) + level(seen2)
+
+
+def word_keys(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return tokens.view(np.int64)
+
+
+def longer_keys(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By token: hash of the pair that ends with it, and of the triple; the first of a text has no triple of its own."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[offsets[:-1]] = START
+    pair = mixed(mixed(before + START) + tokens)
+    triple = np.empty_like(pair)
+    triple[1:] = mixed(mixed(pair[:-1] ^ START) + tokens[1:])
+    triple[offsets[:-1]] = pair[offsets[:-1]]
+    return pair.view(np.int64), triple.view(np.int64)
+
+
 @dataclass
 class Model:
     """Tables of the model, all sorted by key; a word's number is its place in ``words``."""
@@ -77,6 +106,7 @@ class Model:
     triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     triples_n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros((BUCKETS, 4)))
+    whole: bool = False  # all n-grams count, and are not in these tables
 
     def __post_init__(self):
         self.total()
@@ -116,8 +146,7 @@ class Model:
         one = in_unique(self.common, tokens)
         pick = lambda table, at: np.where(at >= 0, table[np.maximum(at, 0)] if len(table) else 0, 0)
         seen2, seen3 = pick(self.after_word, before), pick(self.after_pair, context)
-        level = lambda n: np.where(n > 0, 1 + np.minimum(14, np.log2(np.maximum(n, 1)) // 2), 0).astype(np.int64)
-        return (16 * level(seen3) + level(seen2), (pick(self.triples_n, triple), pick(self.pairs_n, pair),
+        return (bucket_of(seen3, seen2), (pick(self.triples_n, triple), pick(self.pairs_n, pair),
                                                    np.where(one >= 0, pick(self.common_n, one), -1)), (seen3, seen2))
 
 
@@ -155,6 +184,19 @@ def counted(docs: DataFrame, keys_of, most: int = 1 << 22) -> DataFrame:
     return sums
 
 
+def longer_counts(training: DataFrame) -> DataFrame:
+    """(key, n) of all pairs and triples."""
+
+    def keys_of(tokens, offsets):
+        pair, triple = longer_keys(tokens, offsets)
+        inner = np.ones(len(tokens), bool)
+        inner[offsets[:-1]] = False
+        return np.concatenate((pair, triple[inner]))
+
+    # Hashes take all 64 bits, and none is left out.
+    return counted(training, keys_of)
+
+
 def sorted_table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """A table of bounded size (key, n) as two arrays, sorted by key."""
     table = df.select("key", "n").toArrow()
@@ -166,7 +208,7 @@ def sorted_table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def learned_tables(training: DataFrame, common_share: float, ngram_share: float) -> tuple[Model, DataFrame]:
     """The model without its weights, and the counts of all words as a table in the shared folder."""
     spark = training.sparkSession
-    vocabulary = written(counted(training, lambda tokens, offsets: tokens.view(np.int64)))
+    vocabulary = written(counted(training, word_keys))
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = max(1, int(np.ceil(ngram_share * size.n)))
     common, common_n = sorted_table(vocabulary.where(F.col("n") >= max(1, int(np.ceil(common_share * size.n)))))
@@ -194,6 +236,118 @@ def learned_tables(training: DataFrame, common_share: float, ngram_share: float)
     return model, vocabulary
 
 
+# --- counts of all n-grams, by parts of the documents ---
+
+def in_parts(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with ``part``: documents that were read together, as a table in the shared folder."""
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text"], T.StructField("part", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = 0, PART_BYTES
+        for piece in pieces(batches):
+            if size >= PART_BYTES:
+                part, size = int.from_bytes(os.urandom(8), "little") >> 1, 0
+            size += piece.column("text").nbytes
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("text"), pa.array(np.full(piece.num_rows, part))],
+                names=["doc_id", "text", "part"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, schema))
+
+
+def by_counts(docs: DataFrame, counts: DataFrame, use, schema: T.StructType) -> DataFrame:
+    """What ``use`` makes of every part: ``use(ids, offsets, c3, c2, c1, seen3, seen2)`` gets the counts by token."""
+    stored = in_parts(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+
+        def out():
+            keys = np.unique(np.concatenate(held))
+            for i in range(0, len(keys), 100_000):
+                k = keys[i:i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), last)), pa.array(k)], names=["part", "key"])
+            held.clear()
+
+        for batch in batches:
+            parts = batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if held and parts[a] != last:
+                    yield from out()
+                last = int(parts[a])
+                for piece in pieces([batch.slice(a, b - a)]):
+                    tokens, offsets = tokens_of(text_array(piece.column("text")))
+                    held.append(np.unique(np.concatenate((tokens.view(np.int64), *longer_keys(tokens, offsets)))))
+        if held:
+            yield from out()
+
+    wanted = stored.select("part", "text").mapInArrow(run, "part long, key long")
+    # Most n-grams are seen once: those are not sent back.
+    found = wanted.join(counts, "key", "left").select("part", "key", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+
+    def together(texts: pa.Table, known: pa.Table) -> pa.Table:
+        keys, n = known.column("key").to_numpy(), known.column("n").to_numpy()
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+
+        def count(wanted):
+            at = in_unique(keys, wanted)
+            return np.where(at >= 0, n[np.maximum(at, 0)] if len(n) else 0, 1)
+
+        texts_seen = int(count(np.array([END]).view(np.int64))[0])
+        made = []
+        for piece in pieces(texts.combine_chunks().to_batches()):
+            tokens, offsets = tokens_of(text_array(piece.column("text")))
+            pair, triple = longer_keys(tokens, offsets)
+            c1, c2, c3 = count(tokens.view(np.int64)), count(pair), count(triple)
+            seen2, seen3 = np.empty_like(c1), np.empty_like(c2)
+            seen2[1:], seen3[1:] = c1[:-1], c2[:-1]
+            first = offsets[:-1]
+            seen2[first], seen3[first], c3[first] = texts_seen, 0, 0
+            made.append(use(piece.column("doc_id"), offsets, c3, c2, c1, seen3, seen2))
+        return pa.Table.from_batches(made)
+
+    return stored.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(together, schema)
+
+
+def whole_events(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """``deleted_events`` with the counts of all n-grams."""
+    tokens = model.tokens
+
+    def use(ids, offsets, c3, c2, c1, seen3, seen2):
+        keys, n = np.unique(deleted_keys(bucket_of(seen3, seen2), c3, c2, c1, seen3, seen2, tokens), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    return by_counts(docs, counts, use, schema).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def whole_scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``score_texts`` with the counts of all n-grams."""
+    uniform = 1 / (model.distinct + 1)
+    size = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
+    weights, tokens = model.weights, model.tokens
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (
+        ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
+    names = schema.names
+
+    def use(ids, offsets, c3, c2, c1, seen3, seen2):
+        w = weights[bucket_of(seen3, seen2)]
+        p = (w[:, 0] * c3 / np.maximum(seen3, 1) + w[:, 1] * c2 / np.maximum(seen2, 1)
+             + w[:, 2] * c1 / max(1, tokens) + w[:, 3] * uniform)
+        at, n = offsets[:-1], np.diff(offsets)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), at)),
+             pa.array(np.add.reduceat(np.log10(c1 + 0.1), at) - n * size), pa.array(np.add.reduceat(np.log10(p), at))],
+            names=names)
+
+    return by_counts(docs, counts, use, schema)
+
+
 # --- weights ---
 
 NONE, RARE = -1, -2
@@ -204,6 +358,14 @@ def steps_of(f: np.ndarray) -> np.ndarray:
     return np.where(f > 0, np.rint(-2 * np.log2(np.maximum(f, 1e-30))), NONE).astype(np.int64)
 
 
+def deleted_keys(bucket, c3, c2, c1, seen3, seen2, tokens: int) -> np.ndarray:
+    """By token: its bucket and the estimates without its own count, in one number."""
+    rest = lambda c, seen: np.where((c > 0) & (seen > 1), (c - 1) / np.maximum(seen - 1, 1), 0)
+    q1 = np.where(c1 < 0, RARE, steps_of(rest(c1, tokens)))
+    q = [steps_of(rest(c3, seen3)) + 2, steps_of(rest(c2, seen2)) + 2, q1 + 2]
+    return ((bucket * 256 + q[0]) * 256 + q[1]) * 256 + q[2]
+
+
 def deleted_events(docs: DataFrame, model: Model) -> DataFrame:
     """(bucket, q3, q2, q1, n): training events by the estimates they have without their own count."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -211,10 +373,7 @@ def deleted_events(docs: DataFrame, model: Model) -> DataFrame:
     def keys_of(tokens, offsets):
         own = shared.value
         bucket, (c3, c2, c1), (seen3, seen2) = own.events(tokens, offsets)
-        rest = lambda c, seen: np.where((c > 0) & (seen > 1), (c - 1) / np.maximum(seen - 1, 1), 0)
-        q1 = np.where(c1 < 0, RARE, steps_of(rest(c1, own.tokens)))
-        q = [steps_of(rest(c3, seen3)) + 2, steps_of(rest(c2, seen2)) + 2, q1 + 2]
-        return ((bucket * 256 + q[0]) * 256 + q[1]) * 256 + q[2]
+        return deleted_keys(bucket, c3, c2, c1, seen3, seen2, own.tokens)
 
     return counted(docs, keys_of)
 
@@ -256,8 +415,19 @@ def mixture_weights(events: tuple[np.ndarray, np.ndarray], rare: list[tuple[int,
 
 
 def train_language_scores(training: DataFrame, deleted: Column, common_share: float = COMMON_SHARE,
-                          ngram_share: float = NGRAM_SHARE) -> tuple[Model, DataFrame]:
-    """The model of all ``training`` rows, and its table of words; ``deleted`` chooses the rows that weights learn from."""
+                          ngram_share: float | None = None) -> tuple[Model, DataFrame]:
+    """The model of all ``training`` rows, and its table of counts; ``deleted`` chooses the rows that weights learn from.
+
+    The table has all words and n-grams; with ``ngram_share``, which makes a small model, all words.
+    """
+    if ngram_share is None:
+        vocabulary = written(counted(training, word_keys))
+        size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        counts = vocabulary.unionByName(written(longer_counts(training)))
+        none = np.zeros(0, np.uint64)
+        model = Model(size.n, size.v, none, none.astype(np.int64), none, whole=True)
+        model.weights = mixture_weights(sorted_table(whole_events(training.where(deleted), counts, model)), [], model)
+        return model, counts
     model, vocabulary = learned_tables(training, common_share, ngram_share)
     events = sorted_table(deleted_events(training.where(deleted), model))
     common = max(1, int(np.ceil(common_share * model.tokens)))
@@ -273,9 +443,11 @@ def train_language_scores(training: DataFrame, deleted: Column, common_share: fl
 def score_texts(docs: DataFrame, model: Model, vocabulary: DataFrame) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``base_score`` and ``score`` of each row's whole text.
 
-    Common words are scored where the text is read; the others go to the table of all words, added up
+    Of a small model, common words are scored where the text is read; the others go to the table of all words, added up
     by document, and come back as one sum. Rows are told apart by the hash of id and text.
     """
+    if model.whole:
+        return whole_scores(docs, model, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     uniform = 1 / (model.distinct + 1)
     size = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))

@@ -479,6 +479,41 @@ def test_language_scores_without_training(spark, docs):
     assert ngram_model.score_texts(docs([]), model, vocabulary).count() == 0
 
 
+def test_all_pairs_and_triples_are_in_the_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(ngram_model, "PART_BYTES", 2_000)
+    rng = random.Random(15)
+    # Every word of the last texts is one in far more than 100,000 tokens.
+    texts = [prose(rng, 4_000) for _ in range(60)] + [f"unique{i} pair{i} triple{i} once{i}" for i in range(20)] + [None, "new words"]
+    table = docs(texts).unionByName(docs([(3, texts[3])])).repartition(3)
+    training = table.where("doc_id < 70")
+    model, counts = ngram_model.train_language_scores(training, F.col("doc_id") % 2 == 0)
+    grams, total = [Counter(), Counter(), Counter()], 0
+    for t in texts[:70] + [texts[3]]:
+        w = SPACED.findall(low(t)) + ["\0"]
+        total += len(w)
+        grams[0].update(w)
+        grams[1].update(zip(["\1", *w], w))
+        grams[2].update(zip(["\1", *w], w, w[1:]))
+    assert model.tokens == total > 200_000 and counts.count() == sum(map(len, grams))
+    assert counts.agg(F.sum("n")).first()[0] == sum(sum(g.values()) for g in grams)
+    got = ngram_model.score_texts(table, model, counts).collect()
+    assert len(got) == len(texts) + 1
+
+    def expected(t):
+        w, out = SPACED.findall(low(t)) + ["\0"], 0.0
+        for i, x in enumerate(w):
+            v = w[i - 1] if i else "\1"
+            seen2 = grams[0][v] if i else grams[0]["\0"]
+            pair = (w[i - 2] if i > 1 else "\1", v)
+            seen3 = grams[1][pair] if i else 0
+            level = lambda n: 1 + min(14, int(math.log2(n)) // 2) if n else 0
+            a = model.weights[16 * level(seen3) + level(seen2)]
+            out += math.log10(a[0] * (grams[2][(*pair, x)] if i else 0) / max(1, seen3) + a[1] * grams[1][v, x] / max(1, seen2)
+                              + a[2] * grams[0][x] / total + a[3] / (len(grams[0]) + 1))
+        return out
+    assert all(math.isclose(r.score, expected(texts[r.doc_id]), rel_tol=1e-9) for r in got)
+
+
 def test_folds_follow_crc32(spark, docs):
     from pagelode.llm.tables import fold
     rows = docs([(i, "x") for i in [0, 7, -3, 10**12]] + [(None, "x")]).select("doc_id", fold("doc_id", 5).alias("f")).collect()
