@@ -3,10 +3,12 @@
 The documents of a source form blocks of equal size, in the order of the md5 of their ids. With weight
 w of all slots, block j of a source (from 0) is released at floor(j / w) and due at ceil((j + 1) / w);
 of the released blocks the one with the earliest deadline takes the next slot. At any slot a source is
-then less than one block away from its share. Weights are fractions of ``slots``, so the schedule
-repeats after that many slots: only this one period is worked out on the driver, and the place of every
-block follows from it. No document is dropped or repeated: a source that has run out leaves its slots
-empty, and ``balanced`` tells which documents come before the first empty slot.
+then less than one block away from its share. Weights are exact fractions, as their decimals are given.
+With their smallest whole numbers the schedule repeats after as many slots as these add up to. The driver
+works out the turns of one period, or only those up to the last block that a source has where the period
+is longer, and the place of every block follows. No document is dropped or repeated: a source that has
+run out leaves its slots empty, and ``balanced`` tells which documents come before the first empty slot.
+Weights have to be positive and finite. A caller who gives ``slots`` has weights rounded to that period.
 
 Documents are numbered in two steps, by the first hex digits of the md5 within a source and then over
 these parts, so no source is sorted as a whole in one task. Null sources form a source of their own;
@@ -17,27 +19,48 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def whole_weights(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The smallest whole numbers with the given ratios."""
+    if not all(0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights have to be positive and finite")
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    common = lcm(*(f.denominator for f in exact.values()))
+    whole = {s: int(f * common) for s, f in exact.items()}
+    divisor = gcd(*whole.values())
+    return {s: n // divisor for s, n in whole.items()}
+
+
 def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """Slots of each source in one period: at least one, the rest by largest remainder."""
-    total = sum(weights.values())
-    free = slots - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    out = {s: 1 + int(e) for s, e in exact.items()}
-    rest = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s is None, s or ""))
-    for s in rest[:slots - sum(out.values())]:
-        out[s] += 1
+    """Slots of each source in a period of this length: by largest remainder, but at least one."""
+    whole = whole_weights(weights)
+    total = sum(whole.values())
+    out = {s: max(1, slots * n // total) for s, n in whole.items()}
+    while (left := slots - sum(out.values())) != 0:
+        behind = sorted(out, key=lambda s: (out[s] * total - slots * whole[s], s is None, s or ""))
+        if left > 0:
+            for s in behind[:left]:
+                out[s] += 1
+        else:
+            out[next(s for s in reversed(behind) if out[s] > 1)] -= 1
     return out
 
 
-def period(slots_of: Mapping[str | None, int]) -> list[tuple[str | None, int, int]]:
-    """(source, turn, slot) of one period: earliest deadline first among the released blocks."""
+def period(slots_of: Mapping[str | None, int],
+           needed: Mapping[str | None, int] | None = None) -> list[tuple[str | None, int, int]]:
+    """(source, turn, slot) of one period: earliest deadline first among the released blocks.
+
+    With ``needed``, turns of a source from that number on are left out, and the schedule ends after the last one.
+    """
     slots = sum(slots_of.values())
+    missing = None if needed is None else sum(1 for n in needed.values() if n > 0)
     names = sorted(slots_of, key=lambda s: (s is None, s or ""))
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, turn
     heapq.heapify(waiting)
@@ -49,33 +72,41 @@ def period(slots_of: Mapping[str | None, int]) -> list[tuple[str | None, int, in
             heapq.heappush(ready, (-(-(turn + 1) * slots // slots_of[names[k]]), k, turn))
         deadline, k, turn = heapq.heappop(ready)
         assert slot < deadline
-        out.append((names[k], turn, slot))
+        if needed is None or turn < needed[names[k]]:
+            out.append((names[k], turn, slot))
+        if needed is not None and turn + 1 == needed[names[k]]:
+            missing -= 1
+            if not missing:
+                break
         if turn + 1 < slots_of[names[k]]:
             heapq.heappush(waiting, ((turn + 1) * slots // slots_of[names[k]], k, turn + 1))
     return out
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, default_weight: float = 1.0,
-                block_rows: int = 16, slots: int = 10_000, max_sources: int = 5_000) -> DataFrame:
+                block_rows: int = 16, slots: int | None = None) -> DataFrame:
     """The documents with ``block`` (of their source), ``slot``, ``position`` in the mix, and ``balanced``.
 
-    ``weights`` are relative; a source that they do not name has ``default_weight``. The sources, at most
-    ``max_sources``, and the ``slots`` of a period are the only things the driver sees.
+    ``weights`` are relative; a source that they do not name has ``default_weight``. The sources and the
+    turns of a period are the only things the driver sees.
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "position", "balanced")  # columns of these names give way
     rows = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("_part", F.substring("_key", 1, 4))
     parts = rows.groupBy("source", "_part").agg(F.count("*").alias("_n"))
-    sizes = parts.groupBy("source").agg(F.sum("_n").alias("n")).limit(max_sources + 1).collect()
-    if len(sizes) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    sizes = parts.groupBy("source").agg(F.sum("_n").alias("n")).collect()
     if not sizes:
         return docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (
             ("block", "long"), ("slot", "long"), ("position", "long"), ("balanced", "boolean"))))
-    slots_of = shares({r.source: (weights or {}).get(r.source, default_weight) for r in sizes}, max(slots, len(sizes)))
-    table = period(slots_of)
-    length = len(table)
+    wanted = {r.source: (weights or {}).get(r.source, default_weight) for r in sizes}
+    slots_of = whole_weights(wanted) if slots is None else shares(wanted, max(slots, len(sizes)))
+    # One turn more than a source has blocks: that of its first empty slot.
+    turns = {r.source: min(-(-r.n // block_rows) + 1, slots_of[r.source]) for r in sizes}
+    table = period(slots_of, turns)
+    # A number beyond all blocks stands for any larger one.
+    length = min(sum(slots_of.values()), 1 << 62)
+    slots_of = {s: min(p, 1 << 62) for s, p in slots_of.items()}
     place = {(s, turn): slot for s, turn, slot in table}
     # The first slot that stays empty: that of the block after a source's last full or partial one.
     empty = min((b // slots_of[r.source]) * length + place[r.source, b % slots_of[r.source]]

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,21 @@ def test_mix_places_every_row_once(spark, docs):
     assert mixing.mix_sources(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("weights", [
+    {"a": 100.0} | {f"s{i}": 1.0 for i in range(300)}, {"a": 0.1234567890123457, "b": 0.7, None: 1.0}])
+def test_mix_keeps_the_target_weights(spark, weights):
+    sources = ["a"] * 400 + [s for s in weights if s != "a"]
+    table = spark.createDataFrame([(i, "t", "en", s, 1, 2, "x") for i, s in enumerate(sources)], SCHEMA)
+    total = sum(Fraction(str(w)) for w in weights.values())
+    got = mixing.mix_sources(table, weights, block_rows=1).collect()
+    assert len(got) == len({r.slot for r in got}) == len(sources)
+    for r in got:
+        one = total / Fraction(str(weights[r.source]))
+        assert math.floor(r.block * one) <= r.slot < math.ceil((r.block + 1) * one)
+    taken = {r.slot for r in got}
+    assert {r.slot for r in got if r.balanced} == set(range(min(set(range(len(got) + 1)) - taken)))
+
+
 # --- 6 ---
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
