@@ -371,6 +371,24 @@ def test_signatures_match_a_plain_version(spark, docs):
     assert same[0].fingerprint == same[1].fingerprint and same[0].near_next == 1.0 and same[1].near_next < 0.2
 
 
+def test_likeness_of_large_and_of_unequal_sets_is_exact(spark, docs):
+    rng = random.Random(16)
+    words = ["the", "of", "und", "la"] + ["w%d" % i for i in range(60)]
+    texts = [prose(rng, n, words) for n in (3_000, 3_000, 40)]
+    texts += [texts[0] + " the only1 here", texts[2] + " of only2 there " + texts[0], "the w1 w2"]
+
+    def plain(text):
+        w = ALPHANUMERIC.findall(low(text))
+        chains = ((a, *[x for x in w[i + 1:i + 60] if x not in spotsigs.ANCHORS][:2]) for i, a in enumerate(w))
+        return {c for c in chains if c[0] in spotsigs.ANCHORS and len(c) == 3}
+    got = {r.doc_id: r for r in spotsigs.fingerprints(docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        for value, other in ((got[i].near_edited, got[i].edited), (got[i].near_next, texts[(i + 1) % len(texts)])):
+            a, b = plain(t), plain(other)
+            assert math.isclose(value, len(a & b) / len(a | b), abs_tol=1e-12)
+    assert len(plain(texts[0])) > 128 and any(0 < r.near_next < 0.05 for r in got.values())
+
+
 # --- 8 ---
 
 def test_licence_phrases_and_chains(spark, docs):
