@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, pii, spotsigs, toxicity
+from pagelode.llm import (
+    centroids, conversations, decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, pii, spotsigs, toxicity,
+    url_filter)
 from pagelode.llm.tables import fold
 
 QUERIES, SQL = {}, {}
@@ -166,3 +168,72 @@ def op10_interpolated_lm(spark, sf_dir):
     return scored.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+#: Rules of sites; of those that fit, the longest wins.
+SITE_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+URLS_SQL = rf"""
+WITH p AS (SELECT page_id, lower_host AS host, path FROM (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
+rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in SITE_RULES.items())}),
+parts AS (SELECT rule, verdict, rule[:instr(rule, '/') - 1] AS h, rule[instr(rule, '/'):] AS t FROM rules),
+fits AS (SELECT DISTINCT host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN parts ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, t)
+  GROUP BY host, path)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict
+  WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({"|".join(url_filter.BLOCKED_WORDS)})([^A-Za-z0-9]|$)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM p LEFT JOIN fits USING (host, path)
+"""
+
+
+@query(URLS_SQL)
+def op11_url_filter(spark, sf_dir):
+    rules = url_filter.rule_table(spark, [
+        *(url_filter.site_rule(verdict, rule) for rule, verdict in SITE_RULES.items()),
+        *map(url_filter.word_rule, url_filter.BLOCKED_WORDS)])
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path",
+                         F.when(F.col("rule").isin(*SITE_RULES), F.col("rule")).alias("rule"), "verdict")
+
+
+@query()
+def op12_conversation_repair(spark, sf_dir):
+    rows, copies = conversations.damaged(table(spark, sf_dir, "conversations"))
+    report, repaired = conversations.repair_conversations(rows, copies)
+    digests = conversations.conversation_digests(repaired).withColumnRenamed("conv_id", "hashed")
+    return report.join(digests, F.col("conv_id").eqNullSafe(F.col("hashed")), "left").select(
+        *report.columns, F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _cluster_sql(rounds: int) -> str:
+    """The rounds one after the other; floors of means without a division of floating point."""
+    vectors = """
+WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF y IS NOT NULL AND isfinite(y)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+  SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 8))"""
+    near = """,
+a{0} AS MATERIALIZED (SELECT v.vec_id, v.x, list_min([struct_pack(d := CAST(list_sum([(v.x[i] - k.x[i]) * (v.x[i] - k.x[i])
+    FOR i IN range(1, 65)]) AS BIGINT), c := k.c) FOR k IN (SELECT list(struct_pack(c := c, x := x)) FROM c{0})]) AS best FROM v)"""
+    move = """,
+m{0} AS (SELECT c, i, (s - ((s % n) + n) % n) // n AS f FROM (
+  SELECT best.c AS c, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{0}, range(1, 65) t(i) GROUP BY 1, 2)),
+c{1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{0} LEFT JOIN (
+  SELECT c, list(CAST(f AS BIGINT) ORDER BY i) AS y FROM m{0} GROUP BY c) USING (c))"""
+    steps = "".join(near.format(r) + move.format(r, r + 1) for r in range(rounds))
+    return vectors + steps + near.format(rounds) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} k ON k.c = best.c
+"""
+
+
+@query(_cluster_sql(10))
+def op13_centroids(spark, sf_dir):
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
