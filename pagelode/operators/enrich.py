@@ -30,16 +30,17 @@ def salted_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) ->
 
 
 def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner",
-                     rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+                     rows_per_salt: int = ROWS_PER_SALT, stored: bool = False) -> DataFrame:
     """Equi join of ``many`` to ``one``, which has each key at most once.
 
-    ``many`` is written first and read twice from there: for the sizes of its keys, and to be joined.
+    ``many`` is written first and read twice from there: for the sizes of its keys, and to be joined. A caller who
+    gives columns of a table that is ``stored`` already spares the writing.
     The rows of a frequent key go to salts by their content, as many as the key's size asks for, and its
     single partner is copied to each of them; any number of keys may be frequent. Rows without a key
     match nothing and are spread as well. Which keys are frequent decides where rows go, not what comes out.
     The table of frequent keys is joined in the way its size allows, which Spark decides when it is there.
     """
-    many = written(many)
+    many = many if stored else written(many)
     salts = salted_keys(many, key, rows_per_salt)
     content = F.xxhash64(*many.columns)
     left = many.join(salts, key, "left").withColumn("_salt", F.when(F.col(key).isNull(), content).otherwise(
@@ -77,7 +78,8 @@ def enrich(listings: DataFrame, details: DataFrame, rows_per_salt: int = ROWS_PE
 def unmatched(listings: DataFrame, details: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Products of the listing that no detail page was parsed for, as rejects.
 
-    ``details`` has one row per detail URL, and only the URLs travel.
+    ``details`` has one row per detail URL, and only the URLs travel. ``judge`` with the status of captures tells a page
+    that failed from one that was never captured.
     """
     with_url = listings.where(F.col("detail_url").isNotNull() & (F.col("detail_url") != ""))
     lost = join_many_to_one(with_url, details.select("detail_url"), "detail_url", "left_anti",
@@ -93,16 +95,19 @@ def unmatched(listings: DataFrame, details: DataFrame, rows_per_salt: int = ROWS
 
 def judge(listings: DataFrame, details: DataFrame, require_valid: bool = True,
           on_error: str = "reject", now: Column | None = None,
-          rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+          rows_per_salt: int = ROWS_PER_SALT, stored: bool = False) -> DataFrame:
     """J1-J3 in one pass: every product of the listing with its outcome.
 
     Gives the product columns, ``outcome`` ('ok' or 'failed'), ``processed``, ``error_type`` and
     ``reason``. A detail row is judged before it is enriched, as a listing must not make a bad page
     good; ``require_valid=False`` lets bad pages through to be filled in. ``on_error='skeleton'``
     makes a row of URLs and a time for a product without a detail page, which is then judged too.
+    Where ``details`` has a ``status_code``, rows of another status than 200 are captures that failed: they count as no
+    detail page, and their status is handed on. ``stored`` tells that the listings are a table already.
     """
-    parsed = details.withColumn("_parsed", F.lit(True))
-    joined = join_many_to_one(_renamed(listings), parsed, "detail_url", "left", rows_per_salt)
+    with_status = "status_code" in details.columns
+    parsed = details.withColumn("_parsed", F.col("status_code") == 200 if with_status else F.lit(True))
+    joined = join_many_to_one(_renamed(listings), parsed, "detail_url", "left", rows_per_salt, stored)
     has_url = F.col("detail_url").isNotNull() & (F.col("detail_url") != "")
     found = F.coalesce(F.col("_parsed"), F.lit(False))
     skeleton = F.lit(on_error == "skeleton")
@@ -123,6 +128,7 @@ def judge(listings: DataFrame, details: DataFrame, require_valid: bool = True,
     values = {c: enriched(c) for c in S.PRODUCT_COLUMNS}
     values["scraped_at"] = F.coalesce("scraped_at", F.when(~found, iso_text(stamp)))
     extra = [F.col(f"l_{c}").alias(c) for c in ("base_url", "position") if c in listings.columns]
+    extra += [F.col("status_code")] if with_status else []
     return judged.withColumn("_failure", failure).select(
         *extra, *[values[c].alias(c) for c in S.PRODUCT_COLUMNS],
         F.when(F.col("_failure").isNull(), "ok").otherwise("failed").alias("outcome"),

@@ -17,6 +17,7 @@ from pagelode.functions.brands import brand_from_title, listing_brand
 from pagelode.functions.prices import not_whole_number, whole_number
 from pagelode.functions.text import blank_to_null, title_case
 from pagelode.functions.urls import image_url, join_url, page_number, site_of, without_query
+from pagelode.operators.triage import context
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 _PAYLOAD = "current_page string, last_page string, total_pages string, data array<string>"
@@ -337,4 +338,5 @@ def page_rejects(listing: DataFrame) -> DataFrame:
     found = F.when(failed, F.array(F.struct(F.lit("network_errors").alias("error_type"), status.alias("reason")))).otherwise(
         F.array_repeat(F.struct(F.lit("parsing_errors").alias("error_type"),
                                 F.lit("record without a title").alias("reason")), F.col("untitled")))
-    return listing.select("url", F.explode(found).alias("r")).select("url", "r.error_type", "r.reason")
+    place = context(catalogue="base_url", page="page_no", status="status_code").alias("context")
+    return listing.select("url", place, F.explode(found).alias("r")).select("url", "r.error_type", "r.reason", "context")

@@ -1,18 +1,22 @@
 """Where a job keeps what it uses more than once."""
 
+import json
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name that all machines share: under the session's ``spark.checkpoint.dir``, else its warehouse.
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A folder name that all machines share: under the session's ``spark.checkpoint.dir``, else its warehouse.
 
-    The session's own settings stay as they are.
+    It is a new one where no ``name`` is given. The session's own settings stay as they are.
     """
     top = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
            or spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{top.rstrip('/')}/pagelode/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/pagelode/{name or uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -23,3 +27,54 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = folder or shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class StoredStages:
+    """The tables of a run by name, each with a marker that is written when the table is whole.
+
+    A run that is started again under the same folder takes the tables that have their marker and makes the others,
+    over whatever a broken attempt has left. ``parameters`` are those of the first attempt; other ones are an error, since
+    its tables would not fit them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parameters: dict[str, str | None]):
+        self.spark, self.folder = spark, folder
+        self.made: list[str] = []
+        known = self._marker("run")
+        if known is None:
+            self._mark("run", json.dumps(parameters))
+        elif json.loads(known) != parameters:
+            raise ValueError(f"the run in {folder} has other parameters: {known}")
+
+    def _marker(self, name: str) -> str | None:
+        try:
+            rows = self.spark.read.schema("value string").json(f"{self.folder}/{name}.done").collect()  # one row
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+                return None
+            raise
+        return rows[0].value if rows else None
+
+    def _mark(self, name: str, value: str) -> None:
+        self.spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").json(
+            f"{self.folder}/{name}.done")
+
+    def value(self, name: str, make: Callable[[], str]) -> str:
+        """A small text that stays as the first attempt has made it."""
+        known = self._marker(name)
+        if known is None:
+            known = make()
+            self._mark(name, known)
+        return known
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table of a stage: read if it is whole, else made."""
+        path = f"{self.folder}/{name}"
+        known = self._marker(name)
+        if known is None:
+            df = make()
+            df.write.mode("overwrite").parquet(path)
+            known = df.schema.json()
+            self._mark(name, known)
+            self.made.append(name)
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(known))).parquet(path)

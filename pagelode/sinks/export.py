@@ -2,11 +2,19 @@
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode import schema as S
+from pagelode.operators.stats import distinct_keys
+
+#: The list of an export's files, which is written when all of them are whole.
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = ("success boolean, format string, path string, record_count bigint, error string, run_ts string")
+#: Columns that an export of records may have.
+MOST_COLUMNS = 10_000
 
 CSV_OPTIONS = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
@@ -66,10 +74,17 @@ def export(df: DataFrame, out_dir: str, base: str = S.EXPORT_NAME,
     ``df`` is computed once per format: pass a stored table where that is dear, as the catalogue
     job does. ``run_time`` defaults to now. A format that cannot be written gives a row with the error
     and does not keep the other from being written; ``record_count`` counts the rows as they are written.
+
+    When both are there, a manifest that names them is written last: an export with a manifest is whole. An export whose
+    manifest is there is not written again; its rows come from the manifest.
     """
     require_rows(df)
     run_time = run_time or datetime.now()
     spark = df.sparkSession
+    manifest = f"{out_dir}/{snapshot_name(MANIFEST, base, run_time)}"
+    done = _manifest_rows(spark, manifest)
+    if done is not None:
+        return done.select("success", "format", "path", "record_count", "error")
     results = []
     for fmt, write in (("json", write_json), ("csv", write_csv)):
         path = f"{out_dir}/{snapshot_name(fmt, base, run_time)}"
@@ -79,8 +94,56 @@ def export(df: DataFrame, out_dir: str, base: str = S.EXPORT_NAME,
             results.append((True, fmt, path, seen.get["n"], None))
         except Exception as e:  # told to the caller as a row
             results.append((False, fmt, path, 0, str(e).splitlines()[0][:500] if str(e) else type(e).__name__))
-    return spark.createDataFrame(
+    told = spark.createDataFrame(
         results, "success boolean, format string, path string, record_count bigint, error string")
+    if all(r[0] for r in results):
+        told.withColumn("run_ts", F.lit(f"{run_time:%Y%m%d_%H%M%S}")).coalesce(1).write.json(manifest)
+    return told
+
+
+def _manifest_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What manifests say; null where there is none."""
+    try:
+        found = spark.read.schema(MANIFEST_SCHEMA).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return None
+        raise
+    return found
+
+
+def whole_exports(spark: SparkSession, out_dir: str, base: str = S.EXPORT_NAME) -> DataFrame:
+    """K7, K8: ``run_ts``, ``format``, ``path`` and ``record_count`` of the exports that are whole, from their manifests."""
+    found = _manifest_rows(spark, f"{out_dir}/{base}_*.{MANIFEST}")
+    rows = spark.createDataFrame([], MANIFEST_SCHEMA) if found is None else found
+    return rows.select("run_ts", "format", "path", "record_count")
+
+
+def newest_export(spark: SparkSession, out_dir: str, fmt: str = "json", base: str = S.EXPORT_NAME) -> str | None:
+    """The path of the newest whole export of a format; null where there is none."""
+    last = whole_exports(spark, out_dir, base).where(F.col("format") == fmt).orderBy(F.desc("run_ts")).first()
+    return last.path if last else None
+
+
+def record_columns(records: DataFrame, values: Column, most: int = MOST_COLUMNS) -> list[str]:
+    """K2 of records with differing keys: the union of the keys of a map column, in CSV order.
+
+    A table cannot have columns without end: more than ``most`` keys are an error, not cut off.
+    """
+    found = [r.key for r in distinct_keys(records, values).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"the records have more than {most} keys; export them as JSON, or ask for more columns")
+    return csv_columns(found)
+
+
+def records_as_rows(records: DataFrame, values: Column, most: int = MOST_COLUMNS) -> DataFrame:
+    """Records in a map column as rows with a column for every key that any of them has; null where one lacks it."""
+    return records.select(*[F.try_element_at(values, F.lit(k)).alias(k) for k in record_columns(records, values, most)])
+
+
+def write_csv_records(records: DataFrame, values: Column, path: str, most: int = MOST_COLUMNS) -> None:
+    """K2, K3 for records with differing keys. They are read twice: for their keys, and to be written."""
+    write_csv(records_as_rows(records, values, most), path)
 
 
 def read_json_export(spark: SparkSession, path: str, schema: T.StructType = S.PRODUCT_SCHEMA,

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -165,6 +166,76 @@ def test_long_walks(pages):
     assert walk(G.take_pages(table, start_page=10, max_pages=5)) == list(range(10, 15))
 
 
+def plain_walk(rows, start, signals=True, reached=False):
+    """(number, products before) of the pages that count; ``rows``: number to (products, tells of a next one)."""
+    out, before, n = [], 0, start
+    while n in rows:
+        products, more = rows[n]
+        if products or reached:
+            out.append((n, before))
+        before += products
+        if not products or (signals and not more):
+            break
+        n += 1
+    return out
+
+
+def test_walks_by_chunks_equal_a_loop(spark):
+    """Catalogues that end in, at and after the bounds of chunks, with gaps, empty pages and repeated captures."""
+    rng = random.Random(11)
+    catalogues, rows = {}, []
+    for c in range(60):
+        length = rng.choice([0, 1, 3, 4, 5, 8, 9, 12, 17])
+        pages = {n: (rng.randrange(1, 4), True) for n in range(1, length + 1)}
+        for n in list(pages):
+            kind = rng.random()
+            if kind < 0.06:
+                del pages[n]
+            elif kind < 0.12:
+                pages[n] = (0, rng.random() < 0.5)
+            elif kind < 0.18:
+                pages[n] = (pages[n][0], False)
+        base = None if c == 0 else f"c{c}"
+        catalogues[base] = pages
+        for n, (count, more) in pages.items():
+            made = [f"{base}-{n}-{i}" for i in range(count)]
+            rows += [(base, n, 2, made, "next" if more else None)] * rng.choice([1, 1, 2]) + [(base, n, 1, ["old"] * 9, None)]
+    df = spark.createDataFrame(rows, "base_url string, page_no int, fetched_at int, products array<string>, next_page_url string")
+    stored = G.stored_listing(df.repartition(5))
+    for start, per_chunk, signals, reached in ((1, 4, True, False), (3, 4, True, True), (1, 1, False, False), (1, 1024, True, True)):
+        walked = G._walk(stored, start, None, signals=signals, per_chunk=per_chunk)
+        walked = walked if reached else walked.where(F.size("products") > 0)
+        got = {}
+        for r in walked.collect():
+            got.setdefault(r.base_url, []).append((r.page_no, r.products_before))
+        want = {b: w for b, p in catalogues.items() if (w := plain_walk(p, start, signals, reached))}
+        assert {b: sorted(v) for b, v in got.items()} == want
+    taken, n, cut = G.take_pages(stored), 4, {}
+    for r in G.limit_products(taken, n).collect():
+        cut.setdefault(r.base_url, []).append((r.page_no, len(r.products)))
+    for base, p in catalogues.items():
+        want, left = [], n
+        for number, _ in plain_walk(p, 1):
+            if left > 0:
+                want.append((number, min(left, p[number][0])))
+                left -= p[number][0]
+        assert sorted(cut.get(base, [])) == want
+
+
+def test_a_long_catalogue_is_spread_over_windows_without_products(spark):
+    n = 20_000
+    df = spark.range(1, n + 1).select(
+        F.lit("c").alias("base_url"), F.col("id").cast("int").alias("page_no"), F.lit(1).alias("fetched_at"),
+        F.array(F.lit("p"), F.lit("q")).alias("products"), F.lit("x").alias("next_page_url"))
+    stored = G.stored_listing(df)
+    sizes = [r.pages for r in G.pages_by_chunk(stored).collect()]
+    assert sum(sizes) == n and len(sizes) == -(-n // G.PAGES_PER_CHUNK) and max(sizes) == G.PAGES_PER_CHUNK
+    walked = G.take_pages(stored)
+    assert walked.count() == n and walked.agg(F.max("products_before")).first()[0] == 2 * (n - 1)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("products#")[0] and not [x for x in plan.splitlines() if "Window" in x and "products#" in x]
+
+
 def test_one_stop_rule_for_every_size(pages):
     no_signal = "<script>let phones = " + json.dumps([record(f"z{i}") for i in range(10)]) + ";</script>"
     full = script([record(f"y{i}") for i in range(60)], 2, 9)

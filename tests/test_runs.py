@@ -11,8 +11,9 @@ from pagelode.operators import listing as L
 from pagelode.operators import stats as A
 from pagelode.operators import triage as X
 from pagelode.plans import catalogue as W
-from pagelode.plans.storage import shared_folder
+from pagelode.plans.storage import StoredStages, shared_folder, written
 from pagelode.sinks import export as K
+from pagelode.sources import captures as C
 from pagelode.sources import pages as P
 from pagelode.streaming.pages import append_stream, stream_pages
 
@@ -216,6 +217,34 @@ def test_snapshots(spark, tmp_path):
     assert sum(not r.kept for r in runs) == 4
 
 
+def test_an_export_is_whole_or_not_listed(spark, tmp_path):
+    rows = products(spark, {"brand": "A"}, {"brand": "B"})
+    first, second = datetime(2025, 1, 1), datetime(2025, 1, 2)
+    K.export(rows, str(tmp_path), run_time=first)
+    (tmp_path / K.snapshot_name("csv", run_time=second)).mkdir()  # in the way of one format
+    K.export(rows, str(tmp_path), run_time=second)
+    assert {(r.run_ts, r.format, r.record_count) for r in K.whole_exports(spark, str(tmp_path)).collect()} == {
+        ("20250101_000000", "json", 2), ("20250101_000000", "csv", 2)}
+    assert K.newest_export(spark, str(tmp_path)).endswith("phones_data_20250101_000000.json")
+    assert K.newest_export(spark, str(tmp_path / "none")) is None
+    # A whole export is left as it is.
+    again = K.export(products(spark, {"brand": "C"}), str(tmp_path), run_time=first)
+    assert {(r.success, r.format, r.record_count) for r in again.collect()} == {(True, "json", 2), (True, "csv", 2)}
+    assert K.read_json_export(spark, K.newest_export(spark, str(tmp_path))).count() == 2
+
+
+def test_records_with_differing_keys(spark, tmp_path):
+    df = spark.createDataFrame([({"zeta": "1", "model": "m"},), ({"brand": 'B "x"', "a b": "two\nlines"},), ({},), (None,)],
+                               "m map<string,string>")
+    assert K.record_columns(df, F.col("m")) == ["brand", "model", "a b", "zeta"]
+    K.write_csv_records(df, F.col("m"), f"{tmp_path}/c")
+    back = K.read_csv_export(spark, f"{tmp_path}/c")
+    assert back.columns == ["brand", "model", "a b", "zeta"]
+    assert {tuple(r) for r in back.collect()} == {(None, "m", None, "1"), ('B "x"', None, "two\nlines", None), (None,) * 4}
+    with pytest.raises(ValueError):
+        K.record_columns(df, F.col("m"), most=3)
+
+
 # --- sources -----------------------------------------------------------------------------------
 
 def test_sources(spark, tmp_path):
@@ -253,6 +282,80 @@ def test_whole_run(spark, archive, tmp_path):
     assert K.read_json_export(spark, f"{tmp_path}/phones_data_20250601_000000.json").count() == 2
 
 
+def test_a_broken_run_goes_on(spark, archive, tmp_path, monkeypatch):
+    name, table = f"test-{tmp_path.name}-{datetime.now().timestamp()}", archive()
+
+    def broken(*args, **options):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(W, "export", broken)
+        with pytest.raises(RuntimeError):
+            W.run_catalogue(spark, table, str(tmp_path), run_id=name, run_time=datetime(2025, 6, 1))
+    # What is stored is not read from the pages again: they are unreadable by now.
+    gone = table.withColumn("html", F.raise_error(F.lit("parsed again")).cast("string"))
+    run = W.run_catalogue(spark, gone, str(tmp_path), run_id=name)
+    assert run.success and run.stages == [] and run.statistics.first() == (5, 5, 2, 3, 40.0)
+    plain = W.run_catalogue(spark, table, f"{tmp_path}/plain", run_time=datetime(2025, 6, 1))
+    assert plain.stages == ["listing", "listings", "outcomes", "rejects"]
+    for one, other in ((run.products, plain.products), (run.rejects.drop("context"), plain.rejects.drop("context"))):
+        assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    # After a whole export, too; other parameters would not fit the tables.
+    assert W.run_catalogue(spark, gone, str(tmp_path), run_id=name).success
+    with pytest.raises(ValueError):
+        W.run_catalogue(spark, table, str(tmp_path), run_id=name, max_products=1)
+
+
+def test_half_written_stages_are_made_again(spark, tmp_path):
+    stages = StoredStages(spark, str(tmp_path), {})
+    spark.range(3).write.parquet(f"{tmp_path}/numbers")  # without a marker
+    assert stages.table("numbers", lambda: spark.range(5)).count() == 5 and stages.made == ["numbers"]
+    again = StoredStages(spark, str(tmp_path), {})
+    assert again.table("numbers", lambda: spark.range(9)).count() == 5 and again.made == []
+
+
+def test_rejects_tell_where_and_why(spark, archive, tmp_path):
+    run = W.run_catalogue(spark, archive((f"{BASE}?page=3", 3, "listing", 503, None)), str(tmp_path))
+    got = {r.url.rsplit("/", 1)[-1]: r for r in run.rejects.collect()}
+    assert got["d"].context == {"capture": "status 503", "catalogue": BASE, "position": "4"}
+    assert got["e"].context == {"capture": "none", "catalogue": BASE, "position": "5"}
+    assert got["c"].context == {"capture": "status 200", "catalogue": BASE, "position": "3"}
+    assert got["list?page=3"].context == {"status": "503", "catalogue": BASE, "page": "3"}
+    assert {r.reason for r in got.values()} == {"no detail page", "no brand", "status 503"}
+
+
+def test_only_newest_captures_of_listed_pages_are_parsed(spark, archive):
+    when = lambda d: datetime(2025, 2, d)
+    more = [(f"{SITE}/mobile/{s}", None, "detail", 200, detail_html(Brand=f"{s}{d}", Model="m"), when(d))
+            for s in ("a", "b", *(f"other{i}" for i in range(300))) for d in (1, 2, 3)]
+    table = archive(*more)
+    listings = written(W.discover_products(table))
+    details = table.where("kind = 'detail'")
+    passed = C.newest_wanted(details, listings)
+    want = {(f"{SITE}/mobile/{s}", t) for s, t in (("a", when(3)), ("b", when(3)), ("c", datetime(2025, 1, 2, 3, 4, 5)),
+                                                   ("d", datetime(2025, 1, 2, 3, 4, 5)))}
+    got = [(r.url, r.fetched_at) for r in passed.collect()]
+    assert want <= set(got) and len(got) <= len(want) + 2 and details.count() > 900
+    every, few = W.product_details(table), W.product_details(table, listings)
+    join = lambda d: E.judge(listings, d, now=F.to_timestamp(F.lit("2025-01-01 00:00:00")))
+    assert join(every).exceptAll(join(few)).isEmpty() and join(few).exceptAll(join(every)).isEmpty()
+    plan = passed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "broadcast" in plan
+
+
+def test_key_filter_loses_no_key(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(100_000, 300_000)
+    for bits in (C.key_bits(20_000), C.PART_BITS):
+        parts = C.key_filter(keys, bits)
+        assert C.may_have_key(keys, F.col("key"), parts, bits).count() == 20_000
+        passed = C.may_have_key(others, F.xxhash64("id"), parts, bits).count()
+        assert passed < 200_000 * (0.08 if bits > C.PART_BITS else 0.6)
+        assert parts.count() <= bits / C.PART_BITS
+    assert C.key_bits(0) == C.PART_BITS and C.key_bits(10 ** 12) == C.MOST_BITS
+    assert C.may_have_key(others, F.xxhash64("id"), C.key_filter(keys.limit(0), C.PART_BITS), C.PART_BITS).count() == 0
+
+
 def test_newest_capture_decides_even_if_it_failed(archive):
     gone = (f"{SITE}/mobile/a", None, "detail", 404, None, datetime(2026, 5, 5))
     assert "a" not in {r.detail_url[-1] for r in W.product_details(archive(gone)).collect()}
@@ -353,5 +456,5 @@ def test_scans_read_what_they_need(spark, archive, tmp_path):
     plan = explained(D.long_specs(stored))
     assert "EqualTo(kind,detail)" in plan and "EqualTo(status_code,200)" in plan
     assert "ReadSchema: struct<url:string,kind:string,status_code:int,html:string>" in plan
-    listing = explained(W.discover_products(stored, base_url=BASE))
+    listing = explained(L.listing_pages(W._of_catalogue(stored, BASE)))
     assert "EqualTo(kind,listing)" in listing and "StringStartsWith(url,https://shop.example.com/list)" in listing
