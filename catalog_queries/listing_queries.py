@@ -185,20 +185,24 @@ def l2_page_anchors(spark, sf_dir):
                         F.get("links", 0).alias("first_link"))
 
 
-@query(ITEMS + ANCHORS.replace("WITH anchors", ", anchors")
-       + "SELECT 'catalogue' AS source, page_url, slug, detail_url FROM firsts UNION ALL "
-       "SELECT 'anchors', page_url, slug, detail_url FROM anchors WHERE length(title) >= 3 AND NOT lower(title) LIKE '%promo%'")
+@query(ITEMS + ANCHORS.replace("WITH anchors", ", anchors") + f"""
+, pages_shown AS (SELECT DISTINCT page_url FROM items UNION SELECT DISTINCT '{R.BASE}' || shop || '?page=6' FROM base WHERE shop % 6 = 4),
+good AS (SELECT page_url, slug, detail_url FROM anchors WHERE length(title) >= 3 AND NOT lower(title) LIKE '%promo%')
+SELECT 'catalogue' AS source, page_url, slug, detail_url FROM firsts
+UNION ALL SELECT 'fallback', page_url, slug, detail_url FROM good JOIN pages_shown USING (page_url)
+  WHERE page_url NOT IN (SELECT page_url FROM products)
+UNION ALL SELECT 'anchors', page_url, slug, detail_url FROM good""")
 def l3_source_precedence(spark, sf_dir):
-    """Pages that have both, a catalogue and the same page's anchors: the catalogue counts."""
+    """Pages that have both, a catalogue and the same page's anchors: the catalogue counts, and anchors where it is empty."""
     anchors = R.anchor_pages(spark, sf_dir)
     both = R.catalogue_pages(spark, sf_dir).alias("c").join(
         anchors.select("url", F.col("html").alias("more")), "url").select(
         *[F.concat("html", "more").alias("html") if c == "html" else c for c in anchors.columns])
-    empty = both.where(~F.contains("html", F.lit('"id":'))).select("url")
-    both = both.join(empty, "url", "left_anti")
+    # Records of a catalogue tell of availability, anchors do not.
     rows = lambda pages, name: L.explode_products(L.listing_pages(pages)).select(
-        F.lit(name).alias("source"), "page_url", "slug", "detail_url")
-    return rows(both, "catalogue").unionByName(rows(anchors, "anchors"))
+        name.alias("source"), "page_url", "slug", "detail_url")
+    in_catalogue = F.when(F.col("availability").isNotNull(), "catalogue").otherwise("fallback")
+    return rows(both, in_catalogue).unionByName(rows(anchors, F.lit("anchors")))
 
 
 @query(ITEMS + "SELECT k, NOT (k % 10 = 3) AND title IS NOT NULL AND k % 10 <> 7 AS is_product "

@@ -14,8 +14,9 @@ from pagelode.operators import listing as L
 from pagelode.operators import stats as A
 from pagelode.operators import triage as X
 from pagelode.plans import catalogue as W
-from pagelode.plans.storage import shared_folder
+from pagelode.plans.storage import shared_folder, written
 from pagelode.sinks import export as K
+from pagelode.streaming import state as T
 from pagelode.streaming.pages import append_stream, stream_pages
 
 QUERIES, SQL = {}, {}
@@ -164,6 +165,23 @@ def x3_rejects(spark, sf_dir):
     return X.rejects(X.failed_pages(pages), D.invalid_products(D.parse_details(pages)))
 
 
+@query(BOTH + f""", seen AS (SELECT l.detail_url AS url, l.shop, p.k AS captured, d.url AS parsed, d.has_specs, d.k,
+  row_number() OVER (PARTITION BY l.shop ORDER BY l.page_no, l.pos) AS position
+  FROM walked l LEFT JOIN pages_of p ON p.url = l.detail_url AND p.k % 23 <> 5 LEFT JOIN wide d ON d.url = p.url)
+SELECT url, CASE WHEN parsed IS NULL THEN 'network_errors' ELSE 'validation_errors' END AS error_type,
+  CASE WHEN parsed IS NULL THEN 'no detail page' WHEN NOT has_specs THEN 'no brand' ELSE 'no model' END AS reason,
+  CASE WHEN captured IS NULL THEN 'none' WHEN captured % 19 = 0 THEN 'status 404' ELSE 'status 200' END AS capture,
+  '{R.BASE}' || shop AS catalogue, CAST(position AS VARCHAR) AS position
+FROM seen WHERE parsed IS NULL OR NOT has_specs OR k % 11 = 0""")
+def x3_reject_context(spark, sf_dir):
+    """Where a rejected product was listed, and what came of its capture; some pages were never captured."""
+    pages = R.detail_pages(spark, sf_dir).where(F.regexp_extract("url", r"p-(\d+)$", 1).cast("bigint") % 23 != 5)
+    listings = written(W.discover_products(R.catalogue_pages(spark, sf_dir)))
+    outcomes = E.judge(listings, W.product_details(pages, listings, failed=True), stored=True)
+    found = X.product_rejects(outcomes)
+    return found.select("url", "error_type", "reason", *[F.col("context")[c].alias(c) for c in ("capture", "catalogue", "position")])
+
+
 # --- exports ---------------------------------------------------------------------------------
 
 def sample(spark, sf_dir):
@@ -187,14 +205,34 @@ def k1_json_export(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("SELECT 'brand,model,alpha,price_variants,waterproof,zeta' AS header, count(*) > 0 AS has_rows "
-       "FROM part")
+@query("""SELECT 'brand,model,alpha,price_variants,waterproof,zeta' AS line UNION ALL
+  SELECT p_brand || ',' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END || ',' || p_partkey || ','
+  || CASE WHEN p_partkey % 3 = 0 THEN '"[{""variant"":""8GB"",""price"":""' || p_partkey || '""}]"' ELSE '' END || ','
+  || CASE WHEN p_partkey % 2 = 0 THEN 'Yes' ELSE 'No' END || ',৳  x  ' || p_name FROM part""")
 def k2_csv_column_order(spark, sf_dir):
+    """All lines of an export, with the header once."""
     path = scratch(spark)
-    K.write_csv(sample(spark, sf_dir), path)
-    lines = spark.read.text(path)
-    header = lines.where(F.startswith("value", F.lit("brand,"))).select(F.col("value").alias("header"))
-    return header.groupBy("header").agg((F.count("*") > 0).alias("has_rows"))
+    K.write_csv(sample(spark, sf_dir).withColumn("zeta", F.translate("zeta", '"\n', "  ")), path)
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    header = F.startswith("line", F.lit("brand,model,alpha"))
+    return lines.where(header).distinct().unionByName(lines.where(~header))
+
+
+#: Records with differing keys: the type of an event, and what its properties hold.
+def records(spark, sf_dir):
+    maps = F.map_concat(F.create_map("event_type", F.col("event_id").cast("string")), F.from_json("props", "map<string,string>"))
+    return events(spark, sf_dir).select(maps.alias("m"))
+
+
+@query("SELECT " + ", ".join(f"CASE WHEN event_type = '{c}' THEN CAST(event_id AS VARCHAR) ELSE '' END AS {c}"
+                             for c in ("click", "error", "purchase", "signup", "view"))
+       + ", coalesce(json_extract_string(props, '$.k'), '') AS k FROM events")
+def k2_records_to_csv(spark, sf_dir):
+    """Maps with differing keys as CSV: a column for every key that occurs."""
+    path = scratch(spark)
+    K.write_csv_records(records(spark, sf_dir), F.col("m"), path)
+    back = K.read_csv_export(spark, path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
 
 
 @query("""SELECT p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS model,
@@ -245,23 +283,55 @@ def k7_keep_newest(spark, sf_dir):
     return K.mark_kept(runs, keep=5)
 
 
-@query("SELECT true AS success, f AS format, (SELECT count(*) FROM part) AS record_count "
-       "FROM (VALUES ('json'), ('csv')) t(f)")
+@query("SELECT true AS success, f AS format, count(*) AS record_count, p_brand AS brand, count(*) AS rows_read "
+       "FROM part, (VALUES ('json'), ('csv')) t(f) GROUP BY f, p_brand".replace("count(*) AS record_count", "(SELECT count(*) FROM part) AS record_count"))
 def k8_export_result(spark, sf_dir):
-    return K.export(sample(spark, sf_dir), scratch(spark)).select("success", "format", "record_count")
+    """What an export tells of itself, beside the rows by brand that are read back from the files it names."""
+    told = K.export(sample(spark, sf_dir), scratch(spark))
+    path = {r.format: r.path for r in told.collect()}
+    back = K.read_json_export(spark, path["json"], schema=sample(spark, sf_dir).schema).select(
+        F.lit("json").alias("format"), "brand").unionByName(
+        K.read_csv_export(spark, path["csv"]).select(F.lit("csv").alias("format"), "brand"))
+    rows = back.groupBy("format", "brand").agg(F.count("*").alias("rows_read"))
+    return told.join(rows, "format").select("success", "format", "record_count", "brand", "rows_read")
 
 
-@query("SELECT p_brand AS brand, count(*) AS rows, count(*) FILTER (p_partkey < 0) = 0 AS refused FROM part GROUP BY p_brand")
+@query("SELECT 'negative' AS kind, 0::BIGINT AS exported, true AS refused UNION ALL SELECT 'all', count(*), false FROM part")
 def k6_empty_guard(spark, sf_dir):
-    """By brand, its rows and whether an export of those with a negative key is refused, which are none."""
+    """Two exports, one without rows: it is refused, and the other one's rows are there."""
+    rows, found = sample(spark, sf_dir), []
+    for kind, part in (("negative", rows.where(F.col("alpha").cast("bigint") < 0)), ("all", rows)):
+        out = scratch(spark)
+        try:
+            K.export(part, out)
+        except ValueError:
+            found.append(spark.range(1).select(F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("exported"), F.lit(True).alias("refused")))
+        else:
+            back = K.read_json_export(spark, K.newest_export(spark, out), schema=rows.schema)
+            found.append(back.groupBy(F.lit(kind).alias("kind")).agg(F.count("*").alias("exported")).withColumn("refused", F.lit(False)))
+    return found[0].unionByName(found[1])
+
+
+@query("""SELECT p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS model,
+  CAST(p_partkey AS VARCHAR) AS alpha, '৳ "x"' || chr(10) || p_name AS zeta FROM part""")
+def s4_split_csv(spark, sf_dir):
+    """One CSV file with line breaks in its values, read in many ranges."""
+    path = scratch(spark)
+    K.write_csv(sample(spark, sf_dir).coalesce(1), path)
+    back = K.read_csv_export(spark, path, split=True)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("brand", "model", "alpha", "zeta")])
+
+
+@query("""SELECT p_brand AS brand, CAST(p_partkey AS VARCHAR) AS alpha, '৳ "x"' || chr(10) || p_name AS zeta,
+  CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS price FROM part""")
+def s4_split_json_array(spark, sf_dir):
+    """One file with one JSON array, read in many ranges."""
+    path = scratch(spark)
     rows = sample(spark, sf_dir)
-    out = scratch(spark)
-    try:
-        K.export(rows.where(F.col("alpha").cast("bigint") < 0), out)
-        refused = False
-    except ValueError:
-        refused = True
-    return rows.groupBy("brand").agg(F.count("*").alias("rows")).withColumn("refused", F.lit(refused))
+    text = rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("o")).agg(F.collect_list("o").alias("o"))
+    text.select(F.concat(F.lit("[\n"), F.array_join("o", ",\n"), F.lit("]\n"))).write.text(path)
+    back = K.read_json_export(spark, path, schema=rows.schema, array=True, split=True)
+    return back.select("brand", "alpha", "zeta", F.get("price_variants", 0)["price"].alias("price"))
 
 
 @query(DETAILS + "SELECT url AS detail_url, brand, model, status, price_savings, "
@@ -333,3 +403,42 @@ def t1_stream_of_pages(spark, sf_dir):
     append_stream(stream_pages(spark, f"{out}/pages", files_per_batch=2), D.long_specs,
                   f"{out}/specs", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/specs").select("url", "field", "value")
+
+
+def streamed_twice(spark, rows, steps, files=5):
+    """Rows as a stream of files, a micro-batch each; then all batches once more, as after a lost checkpoint."""
+    out = scratch(spark)
+    rows.repartition(files).write.parquet(f"{out}/in")
+    tables = T.BatchTables(spark, f"{out}/kept")
+    for attempt in (1, 2):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+        T.keep_batches(stream, steps, tables, f"{out}/state{attempt}").awaitTermination()
+    return tables
+
+
+@query(SQL["a3_batch_checkpoints"])
+def t2_stream_checkpoints(spark, sf_dir):
+    """Running totals over a stream that brings its items in any order, all its batches twice, some of them merged."""
+    items = events(spark, sf_dir).select((F.col("event_id") + 1).alias("position"), (F.col("event_type") != "error").alias("ok"))
+    tables = streamed_twice(spark, items, {"sums": lambda batch: A.batch_sums(batch, F.col("ok"))})
+    tables.merge("sums", 1, A.merged_sums)
+    tables.merge("sums", 3, A.merged_sums)
+    return T.checkpoints_so_far(tables, "sums", batches_per_chunk=30)
+
+
+@query(SQL["a1_run_statistics"])
+def t2_stream_statistics(spark, sf_dir):
+    processed = F.col("event_id") % 7 != 0
+    ok = processed & (F.col("event_type") != "error")
+    rows = events(spark, sf_dir).select(F.when(ok, "ok").otherwise("failed").alias("outcome"), processed.alias("processed"))
+    return T.statistics_so_far(streamed_twice(spark, rows, {"counts": A.partial_statistics}), "counts")
+
+
+@query(ITEMS + WALKED + "SELECT page_url, page_no, count(*) AS products FROM walked GROUP BY page_url, page_no")
+def t2_stream_walk(spark, sf_dir):
+    """A walk over pages that a stream brings in any order, among them older captures without products."""
+    pages = R.catalogue_pages(spark, sf_dir)
+    older = pages.withColumn("html", F.lit("<p>soon</p>")).withColumn("fetched_at", F.to_timestamp(F.lit("2001-01-01 00:00:00")))
+    tables = streamed_twice(spark, pages.unionByName(older), {"pages": T.listing_step(L.listing_pages)})
+    tables.merge("pages", 2, T.newest_pages)
+    return T.walked_pages(tables, "pages").select(F.col("url").alias("page_url"), "page_no", "products")

@@ -26,6 +26,19 @@ def numbered_listing(listing: DataFrame) -> DataFrame:
                           F.size("products").cast("bigint").alias(_COUNT), tie.alias(_TIE))
 
 
+def slim_pages(listing: DataFrame) -> DataFrame:
+    """What a walk needs of listing pages, without their products."""
+    return numbered_listing(listing).select("url", "base_url", "page_no", "fetched_at", "next_page_url", _COUNT, _TIE)
+
+
+def walk_slim(slim: DataFrame, start_page: int = 1, max_pages: int | None = None) -> DataFrame:
+    """L15 on the rows of ``slim_pages``, of any number of captures: pages with ``products`` (how many) and
+    ``products_before``."""
+    stored = written(slim.withColumn(_ROW, F.monotonically_increasing_id()))
+    walked = _walk(stored, start_page, _last_page(start_page, max_pages)).where(F.col(_COUNT) > 0)
+    return walked.select("url", "base_url", "page_no", F.col(_COUNT).alias("products"), "products_before")
+
+
 def stored_listing(listing: DataFrame) -> DataFrame:
     """Listing pages as a table whose rows have numbers; as it is if it has them already."""
     return listing if _ROW in listing.columns else written(numbered_listing(listing))

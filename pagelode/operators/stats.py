@@ -6,19 +6,26 @@ from pyspark.sql import functions as F
 from pagelode import schema as S
 
 
+def partial_statistics(outcomes: DataFrame) -> DataFrame:
+    """The counts of A1 for a part of a run."""
+    return outcomes.agg(
+        F.count("*").alias("total_found"), F.count_if("processed").alias("processed"),
+        F.count_if(F.col("outcome") == "ok").alias("successful"), F.count_if(F.col("outcome") != "ok").alias("failed"))
+
+
+def merged_statistics(parts: DataFrame) -> DataFrame:
+    """A1 of a run out of the counts of its parts."""
+    names = ("total_found", "processed", "successful", "failed")
+    whole = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names])
+    return whole.withColumn("success_rate", F.lit(100.0) * F.col("successful") / F.greatest("processed", F.lit(1)))
+
+
 def run_statistics(outcomes: DataFrame) -> DataFrame:
     """A1: one row of totals over ``outcome`` and ``processed``.
 
     A product without a detail URL has failed but was not processed.
     """
-    ok = F.count_if(F.col("outcome") == "ok")
-    processed = F.count_if("processed")
-    return outcomes.agg(
-        F.count("*").alias("total_found"),
-        processed.alias("processed"),
-        ok.alias("successful"),
-        F.count_if(F.col("outcome") != "ok").alias("failed"),
-        (F.lit(100.0) * ok / F.greatest(processed, F.lit(1))).alias("success_rate"))
+    return merged_statistics(partial_statistics(outcomes))
 
 
 def error_counts(errors: DataFrame, by: str = "error_type") -> DataFrame:
@@ -26,20 +33,27 @@ def error_counts(errors: DataFrame, by: str = "error_type") -> DataFrame:
     return errors.where(F.col(by).isin(*S.ERROR_TYPES)).groupBy(by).agg(F.count("*").alias("n"))
 
 
-def batch_checkpoints(outcomes: DataFrame, ok: Column, position: str = "position",
-                      batch_size: int = S.BATCH_SIZE, by: tuple[str, ...] = (),
-                      batches_per_chunk: int = 10_000) -> DataFrame:
-    """A3: running totals at the end of every full batch of a run.
-
-    ``position`` counts the items of a run (of every ``by`` group) from 1. Items are summed per
-    batch first. Running sums then go over chunks of batches, each its own window group, and over
-    the chunk totals, of which there is one per half a million items at the defaults. No window
-    group holds more than a chunk of batches, and no task sees the items of more than one.
-    """
+def batch_sums(outcomes: DataFrame, ok: Column, position: str = "position",
+               batch_size: int = S.BATCH_SIZE, by: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of A3: items, good and bad ones of every batch that has any. Those of parts of a run can be added."""
     batch = F.ceil(F.col(position) / batch_size).cast("bigint")
-    per_batch = outcomes.groupBy(*by, batch.alias("batch")).agg(
+    return outcomes.groupBy(*by, batch.alias("batch")).agg(
         F.count_if(ok).alias("ok"), F.count_if(~ok).alias("bad"), F.count("*").alias("items"))
-    chunked = per_batch.withColumn(
+
+
+def merged_sums(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of every batch out of those of parts of a run."""
+    return parts.groupBy(*by, "batch").agg(*[F.sum(c).alias(c) for c in ("ok", "bad", "items")])
+
+
+def checkpoints(sums: DataFrame, position: str = "position", batch_size: int = S.BATCH_SIZE, by: tuple[str, ...] = (),
+                batches_per_chunk: int = 10_000) -> DataFrame:
+    """A3 out of the counts of batches.
+
+    Running sums go over chunks of batches, each its own window group, and over the chunk totals, of which there is
+    one per half a million items at the defaults.
+    """
+    chunked = sums.withColumn(
         "chunk", F.floor((F.col("batch") - 1) / batches_per_chunk).cast("bigint"))
     before_chunk = Window.partitionBy(*by).orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -58,6 +72,17 @@ def batch_checkpoints(outcomes: DataFrame, ok: Column, position: str = "position
         (F.col("bad_before") + F.col("bad_sum")).cast("bigint").alias("failed"))
 
 
+def batch_checkpoints(outcomes: DataFrame, ok: Column, position: str = "position",
+                      batch_size: int = S.BATCH_SIZE, by: tuple[str, ...] = (),
+                      batches_per_chunk: int = 10_000) -> DataFrame:
+    """A3: running totals at the end of every full batch of a run.
+
+    ``position`` counts the items of a run (of every ``by`` group) from 1. Items are summed per
+    batch first. No window group holds more than a chunk of batches, and no task sees the items of more than one.
+    """
+    return checkpoints(batch_sums(outcomes, ok, position, batch_size, by), position, batch_size, by, batches_per_chunk)
+
+
 def page_counts(listings: DataFrame, by: tuple[str, ...] = ("page_no",)) -> DataFrame:
     """A4: products per page."""
     return listings.groupBy(*by).agg(F.count("*").alias("products"))

@@ -104,7 +104,7 @@ def run_catalogue(spark: SparkSession, pages: DataFrame, out_dir: str,
     """
     given = {"max_products": max_products, "start_page": start_page, "base_url": base_url, "require_valid": require_valid,
              "on_error": on_error, "site": site, "out_dir": out_dir}
-    stages = StoredStages(spark, shared_folder(spark, run_id and f"runs/{run_id}"),
+    stages = StoredStages(spark, shared_folder(spark, f"runs/{run_id}") if run_id else None,
                           {k: None if v is None else str(v) for k, v in given.items()})
     run_time = datetime.fromisoformat(stages.value("time", lambda: (run_time or datetime.now()).isoformat()))
     listing = stages.table("listing", lambda: G.numbered_listing(

@@ -4,7 +4,6 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -29,30 +28,33 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder of that name, or of that pattern, is there; in whatever store the path names."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
 class StoredStages:
     """The tables of a run by name, each with a marker that is written when the table is whole.
 
     A run that is started again under the same folder takes the tables that have their marker and makes the others,
     over whatever a broken attempt has left. ``parameters`` are those of the first attempt; other ones are an error, since
-    its tables would not fit them.
+    its tables would not fit them. Without a folder the tables go to new ones and need no markers.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, parameters: dict[str, str | None]):
+    def __init__(self, spark: SparkSession, folder: str | None, parameters: dict[str, str | None]):
         self.spark, self.folder = spark, folder
         self.made: list[str] = []
-        known = self._marker("run")
-        if known is None:
-            self._mark("run", json.dumps(parameters))
-        elif json.loads(known) != parameters:
+        known = self.value("run", lambda: json.dumps(parameters))
+        if json.loads(known) != parameters:
             raise ValueError(f"the run in {folder} has other parameters: {known}")
 
     def _marker(self, name: str) -> str | None:
-        try:
-            rows = self.spark.read.schema("value string").json(f"{self.folder}/{name}.done").collect()  # one row
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in (e.getCondition() or ""):
-                return None
-            raise
+        path = f"{self.folder}/{name}.done"
+        if not path_exists(self.spark, path):
+            return None
+        rows = self.spark.read.schema("value string").json(path).collect()  # one row
         return rows[0].value if rows else None
 
     def _mark(self, name: str, value: str) -> None:
@@ -61,20 +63,22 @@ class StoredStages:
 
     def value(self, name: str, make: Callable[[], str]) -> str:
         """A small text that stays as the first attempt has made it."""
-        known = self._marker(name)
+        known = self._marker(name) if self.folder else None
         if known is None:
             known = make()
-            self._mark(name, known)
+            if self.folder:
+                self._mark(name, known)
         return known
 
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table of a stage: read if it is whole, else made."""
-        path = f"{self.folder}/{name}"
-        known = self._marker(name)
+        known = self._marker(name) if self.folder else None
         if known is None:
+            self.made.append(name)
+            if not self.folder:
+                return written(make())
             df = make()
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
             known = df.schema.json()
             self._mark(name, known)
-            self.made.append(name)
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(known))).parquet(path)
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(known))).parquet(f"{self.folder}/{name}")

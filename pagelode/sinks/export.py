@@ -2,13 +2,14 @@
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelode import schema as S
 from pagelode.operators.stats import distinct_keys
+from pagelode.plans.storage import path_exists
+from pagelode.sources.splits import read_csv_split, read_json_array_split
 
 #: The list of an export's files, which is written when all of them are whole.
 MANIFEST = "manifest"
@@ -103,13 +104,7 @@ def export(df: DataFrame, out_dir: str, base: str = S.EXPORT_NAME,
 
 def _manifest_rows(spark: SparkSession, path: str) -> DataFrame | None:
     """What manifests say; null where there is none."""
-    try:
-        found = spark.read.schema(MANIFEST_SCHEMA).json(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
-            return None
-        raise
-    return found
+    return spark.read.schema(MANIFEST_SCHEMA).json(path) if path_exists(spark, path) else None
 
 
 def whole_exports(spark: SparkSession, out_dir: str, base: str = S.EXPORT_NAME) -> DataFrame:
@@ -147,13 +142,23 @@ def write_csv_records(records: DataFrame, values: Column, path: str, most: int =
 
 
 def read_json_export(spark: SparkSession, path: str, schema: T.StructType = S.PRODUCT_SCHEMA,
-                     array: bool = False) -> DataFrame:
-    """A JSON export; ``array`` reads files that each hold one JSON array."""
+                     array: bool = False, split: bool = False) -> DataFrame:
+    """A JSON export; ``array`` reads files that each hold one JSON array.
+
+    Spark reads such a file in one task; ``split`` has many tasks read it, which pays for large files.
+    """
+    if array and split:
+        return read_json_array_split(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
-def read_csv_export(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A CSV export. Columns are matched by the header where no schema is given."""
+def read_csv_export(spark: SparkSession, path: str, schema: T.StructType | None = None, split: bool = False) -> DataFrame:
+    """A CSV export. Columns are matched by the header where no schema is given.
+
+    As values hold line breaks, Spark reads each file in one task; ``split`` has many tasks read a large one.
+    """
+    if split:
+        return read_csv_split(spark, path, schema)
     reader = spark.read.options(**CSV_OPTIONS).option("multiLine", True)
     if schema is not None:
         reader = reader.schema(schema)
