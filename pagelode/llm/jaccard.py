@@ -12,11 +12,12 @@ to tell which ones are frequent. Copies of the same set are one node from the st
 each node to the most central one of the list it shares most, and those of long lists to others; lists whose nodes are then in one component
 have nothing left to show. A second round compares the nodes of the other lists that are in different
 components: the component that most of a list's nodes have meets the others only. They have
-to share as many n-grams at the start of the order as any similar pair does. Candidates are checked on
-whole texts, so the result is exact but for collisions of 64-bit hashes.
+to share as many n-grams at the start of the order as any similar pair does, and only the first of a node's lists
+can be the first one that such a pair shares. Candidates are checked on whole texts, so the result is exact but for
+collisions of 64-bit hashes.
 
-Null texts and texts without words have no set and are linked with nothing. An id is taken to stand for
-one text; repeated rows stay repeated. A null id takes part, but names no component: rows that only
+Null texts and texts without words have no set and are linked with nothing. Repeated rows stay repeated, and rows with
+one id and several texts are judged each by its own. A null id takes part, but names no component: rows that only
 resemble rows with null ids have a null component. Extra columns are ignored.
 """
 
@@ -28,7 +29,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -78,29 +79,33 @@ def set_ids(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def sketched_sets(docs: DataFrame, words: int) -> DataFrame:
-    """One pass over all texts: (doc_id, n, set) of each, and (cells) with each task's counts of n-grams by cell."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set", T.LongType()),
-                           T.StructField("cells", T.BinaryType())])
+    """One pass over all texts: (doc_id, row, n, set) of each, and (cells) with each task's counts of n-grams by cell."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("n", T.LongType()),
+                           T.StructField("set", T.LongType()), T.StructField("cells", T.BinaryType())])
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "set", "cells"]
+        names = ["doc_id", "row", "n", "set", "cells"]
         for piece in pieces(batches):
             hashes, offsets = sets_of_piece(text_array(piece.column("text")), words)
             counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(set_ids(hashes, offsets)),
+                [piece.column("doc_id"), piece.column("row"), pa.array(np.diff(offsets)), pa.array(set_ids(hashes, offsets)),
                  pa.nulls(piece.num_rows, pa.binary())], names=names)
         used = np.flatnonzero(counts)
         if len(used):
             blob = np.concatenate((used, counts[used])).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, to_arrow_type(id_type)), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                 pa.array([blob], pa.binary())], names=names)
+                [pa.nulls(1, to_arrow_type(id_type)), *[pa.nulls(1, pa.int64())] * 3, pa.array([blob], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", _row(), "text").mapInArrow(run, schema)
+
+
+def _row() -> Column:
+    """What tells rows apart that differ in id or text."""
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def merged_sketch(cells: DataFrame, tasks: int = 16) -> np.ndarray:
@@ -146,7 +151,7 @@ def light_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
 
 
 def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied: dict[int, object]) -> DataFrame:
-    """(part, key, split, set, n, central): what each set puts into lists. ``copied``: the document that speaks for a frequent set.
+    """(part, key, split, set, n, central): what each set puts into lists. ``copied``: the row that speaks for a frequent set.
 
     A list that the sketch expects to be long has several parts, and ``split`` is how many. ``central`` is how many frequent n-grams
     the prefix of the set has: edited copies have rare ones of their own, what they were made from has not.
@@ -176,9 +181,9 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
             ordered = (classes[cell] << _CLASS_BITS) | (mixed(hashes) >> np.uint64(6))
             parts = cell_parts[cell]
             out_keys, out_parts, own, central = [], [], [], np.zeros(len(ids), np.int64)
-            docs_ids = piece.column("doc_id").to_pylist() if copied else None
+            rows = piece.column("row").to_pylist() if copied else None
             for i in np.flatnonzero(sizes).tolist():
-                if copied and copied.get(int(ids[i]), docs_ids[i]) != docs_ids[i]:
+                if copied and copied.get(int(ids[i]), rows[i]) != rows[i]:
                     continue
                 a, b = offsets[i], offsets[i + 1]
                 order = np.argsort(ordered[a:b])
@@ -199,7 +204,7 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
                 [pa.array(mixed(keys + salt).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(split), pa.array(ids[own]),
                  pa.array(sizes[own]), pa.array(central[own])], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(_row(), "text").mapInArrow(run, schema)
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -272,9 +277,9 @@ def _prefix_share(a: str, b: str, light: int):
     return F.when(F.least(a, b) <= light, F.lit(1)).otherwise(F.greatest(needed, F.lit(1)))
 
 
-def _unsettled(named: DataFrame, linked: DataFrame, least: int = 2) -> DataFrame:
+def _unsettled(lists: DataFrame, linked: DataFrame, least: int = 2) -> DataFrame:
     """Lists of at least ``least`` nodes that are in several components; ``main`` is the one that most are in."""
-    grouped = named.select("key", "node", "n").join(connected_components(linked), "node", "left").withColumn(
+    grouped = lists.join(connected_components(linked), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     by_key = grouped.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("m"), F.sum("c").alias("all"))
@@ -282,9 +287,48 @@ def _unsettled(named: DataFrame, linked: DataFrame, least: int = 2) -> DataFrame
     return written(grouped.join(several.select("key", F.col("most.component").alias("main")), "key"))
 
 
+def _ranked(mixed_lists: DataFrame) -> DataFrame:
+    """The open lists of each node: how many they are (``m``) and their places (``r``) in one order, frequent ones last."""
+    own = Window.partitionBy("node")
+    return mixed_lists.withColumn("m", F.count("*").over(own)).withColumn(
+        "r", F.row_number().over(own.orderBy(F.col("key") < 0, "key")))
+
+
+def _meetings(ranked: DataFrame, light: int) -> DataFrame:
+    """Rows (x, y, xn, yn) where two nodes of different components meet in one of their first open lists.
+
+    Two similar nodes share a number of open lists at least (``_prefix_share``). In the order of all lists, the first one
+    that they share has all the others after it, with either node; it is found even if each node looks at its lists
+    only so far. A copy that is too far from its group has too many n-grams of its own, few open lists, and meets hardly any.
+    """
+    left = ranked.where(F.col("component") != F.col("main")).select(
+        "key", F.col("node").alias("x"), F.col("n").alias("xn"), (F.col("m") - F.col("r") + 1).alias("xs"),
+        F.col("component").alias("xc"))
+    right = ranked.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), (F.col("m") - F.col("r") + 1).alias("ys"),
+                          F.col("component").alias("yc"), "main")
+    return left.join(right, "key").where(
+        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")))
+        & _similar_sizes("xn", "yn") & (F.least("xs", "ys") >= _prefix_share("xn", "yn", light)))
+
+
+def _candidates(mixed_lists: DataFrame, light: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share as many lists as similar ones do.
+
+    Every list that two nodes of different components share is an open one, so the count is whole.
+    """
+    ranked = written(_ranked(mixed_lists))
+    pairs = _meetings(ranked, light).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"),
+        F.greatest("xn", "yn").alias("bn")).distinct()
+    keys = ranked.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the n-grams of one text
+    met = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("a_keys")), "a").join(
+        keys.select(F.col("node").alias("b"), F.col("keys").alias("b_keys")), "b")
+    shared = F.size(F.array_intersect("a_keys", "b_keys"))
+    return met.where(shared >= _prefix_share("an", "bn", light)).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id that links lead to) of each row."""
-    spark = docs.sparkSession
     stage = written(sketched_sets(docs, words))
     sets = stage.where(F.col("cells").isNull()).drop("cells")
     counts = merged_sketch(stage.where(F.col("cells").isNotNull()).select("cells"))
@@ -293,29 +337,30 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
         F.count("*").alias("c")).collect()}
     light = light_boundary(sizes, counts)
 
-    classes = full.groupBy("set").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    # A node is a set; the row with the smallest hash lends it its text.
+    classes = full.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies"))
     many = max(2, full.count() // 1000)
     # Sets that a thousandth of all documents have: at most a thousand.
-    copied = {r.set: r.node for r in classes.where((F.col("copies") >= many) & F.col("node").isNotNull()).collect()}
-    nodes = classes.where(F.col("node").isNotNull()).select("set", "node")
-
-    lists = written(shared_lists(postings(docs, words, light, counts, copied)))
-    pivots = nodes.select(F.col("set").alias("pivot"), F.col("node").alias("pivot_node"))
-    named = written(lists.join(nodes, "set").join(pivots, "pivot").select("key", "node", "n", "pivot_node", "pivot_n"))
-
-    texts = written(docs.select("doc_id", "text").join(
-        named.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("node"), "text"))
-    stars = named.where((F.col("node") != F.col("pivot_node")) & _similar_sizes("n", "pivot_n")).groupBy(
-        "node", "pivot_node", "n", "pivot_n").agg(F.count("*").alias("c"))
+    copied = {r.set: r.row for r in classes.where(F.col("copies") >= many).collect()}
+
+    met = written(shared_lists(postings(docs, words, light, counts, copied)))
+    lists = met.select("key", F.col("set").alias("node"), "n")
+    speakers = classes.join(lists.select(F.col("node").alias("set")).distinct(), "set", "left_semi").select("set", "row")
+    texts = docs.select(_row(), "text").join(speakers, "row").select(F.col("set").alias("node"), "text")
+    if not full.join(speakers, "row", "left_semi").groupBy("row").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # rows of the same id and text
+    texts = written(texts)
+    # One row for each pair of a set and the most central set of some list of it, before anything is joined.
+    stars = met.where((F.col("set") != F.col("pivot")) & _similar_sizes("n", "pivot_n")).groupBy(
+        "set", "pivot", "n", "pivot_n").agg(F.count("*").alias("c"))
     # Half of what all their lists would have to show: other lists of the two may have other pivots.
     stars = stars.where(F.col("c") * 2 >= _prefix_share("n", "pivot_n", light))
-    first = written(stars.groupBy("node").agg(F.max(F.struct("c", "pivot_node")).alias("best")).select(
-        F.col("best.pivot_node").alias("a"), F.col("node").alias("b")))
+    first = written(stars.groupBy("set").agg(F.max(F.struct("c", "pivot")).alias("best")).select(
+        F.col("best.pivot").alias("a"), F.col("set").alias("b")))
     linked = written(verified(first, texts, words))
 
     # Members of long lists that are not yet with most of the list try two more of those that are.
-    crowded = _unsettled(named, linked, CROWDED)
+    crowded = _unsettled(lists, linked, CROWDED)
     some = crowded.where(F.col("component") == F.col("main")).groupBy("key").agg(
         F.min_by(F.struct("node", "n"), F.xxhash64("key", "node")).alias("y"))
     tries = crowded.where(F.col("component") != F.col("main")).join(some, "key").select(
@@ -324,25 +369,17 @@ def similar_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
     best = tries.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("r <= 2")
     linked = written(linked.union(verified(best.select("a", "b"), texts, words)))
 
-    mixed_lists = _unsettled(named, linked)
-    others = mixed_lists.where(F.col("component") != F.col("main"))
-    left = others.select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    right = mixed_lists.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"),
-                               "main")
-    met = left.join(right, "key").where(
-        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")))
-        & _similar_sizes("xn", "yn")).groupBy(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"),
-            F.greatest("xn", "yn").alias("bn")).agg(F.count("*").alias("c"))
-    # Every list that two nodes of different components share is still here, so the count is whole.
-    met = met.where(F.col("c") >= _prefix_share("an", "bn", light)).select("a", "b")
+    pairs = _candidates(_unsettled(lists, linked), light)
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(met.join(seen, ["a", "b"], "left_anti"), texts, words))
+    more = written(verified(pairs.join(seen, ["a", "b"], "left_anti"), texts, words))
 
     groups = connected_components(linked.union(more))
-    found = nodes.join(groups, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return sets.join(found, "set", "left").select(
+    found = written(classes.select(F.col("set").alias("node"), "id").join(groups, "node", "left").select(
+        F.col("node").alias("set"), "id", F.coalesce("component", "node").alias("component")))
+    names = found.groupBy("component").agg(F.min("id").alias("name"))
+    named = found.join(names, "component").select("set", "name")
+    own = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id"))
+    return sets.join(named, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 

@@ -101,6 +101,50 @@ def test_similar_documents_of_nothing_and_of_odd_rows(spark, docs):
     assert got == [(False, 5, 5), (False, 5, 5), (False, 7, 5), (True, 0, 5)]
 
 
+def near_group(rng, size, words, own):
+    """Texts from one base, with a share of words of their own that makes them similar to it, or just not."""
+    base = prose(rng, words).split()
+    for i in range(size):
+        w = list(base)
+        for at in rng.sample(range(words), own(i)):
+            w[at] = f"own{i}at{at}"
+        yield " ".join(w)
+
+
+def test_a_group_of_just_not_similar_texts_makes_few_candidates(spark, docs, monkeypatch):
+    rng = random.Random(21)
+    rows = list(enumerate(near_group(rng, 2_000, 300, lambda i: 10 + i % 6 if i % 20 else 3)))
+    made = []
+
+    def spied(ranked, light, real=jaccard._meetings):
+        met = real(ranked, light)
+        made.append((met.count(), ranked.where("component <> main").select("node").distinct().count()))
+        return met
+
+    monkeypatch.setattr(jaccard, "_meetings", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs(rows)).collect()}
+    assert len(got) == 2_000 and got[20] == 0
+    (candidates, outsiders), = made
+    assert outsiders > 500 and candidates < 40_000  # all pairs of outsiders with the group would be millions
+    few = [r for r in rows if r[0] % 5 == 0]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_documents(docs(few)).collect()}
+    assert got == plain_components(few)
+
+
+def test_ids_with_several_texts_and_links_through_null_ids(spark, docs):
+    base = prose(random.Random(22), 60)
+    a, b, c = base, " ".join(base.split()[4:] + ["x1", "x2", "x3", "x4"]), " ".join(base.split()[8:] + [f"x{i}" for i in range(1, 9)])
+    other = prose(random.Random(23), 40)
+    # a is linked to b and b to c, where only a row without an id has b.
+    rows = [(4, a), (None, b), (9, c), (4, other), (12, other), (None, "")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.similar_documents(docs(rows)).collect())
+    links = {frozenset((x, y)) for x in "abc" for y in "abc" if x < y}
+    sets = {k: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for k, w in (("a", a.split()), ("b", b.split()), ("c", c.split()))}
+    near = {p for p in links if 5 * len(sets[min(p)] & sets[max(p)]) >= 4 * len(sets[min(p)] | sets[max(p)])}
+    assert near == {frozenset("ab"), frozenset("bc")}
+    assert got == [(0, 0, 0), (0, 56, 4), (4, 36, 4), (4, 56, 4), (9, 56, 4), (12, 36, 4)]
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
