@@ -95,8 +95,9 @@ def rule_index(rules: DataFrame, subjects: DataFrame) -> DataFrame:
             "tokens", rule_tokens(F.col("pattern")))
     spelled = ready.select("rule", "verdict", "pattern", "rank", F.explode_outer("tokens").alias("token"))
     wanted = spelled.where(F.col("token").isNotNull()).select("token").distinct()
-    seen = subjects.select(F.explode(tokens_of(F.col("subject"))).alias("token")).join(wanted, "token").groupBy(
-        "token").agg(F.count("*").alias("urls"))
+    # Counted before the join: a token that most URLs have sends one row for each task.
+    seen = subjects.select(F.explode(tokens_of(F.col("subject"))).alias("token")).groupBy("token").agg(
+        F.count("*").alias("urls")).join(wanted, "token")
     rarest = spelled.join(seen, "token", "left").groupBy("rule", "verdict", "pattern", "rank").agg(
         F.min_by("token", F.struct(F.coalesce("urls", F.lit(0)), "token")).alias("token"))
     groups = F.transform(F.sequence(F.lit(0), F.lit(BARE_GROUPS - 1)), _group)
