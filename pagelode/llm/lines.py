@@ -8,8 +8,8 @@ in the document with the smallest id; in the others its lines are dropped.
 
 Templates are hashes, counted with a map side, so one that a third of all lines has sends a row for
 each task. Lines of fewer than ``least_words`` words stay. A line repeated within one document only is
-no recurring line. Null texts stay null; a null id counts as the largest one, and rows with the same id
-count as one document. Extra columns are kept.
+no recurring line. Null texts stay null; a null id counts as the largest one, ids that are no numbers go by their
+hashes, and rows with the same id count as one document. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,8 +87,10 @@ def line_templates(docs: DataFrame, least_words: int = 4) -> DataFrame:
                 names=["row", "doc", "line", "template"])
 
     last = F.lit((1 << 63) - 1)
-    return docs.select(_row(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), "text"
-                       ).mapInArrow(run, schema)
+    # Ids that are no numbers come in the order of their hashes.
+    number = isinstance(docs.schema["doc_id"].dataType, T.NumericType)
+    place = F.col("doc_id").cast("long") if number else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    return docs.select(_row(docs).alias("row"), F.coalesce(place, last).alias("doc"), "text").mapInArrow(run, schema)
 
 
 def recurring_lines(docs: DataFrame, least_words: int = 4) -> DataFrame:
@@ -106,17 +108,17 @@ def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool
 
     Every document stays; with ``drop_emptied`` all but those that lines were taken from and that keep no word.
     """
-    marked = docs.withColumn("_row", _row(docs)).join(
-        recurring_lines(docs, least_words).select(
-            F.col("row").alias("_row"), F.col("lines").alias("_lines")), "_row", "left")
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("text")
-    columns = [text if c == "text" else F.col(c) for c in docs.columns]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), _row(docs).alias("row"))
+    marked = rows.join(recurring_lines(docs, least_words), "row", "left")
+    own = F.col("own").getField
+    split = F.split(own("text"), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1).cast("array<long>"), F.col("lines"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(split, i.cast("int"))), "\n")
+    text = F.when(F.col("lines").isNull(), own("text")).otherwise(kept).alias("text")
+    if drop_emptied:
+        marked = marked.where(F.col("lines").isNull() | text.rlike(r"\S"))
+    columns = [text if c == "text" else own(c).alias(c) for c in docs.columns]
     if counts:
         columns += [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-                    F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_dropped")]
-    result = marked.select(*columns, F.col("_lines").isNotNull().alias("_cut"))
-    if drop_emptied:
-        result = result.where(~F.col("_cut") | F.col("text").rlike(r"\S"))
-    return result.drop("_cut")
+                    F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_dropped")]
+    return marked.select(*columns)

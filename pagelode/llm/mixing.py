@@ -92,7 +92,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "position", "balanced")  # columns of these names give way
-    rows = docs.withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(own, "source", "doc_id", F.xxhash64("text").alias("_text"), key.alias("_key"))
     rows = rows.withColumn("_part", F.substring("_key", 1, 4))
     parts = rows.groupBy("source", "_part").agg(F.count("*").alias("_n"))
     sizes = parts.groupBy("source").agg(F.sum("_n").alias("n")).collect()
@@ -122,7 +124,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     offsets = grouped.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
         groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))).select(
         "source", "_part", (F.col("_start") + F.col("_inside")).alias("_offset"))
-    within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", F.xxhash64("text"))
+    within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "_text")
     numbered = rows.withColumn("_i", F.row_number().over(within)).alias("d").join(
         offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d._part") == F.col("o._part")))
     numbered = numbered.select("d.*", (F.col("_offset") + F.col("_i") - 1).alias("_i0"))
@@ -135,5 +137,5 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
                          & (F.col("block") % F.col("_p") == F.col("_turn")))
     slot = F.floor(F.col("block") / F.col("_p")) * length + F.col("_slot")
     return placed.select(
-        *docs.columns, "block", slot.alias("slot"), (slot * block_rows + F.col("_i0") % block_rows).alias("position"),
+        *[F.col("_own").getField(c).alias(c) for c in docs.columns], "block", slot.alias("slot"), (slot * block_rows + F.col("_i0") % block_rows).alias("position"),
         (slot < empty).alias("balanced"))
