@@ -3,13 +3,12 @@
 A signature is a common word (the anchor) with the chain of the next content words after it, common
 words left out. The set of a text's signatures is its fingerprint: layouts and boilerplate have few
 anchors, prose has many. Each text is compared with its edited text and with the next row's, by the
-Jaccard of the whole sets; it is exact but for collisions of 32-bit hashes. As only these pairs are
+Jaccard of the whole sets; it is exact but for collisions of 64-bit hashes. As only these pairs are
 compared and no others searched for, there are no partitions by length.
 
-The fingerprint is the number of signatures with the ``KEPT`` smallest of their hashes, to be listed only:
-nothing is compared by it. A text without an anchored chain has one signature, of the whole text, so equal
+The fingerprint is the number of signatures with a digest of the whole set. A text without an anchored chain has one signature, of the whole text, so equal
 texts have equal fingerprints. Null texts count as empty ones.
-Rows are ordered by id, with null first, then by the hash of the text; rows that repeat both have the
+Rows are ordered by id, with null first (ids that are texts by their bytes), then by the hash of the text; rows that repeat both have the
 same neighbour.
 """
 
@@ -18,6 +17,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagelode.llm.decontaminate import words_of
@@ -31,8 +31,6 @@ ANCHORS = (
     "al como con del el esta las lo los más no para pero por su una y").split()
 
 CHAIN = 2
-#: Hashes that a listed fingerprint shows.
-KEPT = 128
 
 
 def with_sets(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -44,23 +42,12 @@ def with_sets(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(content, F.filter(w, lambda x: ~x.isin(ANCHORS)))
     # The anchor with r anchors before it, at place i, has i - r - 1 content words before it.
     enough = F.filter(stops, lambda i, r: i - r + CHAIN - 1 <= F.size(content))
-    signature = F.transform(enough, lambda i, r: F.hash(F.element_at(w, i), F.slice(content, i - r, CHAIN)))
+    signature = F.transform(enough, lambda i, r: F.xxhash64(F.element_at(w, i), F.slice(content, i - r, CHAIN)))
     found = F.array_distinct(signature)
-    whole = F.array(F.hash(F.coalesce(text, F.lit(""))))
+    whole = F.array(F.xxhash64(F.coalesce(text, F.lit(""))))
     return df.withColumn(out, F.when(F.size(found) > 0, found).otherwise(whole)).drop(w, stops, content)
 
 
-def kept(signatures: Column) -> Column:
-    """(n, kept): the number of signatures and the smallest of their hashes."""
-    return F.struct(F.size(signatures).alias("n"), F.slice(F.sort_array(signatures), 1, KEPT).alias("kept"))
-
-
-def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``out``: (n, kept) of the text's signatures."""
-    sets = with_sets(df, text, out)
-    return sets.withColumn(out, kept(F.col(out)))
-
-
 def likeness(a: str, b: str) -> Column:
     """Jaccard of two sets of signatures."""
     both = F.size(F.array_intersect(a, b))
@@ -68,8 +55,17 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(signatures: str) -> Column:
-    fingerprint = kept(F.col(signatures))
-    return F.concat_ws(":", fingerprint["n"].cast("string"), F.array_join(fingerprint["kept"].cast("array<string>"), ","))
+    """The number of signatures and a digest of the whole set."""
+    listed = F.array_join(F.sort_array(signatures).cast("array<string>"), ",")
+    return F.concat_ws(":", F.size(signatures).cast("string"), F.sha2(listed.cast("binary"), 256))
+
+
+def _place(ids: DataFrame) -> Column:
+    """A number that grows with ``doc_id``: of a text, its first six bytes."""
+    if isinstance(ids.schema["doc_id"].dataType, T.NumericType):
+        return F.col("doc_id").cast("double")
+    first = F.hex(F.substring(F.col("doc_id").cast("string").cast("binary"), 1, 6))
+    return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("double")
 
 
 def with_next(docs: DataFrame, prepare, columns: list[str], parts: int = 16_384, rows_per_part: int = 32) -> DataFrame:
@@ -80,12 +76,12 @@ def with_next(docs: DataFrame, prepare, columns: list[str], parts: int = 16_384,
     as a whole, and every text moves once.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
-    ids = docs.select(F.col("doc_id").cast("double").alias("d")).where("d IS NOT NULL")
+    ids = docs.select(_place(docs).alias("d")).where("d IS NOT NULL")
     m = max(1, min(parts, ids.count() // rows_per_part))
     cuts = sorted(set(ids.approxQuantile("d", [i / m for i in range(1, m)], 1 / (4 * m)))) if m > 1 else []
     ranges = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="_d", outputCol="_r")
     marked = ranges.transform(docs.withColumn("_h", F.xxhash64("text")).withColumn(
-        "_d", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))).drop("_d")
+        "_d", F.coalesce(_place(docs), F.lit(-1.7e308)))).drop("_d")
     # Of each range the id and hash of the first row; at most as many as there are ranges.
     heads = marked.groupBy("_r").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_h")).alias("k"))
     along = Window.orderBy("_r")
