@@ -4,13 +4,13 @@ Strict patterns with their checks give the base spans. Loose generators propose
 too: anything around an ``@``, any number of seven or more digits, any long token with digits. Boosted
 trees score each candidate by its format and by the words before it. They learn from the corpus itself:
 a candidate counts as personal data where a base span overlaps it, or where a keyword or a known key
-format marks a secret; the checks (Luhn, 255) are no features, so the trees judge by looks. On the half
-of the sample that they have not seen, the threshold of each generator is set to the lowest score from
+format marks a secret; the checks (Luhn, 255) are no features, so the trees judge by looks. On all candidates
+that they have not learned from, the threshold of each generator is set to the lowest score from
 which on nine in ten are right. Of candidates that overlap, the best stays; one that overlaps a base
 span goes, as base spans always stay.
 
-Null texts are empty and have no spans. Rows that repeat id and text have the same spans. Where the
-sample has no or only one kind of label, the base spans are all there is. Extra columns are ignored.
+Null texts are empty and have no spans. Rows that repeat id and text have the same spans. Where all
+labels are the same, all candidates are taken or none. Extra columns are ignored.
 Places are code points, end exclusive; they come from running sums over a text's matches, by document.
 """
 
@@ -108,41 +108,75 @@ def with_features(candidates: DataFrame) -> DataFrame:
 
 
 def candidates_of(spans: DataFrame, base: DataFrame) -> DataFrame:
-    """Candidates with the label that the corpus gives them, and whether a base span overlaps them."""
-    loose = spans.where(F.col("kind").isin(*GENERATORS)).alias("c")
-    strict = base.select("row", F.col("start").alias("bs"), F.col("end").alias("be")).alias("b")
-    crossed = loose.join(strict, (F.col("c.row") == F.col("b.row")) & (F.col("start") < F.col("be"))
-                         & (F.col("bs") < F.col("end")), "left_semi").select("row", "kind", "start").distinct()
-    marked = loose.join(crossed.withColumn("crossed", F.lit(True)), ["row", "kind", "start"], "left")
+    """Candidates with the label that the corpus gives them, and whether a base span overlaps them.
+
+    In the order of base spans' starts and candidates' ends, a candidate is overlapped if the largest end of the base spans
+    before it lies behind its start: one pass over a document, whatever it holds.
+    """
+    loose = spans.where(F.col("kind").isin(*GENERATORS))
+    strict = base.select("row", "start", "end").withColumn("strict", F.lit(True))
+    both = loose.withColumn("strict", F.lit(False)).unionByName(strict, allowMissingColumns=True)
+    upto = Window.partitionBy("row").orderBy(F.when(F.col("strict"), F.col("start")).otherwise(F.col("end")), "strict").rowsBetween(
+        Window.unboundedPreceding, -1)
+    furthest = F.coalesce(F.max(F.when(F.col("strict"), F.col("end"))).over(upto), F.lit(-1))
+    marked = both.withColumn("crossed", furthest > F.col("start")).where(~F.col("strict")).drop("strict")
     secret = (F.col("kind") == "key-like") & (F.col("left").rlike(SECRET) | F.col("match").rlike(KEY_FORMAT))
-    crossed_now = F.coalesce("crossed", F.lit(False))
-    return marked.withColumn("crossed", crossed_now).withColumn("label", (F.col("crossed") | secret).cast("double"))
+    return marked.withColumn("label", (F.col("crossed") | secret).cast("double"))
+
+
+def sampled(candidates: DataFrame, sample_rows: int) -> Column:
+    """Whether a candidate is one to learn from: of each generator and label as many as fill its share of ``sample_rows``,
+    up to chance, chosen by hash; half of those there are at most, so that the others can set the thresholds."""
+    sizes = candidates.groupBy("kind", "label").count().collect()  # two rows for each generator
+    most = sample_rows / max(1, 2 * len(GENERATORS))
+    part = F.pmod(F.xxhash64(F.lit("sample"), "row", "kind", "start"), F.lit(1_000_000))
+    chosen_parts = F.lit(0)
+    for r in sizes:
+        share = int(1_000_000 * min(0.5, most / r["count"]))
+        chosen_parts = F.when((F.col("kind") == r.kind) & (F.col("label") == r.label), share).otherwise(chosen_parts)
+    return part < chosen_parts
 
 
 def chosen(candidates: DataFrame, sample_rows: int, precision: float) -> DataFrame:
-    """(row, kind, start, end) of the candidates that the trees and the thresholds select, without overlaps."""
-    ready = with_features(candidates)
-    order = F.xxhash64("row", "kind", "start")
-    sample = written(ready.select("row", "kind", "start", "label", "features").orderBy(order, "row").limit(sample_rows))
-    learn = sample.where(F.xxhash64("row") % 2 == 0)
-    if {r.label for r in learn.select("label").distinct().collect()} != {0.0, 1.0}:
-        return candidates.where(F.lit(False)).select("row", "kind", "start", "end")
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(learn)
-    score = F.round(vector_to_array(F.col("probability"))[1], 2)
+    """(row, kind, start, end) of the candidates that the trees and the thresholds select, without overlaps.
+
+    Trees learn from a bounded sample. Thresholds come from the scores of all other candidates: for each generator the least
+    score from which on enough of them are right; a generator without any takes that of all together. Where all labels are
+    the same there is nothing to tell apart: all candidates are taken, or none.
+    """
+    ready = written(with_features(candidates).withColumn("learn", sampled(candidates, sample_rows)))
+    learn = ready.where("learn").select("label", "features")
+    labels = {r.label for r in learn.select("label").distinct().collect()}
+    score = F.lit(1.0)
+    if labels == {0.0, 1.0}:
+        model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7).fit(learn)
+        ready = model.transform(ready)
+        score = F.round(vector_to_array(F.col("probability"))[1], 2)
+    scored = written(ready.withColumn("p", score).select("row", "kind", "start", "end", "match", "crossed", "learn", "label", "p"))
     # At most 101 scores for each generator.
-    tallies = model.transform(sample.where(F.xxhash64("row") % 2 != 0)).groupBy("kind", score.alias("p")).agg(
-        F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("kind", F.desc("p")).collect()
-    least: dict[str, float] = {}
-    sums: dict[str, tuple[float, float]] = {}
-    for r in tallies:
-        n, good = sums.get(r.kind, (0, 0.0))
-        sums[r.kind] = n, good = n + r.n, good + r.good
-        if good >= precision * n and r.p > 0:
-            least[r.kind] = r.p
+    tallies = scored.where(~F.col("learn")).groupBy("kind", "p").agg(
+        F.count("*").alias("n"), F.sum("label").alias("good")).orderBy(F.desc("p")).collect()
+
+    def least_score(rows) -> float | None:
+        n, good, least = 0, 0.0, None
+        by_score: dict[float, tuple[int, float]] = {}
+        for r in rows:
+            m, g = by_score.get(r.p, (0, 0.0))
+            by_score[r.p] = m + r.n, g + r.good
+        for p in sorted(by_score, reverse=True):
+            n, good = n + by_score[p][0], good + by_score[p][1]
+            if good >= precision * n and p > 0:
+                least = p
+        return least
+
     bound = F.lit(2.0)
-    for kind, p in least.items():
-        bound = F.when(F.col("kind") == kind, p).otherwise(bound)
-    good = model.transform(ready.where(~F.col("crossed"))).withColumn("p", score).where(F.col("p") >= bound)
+    pooled = least_score(tallies)
+    for kind in GENERATORS:
+        own = [r for r in tallies if r.kind == kind]
+        least = least_score(own) if own else pooled
+        if least is not None:
+            bound = F.when(F.col("kind") == kind, least).otherwise(bound)
+    good = scored.where(~F.col("crossed") & (F.col("p") >= bound))
     # Overlapping candidates form an island; its best one stays.
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
@@ -158,11 +192,8 @@ def chosen(candidates: DataFrame, sample_rows: int, precision: float) -> DataFra
         "row", shape.alias("kind"), "start", "end")
 
 
-def personal_data(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
-    """Each row's ``doc_id`` with ``base`` and ``spans``: arrays of (place of the kind, kind, start, end), sorted.
-
-    The trees learn from at most ``sample_rows`` candidates, those with the smallest hashes.
-    """
+def _spans_by_row(docs: DataFrame, sample_rows: int, precision: float) -> DataFrame:
+    """(row, base, spans) of the rows that have any; ``row`` is the hash of id and text."""
     spans = written(found_spans(docs))
     base = spans.where(F.col("kind").isin(*KINDS) & passes(F.col("kind"), F.col("match"))).select(
         "row", "kind", "start", "end")
@@ -170,9 +201,20 @@ def personal_data(docs: DataFrame, sample_rows: int = 20_000, precision: float =
     both = base.withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)), F.lit(len(KINDS) + 1))
     item = F.struct(place.cast("int").alias("place"), "kind", "start", "end")
-    lists = both.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("base"), item))).alias("base"),
-                                    F.sort_array(F.collect_list(item)).alias("spans"))
-    none = F.array().cast("array<struct<place:int,kind:string,start:bigint,end:bigint>>")
+    return both.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("base"), item))).alias("base"),
+                                   F.sort_array(F.collect_list(item)).alias("spans"))
+
+
+_NONE = "array<struct<place:int,kind:string,start:bigint,end:bigint>>"
+
+
+def personal_data(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
+    """Each row's ``doc_id`` with ``base`` and ``spans``: arrays of (place of the kind, kind, start, end), sorted.
+
+    The trees learn from about ``sample_rows`` candidates at most, chosen by hashes.
+    """
+    lists = _spans_by_row(docs, sample_rows, precision)
+    none = F.array().cast(_NONE)
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row")).join(lists, "row", "left").select(
         "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
@@ -182,18 +224,23 @@ def listed(spans: Column | str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(docs: DataFrame, mask: str = "[{}]", **options) -> DataFrame:
-    """The documents with every span of ``personal_data`` replaced by its kind in brackets; overlaps merge into one."""
-    found = personal_data(docs, **options).select("doc_id", "spans").dropDuplicates(["doc_id"])
+def redacted(docs: DataFrame, mask: str = "[{}]", sample_rows: int = 20_000, precision: float = 0.9) -> DataFrame:
+    """The documents with every span of ``personal_data`` replaced by its kind in brackets; overlaps merge into one.
+
+    Rows meet their spans by the hash of id and text, so rows with equal or null ids get their own.
+    """
+    found = _spans_by_row(docs, sample_rows, precision).select("row", "spans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64("doc_id", "text").alias("row"))
+    text = F.col("own").getField("text")
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     head, tail = mask.split("{}")
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     folded = F.aggregate(by_start, empty, lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-            acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+            acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
             F.lit(head), s["kind"], F.lit(tail))).alias("out")))
-    whole = F.concat(folded["out"], F.substring(F.col("text"), (folded["at"] + 1).cast("int"), F.length("text")))
-    columns = [F.when(F.size("spans") > 0, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)
-               for c in docs.columns]
-    return docs.join(found, "doc_id", "left").select(*columns)
+    whole = F.concat(folded["out"], F.substring(text, (folded["at"] + 1).cast("int"), F.length(text)))
+    masked = F.when(F.size("spans") > 0, whole).otherwise(text).alias("text")
+    return rows.join(found, "row", "left").select(
+        *[masked if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])
