@@ -46,6 +46,8 @@ LARGEST_LIGHT = 12
 LIST_ROWS = 20_000
 #: Lists of so many nodes get a round more before all that is left is compared.
 CROWDED = 64
+#: Nodes of a list that another node meets in one row.
+LIST_BLOCK = 256
 
 _CLASS_BITS = np.uint64(58)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -272,43 +274,63 @@ def _prefix_share(a: str, b: str, light: int):
     All that is common up to the end of the prefix that ends first is in both prefixes; beyond it there
     are no more than one set has beyond its prefix. Small sets list subsets, of which one is enough.
     """
-    rest = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
-    needed = F.ceil((F.col(a) + F.col(b)) * 4 / 9) - F.greatest(rest(a), rest(b))
+    return _share_of(F.col(a), F.col(b), light)
+
+
+def _share_of(a: Column, b: Column, light: int) -> Column:
+    rest = lambda n: n - F.floor(n / 5) - 1
+    needed = F.ceil((a + b) * 4 / 9) - F.greatest(rest(a), rest(b))
     return F.when(F.least(a, b) <= light, F.lit(1)).otherwise(F.greatest(needed, F.lit(1)))
 
 
 def _unsettled(lists: DataFrame, linked: DataFrame, least: int = 2) -> DataFrame:
-    """Lists of at least ``least`` nodes that are in several components; ``main`` is the one that most are in."""
+    """Lists of at least ``least`` nodes (``all``) that are in several components; ``main`` is the one that most are in."""
     grouped = lists.join(connected_components(linked), "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     by_key = grouped.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max(F.struct("c", "component")).alias("most"), F.count("*").alias("m"), F.sum("c").alias("all"))
     several = by_key.where((F.col("m") > 1) & (F.col("all") >= least))
-    return written(grouped.join(several.select("key", F.col("most.component").alias("main")), "key"))
+    return written(grouped.join(several.select("key", F.col("most.component").alias("main"), "all"), "key"))
 
 
 def _ranked(mixed_lists: DataFrame) -> DataFrame:
-    """The open lists of each node: how many they are (``m``) and their places (``r``) in one order, frequent ones last."""
+    """The open lists of each node: how many they are (``m``) and their places (``r``) in one order, long ones last."""
     own = Window.partitionBy("node")
-    return mixed_lists.withColumn("m", F.count("*").over(own)).withColumn(
-        "r", F.row_number().over(own.orderBy(F.col("key") < 0, "key")))
+    return mixed_lists.withColumn("m", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("all", "key")))
 
 
-def _meetings(ranked: DataFrame, light: int) -> DataFrame:
-    """Rows (x, y, xn, yn) where two nodes of different components meet in one of their first open lists.
+def _meetings(ranked: DataFrame, light: int, block: int = LIST_BLOCK) -> DataFrame:
+    """Pairs (a, b, an, bn) of nodes of different components that meet in one of their first open lists, once each.
 
     Two similar nodes share a number of open lists at least (``_prefix_share``). In the order of all lists, the first one
     that they share has all the others after it, with either node; it is found even if each node looks at its lists
     only so far. A copy that is too far from its group has too many n-grams of its own, few open lists, and meets hardly any.
+
+    A list meets a node in blocks of about ``block`` nodes, by the nodes' hashes, and what a node has met in all of its lists
+    is put together by block before a pair becomes a row.
     """
+    longest = ranked.agg(F.max("all")).first()[0] or 1
+    blocks = 1 << (-(-longest // block) - 1).bit_length() if longest > block else 1
+    sight = F.col("m") - F.col("r") + 1
     left = ranked.where(F.col("component") != F.col("main")).select(
-        "key", F.col("node").alias("x"), F.col("n").alias("xn"), (F.col("m") - F.col("r") + 1).alias("xs"),
-        F.col("component").alias("xc"))
-    right = ranked.select("key", F.col("node").alias("y"), F.col("n").alias("yn"), (F.col("m") - F.col("r") + 1).alias("ys"),
-                          F.col("component").alias("yc"), "main")
-    return left.join(right, "key").where(
-        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y")))
-        & _similar_sizes("xn", "yn") & (F.least("xs", "ys") >= _prefix_share("xn", "yn", light)))
+        "key", F.col("node").alias("x"), F.col("n").alias("xn"), sight.alias("xs"), F.col("component").alias("xc"))
+    member = F.struct(F.col("node").alias("y"), F.col("n").alias("yn"), sight.alias("ys"), F.col("component").alias("yc"))
+    right = ranked.groupBy("key", F.pmod("node", F.lit(blocks)).alias("block")).agg(
+        F.collect_list(member).alias("members"), F.first("main").alias("main"))
+
+    def may_be_similar(v: Column) -> Column:
+        x = {c: F.col(c) for c in ("x", "xn", "xs", "xc", "main")}
+        least, most = F.least(x["xn"], v["yn"]), F.greatest(x["xn"], v["yn"])
+        return ((x["xc"] != v["yc"]) & ((v["yc"] == x["main"]) | (x["x"] < v["y"])) & (least * 5 >= most * 4)
+                & (F.least(x["xs"], v["ys"]) >= _share_of(x["xn"], v["yn"], light)))
+
+    met = left.join(right, "key").withColumn("met", F.transform(
+        F.filter("members", may_be_similar), lambda v: F.struct(v["y"].alias("y"), v["yn"].alias("yn")))).where(F.size("met") > 0)
+    found = met.groupBy("x", "xn", "block").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    rows = found.select("x", "xn", F.explode("met").alias("v")).select("x", "xn", "v.y", "v.yn")
+    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
+                       F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"),
+                       F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn"))
 
 
 def _candidates(mixed_lists: DataFrame, light: int) -> DataFrame:
@@ -317,9 +339,8 @@ def _candidates(mixed_lists: DataFrame, light: int) -> DataFrame:
     Every list that two nodes of different components share is an open one, so the count is whole.
     """
     ranked = written(_ranked(mixed_lists))
-    pairs = _meetings(ranked, light).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("xn", "yn").alias("an"),
-        F.greatest("xn", "yn").alias("bn")).distinct()
+    # Two nodes that are both outside the largest component of their lists may have met from either side.
+    pairs = _meetings(ranked, light).distinct()
     keys = ranked.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the n-grams of one text
     met = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("a_keys")), "a").join(
         keys.select(F.col("node").alias("b"), F.col("keys").alias("b_keys")), "b")
