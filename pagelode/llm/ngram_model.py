@@ -328,10 +328,15 @@ def whole_events(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
 def whole_scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """``score_texts`` with the counts of all n-grams."""
+    return by_counts(docs, counts, *scoring(model, docs.schema["doc_id"]))
+
+
+def scoring(model: Model, id_field: T.StructField):
+    """What scores the texts of a batch out of the counts by token, and the schema of that."""
     uniform = 1 / (model.distinct + 1)
     size = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
     weights, tokens = model.weights, model.tokens
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (
+    schema = T.StructType([id_field, *(T.StructField(n, t) for n, t in (
         ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
     names = schema.names
 
@@ -345,7 +350,7 @@ def whole_scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
              pa.array(np.add.reduceat(np.log10(c1 + 0.1), at) - n * size), pa.array(np.add.reduceat(np.log10(p), at))],
             names=names)
 
-    return by_counts(docs, counts, use, schema)
+    return use, schema
 
 
 # --- weights ---

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelode.llm import (
-    centroids, conversations, decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, pii, spotsigs, toxicity,
+    centroids, conversations, decontaminate, jaccard, language, licenses, lines, mixing, ngram_exchange, pii, spotsigs, toxicity,
     url_filter)
 from pagelode.llm.tables import fold
 
@@ -162,9 +162,7 @@ def op9_language_id(spark, sf_dir):
 def op10_interpolated_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    model, vocabulary = ngram_model.train_language_scores(
-        docs.where(number % 10 != 0), F.floor(number / 10) % 8 == 0)
-    scored = ngram_model.score_texts(docs, model, vocabulary)
+    scored, model = ngram_exchange.interpolated_scores(docs, number % 10 != 0, F.floor(number / 10) % 8 == 0)
     return scored.select(
         "doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -11,7 +11,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from pagelode.llm import decontaminate, jaccard, language, licenses, lines, mixing, ngram_model, pii, spotsigs, toxicity
+from pagelode.llm import (
+    decontaminate, jaccard, language, licenses, lines, mixing, ngram_exchange, ngram_model, pii, spotsigs, toxicity)
 from pagelode.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, lines int, row int, block string"
@@ -117,7 +118,7 @@ def test_a_group_of_just_not_similar_texts_makes_few_candidates(spark, docs, mon
     made = []
 
     def spied(ranked, light, real=jaccard._meetings):
-        met = real(ranked, light)
+        met = real(ranked, light, 64)
         made.append((met.count(), ranked.where("component <> main").select("node").distinct().count()))
         return met
 
@@ -378,6 +379,56 @@ def test_trees_add_spans_and_redaction_masks_them(spark, docs):
     assert masked[2] == "no data" and masked[3] is None and masked[0].endswith("mail [email]")
 
 
+def test_redaction_masks_every_row_with_its_own_spans(spark):
+    rows = [(None, "write c@d.org"), (1, "longer@example.org here"), (1, "no data"), (1, "longer@example.org here"), (None, "x y"),
+            (2, "ask 10.0.0.1 or a@b.co"), (3, None)]
+    table = spark.createDataFrame([(i, t, "spans", "row", "own") for i, t in rows], "doc_id long, text string, spans string, row string, own string")
+    got = pii.redacted(table)
+    assert got.columns == table.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([
+        (0, "write [email]"), (1, "[email] here"), (1, "no data"), (1, "[email] here"), (0, "x y"), (2, "ask [ip] or [email]"), (3, "")])
+    assert {(r.spans, r.row, r.own) for r in got.collect()} == {("spans", "row", "own")}
+
+
+def test_overlaps_of_candidates_match_brute_force(spark):
+    rng = random.Random(31)
+    kinds = list(pii.GENERATORS)
+    loose = [(r, rng.choice(kinds), a, a + rng.randrange(1, 9), "m", "l") for r in range(20) for a in rng.sample(range(80), 15)]
+    strict = [(r, "email", a, a + rng.randrange(1, 12)) for r in range(20) for a in rng.sample(range(80), rng.randrange(8))]
+    spans = spark.createDataFrame(loose, "row long, kind string, start long, end long, match string, left string")
+    base = spark.createDataFrame(strict, "row long, kind string, start long, end long")
+    got = {(r.row, r.kind, r.start, r.end): r.crossed for r in pii.candidates_of(spans, base).collect()}
+    assert len(got) == len(set(loose)) and got == {
+        (r, k, a, b): any(q == r and s < b and e > a for q, _, s, e in strict) for r, k, a, b, _, _ in loose}
+
+
+def test_thresholds_without_both_labels(spark, docs):
+    assert all(not r.spans for r in pii.personal_data(docs(["number 123456789012 only", "serial 99887766554433"])).collect())
+
+
+def test_text_ids_and_clashing_columns(spark):
+    names = ["_row", "_cut", "_lines", "row", "lines", "own", "_key", "_i", "_part", "_own", "_text", "_h", "_d", "_r", "block"]
+    texts = ["the same line of words here\nand one of its own a", "the same line of words here\nand another of its own b", None, ""]
+    table = spark.createDataFrame([(i, t, "s", *names) for i, t in zip(["b", "a", None, "c"], texts)],
+                                  "doc_id string, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    lines_out = lines.drop_recurring_lines(table, counts=True).collect()
+    assert sorted(r.n_dropped for r in lines_out) == [0, 0, 0, 1] and all(r[n] == n for r in lines_out for n in names)
+    mixed = mixing.mix_sources(table, {})
+    assert mixed.count() == 4 and all(r[n] == n for r in mixed.collect() for n in names if n != "block")
+    near = {r.doc_id: r.edited for r in spotsigs.fingerprints(table).collect()}
+    order = [("", None), (texts[1], "a"), (texts[0], "b"), ("", "c")]
+    for k, (t, i) in enumerate(order):
+        half = len(t) // 2
+        assert near[i] == t[:len(t) - half] + order[(k + 1) % 4][0][:half]
+
+
+def test_fingerprints_tell_different_sets_apart(spark, docs):
+    rng = random.Random(32)
+    texts = [" ".join(f"the {rng.choice('abcdefgh')}{rng.randrange(99)} word{j}" for j in range(300)) for _ in range(20)]
+    found = spotsigs.fingerprints(docs(texts + texts[:3])).collect()
+    assert len({r.fingerprint for r in found}) == 20
+
+
 # --- 7 ---
 
 def test_edited_texts_and_neighbours(spark, docs):
@@ -409,8 +460,8 @@ def test_signatures_match_a_plain_version(spark, docs):
             if a in spotsigs.ANCHORS and len(rest) == 2:
                 found.add((a, *rest))
         return max(1, len(found))
-    rows = spotsigs.with_signatures(docs(texts), "text", "f").select("text", "f.n", F.size("f.kept").alias("k")).collect()
-    assert all(r.n == plain(r.text) and r.k == min(r.n, 128) for r in rows)
+    rows = spotsigs.with_sets(docs(texts), "text", "f").select("text", F.size("f").alias("n")).collect()
+    assert all(r.n == plain(r.text) for r in rows)
     same = spotsigs.fingerprints(docs([texts[5], texts[5], texts[6], None])).orderBy("doc_id").collect()
     assert same[0].fingerprint == same[1].fingerprint and same[0].near_next == 1.0 and same[1].near_next < 0.2
 
@@ -592,6 +643,32 @@ def test_all_pairs_and_triples_are_in_the_model(spark, docs, monkeypatch):
     assert all(math.isclose(r.score, expected(texts[r.doc_id]), rel_tol=1e-9) for r in got)
 
 
+@pytest.mark.parametrize("part_bytes", [700, 1 << 24])
+def test_exchanged_counts_give_the_scores_of_the_table_of_counts(spark, docs, monkeypatch, part_bytes):
+    monkeypatch.setattr(ngram_model, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(ngram_exchange, "RANGE_KEYS", 300)
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(0, 60)) + (" rare%d word" % i if i % 3 == 0 else "") for i in range(90)] + [None, "", "Unseen words"]
+    table = docs(texts).unionByName(docs([(5, texts[5]), (None, "no id")])).repartition(3)
+    training, deleted = F.col("doc_id") < 60, F.col("doc_id") % 3 == 0
+    got, own = ngram_exchange.interpolated_scores(table, training, deleted)
+    model, counts = ngram_model.train_language_scores(table.where(training), deleted)
+    assert (own.tokens, own.distinct) == (model.tokens, model.distinct) and abs(own.weights - model.weights).max() < 1e-12
+    row = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 7), round(r.score, 7))
+    want = ngram_model.score_texts(table, model, counts).collect()
+    assert len(want) == len(texts) + 2 and sorted(map(row, got.collect())) == sorted(map(row, want))
+    for rows in (table.where("false"), table):
+        scored, none = ngram_exchange.interpolated_scores(rows, F.lit(False), F.lit(True))
+        assert none.tokens == 0 and all(r.score == 0 and r.n_known == 0 for r in scored.collect())
+
+
+def test_numbers_are_packed_without_loss():
+    import numpy as np
+    for x in ([], [0], [0, 0], [1, 255, 256, 2 ** 63, 2 ** 64 - 1], list(range(5000))):
+        values = np.array(x, np.uint64)
+        assert (ngram_exchange.unpacked(ngram_exchange.packed(values), len(x)) == values).all()
+
+
 def test_folds_follow_crc32(spark, docs):
     from pagelode.llm.tables import fold
     rows = docs([(i, "x") for i in [0, 7, -3, 10**12]] + [(None, "x")]).select("doc_id", fold("doc_id", 5).alias("f")).collect()
