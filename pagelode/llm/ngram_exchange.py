@@ -3,8 +3,8 @@
 Like ``ngram_model``, with all pairs and triples, but without a table of counts. Texts are packed in parts of some
 megabytes. Each part sends its distinct n-grams once, sorted and packed, with its own training counts, to the range of
 hashes they are in. A range adds up what all parts have sent and tells a part only what it cannot know: the totals
-of its n-grams that other parts have as well. Most n-grams are in one part, and cost no more than their way there. Parts
-and totals are joined once and stored; weights and scores are both worked out of that.
+of its n-grams that other parts have as well. Most n-grams are in one part, and cost no more than their way there. The rows
+that weights are learned from are parts of their own, so only those meet their totals twice.
 
 Rows are packed as runs, one for each part and range that has any, so there are never more rows than n-grams. Hashes have as
 many bits as keep the n-grams of the whole corpus apart: less than one pair of different ones is expected to meet, as long
@@ -14,10 +14,12 @@ as 64 bits are enough for that. Null texts are empty; a null flag is false. Rows
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from pagelode.llm import ngram_model as M
 from pagelode.llm.tables import written
 from pagelode.llm.words import pieces, text_array
 
+#: Text of the documents that are packed together.
+PART_BYTES = 8 << 20
 #: N-grams of a range.
-RANGE_KEYS = 1 << 21
+RANGE_KEYS = 1 << 20
 WORDS, LONGER = 0, 1
 
 _CODEC = "zstd"
@@ -51,30 +55,39 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def stored_parts(docs: DataFrame, training: Column, deleted: Column) -> DataFrame:
-    """``part``, ``size`` (characters as bytes) and ``texts``: the packed rows of neighbouring documents."""
+    """``part``, ``size`` (characters as bytes) and ``texts``: the packed rows of neighbouring documents.
+
+    Rows that weights are learned from have parts of their own, with odd numbers.
+    """
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("size", T.LongType()),
                            T.StructField("texts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        first, made = TaskContext.get().partitionId() << 32, [0, 0]
+        held: list[list[pa.RecordBatch]] = [[], []]
 
-        def out():
+        def out(learn: int) -> pa.RecordBatch:
+            size = sum(piece.column("text").nbytes for piece in held[learn])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as stream:
-                for piece in held:
+            with pa.ipc.new_stream(sink, held[learn][0].schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as stream:
+                for piece in held[learn]:
                     stream.write_batch(piece)
+            part = first + 2 * made[learn] + learn
+            held[learn], made[learn] = [], made[learn] + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([first + made]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                [pa.array([part]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
                 names=["part", "size", "texts"])
 
-        for piece in pieces(batches, size=min(M.PART_BYTES, 3 << 20)):
-            held.append(piece)
-            size += piece.column("text").nbytes
-            if size >= M.PART_BYTES:
-                yield out()
-                held, size, made = [], 0, made + 1
-        if held:
-            yield out()
+        for piece in pieces(batches, size=min(PART_BYTES, 2 << 20)):
+            own = piece.column("learn")
+            for learn, rows in ((0, piece.filter(pc.invert(own))), (1, piece.filter(own))):
+                if rows.num_rows:
+                    held[learn].append(rows)
+                    if sum(p.column("text").nbytes for p in held[learn]) >= PART_BYTES:
+                        yield out(learn)
+        for learn in (0, 1):
+            if held[learn]:
+                yield out(learn)
 
     rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"),
                        F.coalesce(training & deleted, F.lit(False)).alias("learn"))
@@ -87,7 +100,6 @@ class Part:
     def __init__(self, texts: bytes, bits: int):
         table = pa.ipc.open_stream(texts).read_all().combine_chunks()
         self.ids = table.column("doc_id").combine_chunks()
-        self.learn = table.column("learn").to_numpy(zero_copy_only=False)
         tokens, self.offsets = M.tokens_of(text_array(table.column("text")))
         pair, triple = M.longer_keys(tokens, self.offsets)
         lengths = np.diff(self.offsets)
@@ -100,8 +112,9 @@ class Part:
         both = np.concatenate((pair.view(np.uint64), triple.view(np.uint64))) >> down
         counts = np.concatenate((train, train & inner))
         for kind, keys, n in ((WORDS, tokens >> down, train), (LONGER, both, counts)):
-            self.keys[kind], self.at[kind] = np.unique(keys, return_inverse=True)
-            self.own[kind] = np.bincount(self.at[kind], weights=n, minlength=len(self.keys[kind])).astype(np.int64)
+            self.keys[kind], at = np.unique(keys, return_inverse=True)
+            self.at[kind] = at.astype(np.int32)
+            self.own[kind] = np.bincount(at[n], minlength=len(self.keys[kind]))
         self.end = (np.array([M.END]) >> down)[0]
 
 
@@ -190,8 +203,10 @@ def _use(joined: DataFrame, bits: int, ranges: int, use, schema: T.StructType) -
 
 def released(spark: SparkSession) -> None:
     """Have Spark's cleaner look for shuffles that nothing refers to any more, so that their files go before more are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def interpolated_scores(docs: DataFrame, training: Column, deleted: Column) -> tuple[DataFrame, M.Model]:
@@ -208,22 +223,21 @@ def interpolated_scores(docs: DataFrame, training: Column, deleted: Column) -> t
     told = written(_totals(_sent(parts, bits, ranges)))
     released(spark)
     known = told.where("part IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens")]).first()
-    by_part = told.where("part IS NOT NULL").groupBy("part").agg(
-        F.collect_list(F.struct("kind", "range", "n", "at", "totals")).alias("told"))
-    joined = written(parts.select("part", "texts").join(by_part, "part", "left"))
-    released(spark)
+
+    def joined(wanted: Column) -> DataFrame:
+        by_part = told.where(F.col("part").isNotNull() & wanted).groupBy("part").agg(
+            F.collect_list(F.struct("kind", "range", "n", "at", "totals")).alias("told"))
+        return parts.where(wanted).select("part", "texts").join(by_part, "part", "left")
 
     none = np.zeros(0, np.uint64)
     model = M.Model(known.tokens, known.distinct, none, none.astype(np.int64), none, whole=True)
     tokens = model.tokens
 
     def events(part, c3, c2, c1, seen3, seen2):
-        learn = np.repeat(part.learn, np.diff(part.offsets))
-        keys, n = np.unique(M.deleted_keys(*(x[learn] for x in (M.bucket_of(seen3, seen2), c3, c2, c1, seen3, seen2)), tokens),
-                            return_counts=True)
+        keys, n = np.unique(M.deleted_keys(M.bucket_of(seen3, seen2), c3, c2, c1, seen3, seen2, tokens), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counted = _use(joined, bits, ranges, events, T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
+    counted = _use(joined(F.col("part") % 2 == 1), bits, ranges, events, T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))
     model.weights = M.mixture_weights(M.sorted_table(counted.groupBy("key").agg(F.sum("n").alias("n"))), [], model)
     score, schema = M.scoring(model, docs.schema["doc_id"])
-    return _use(joined, bits, ranges, lambda part, *counts: score(part.ids, part.offsets, *counts), schema), model
+    return _use(joined(F.lit(True)), bits, ranges, lambda part, *counts: score(part.ids, part.offsets, *counts), schema), model

@@ -645,7 +645,7 @@ def test_all_pairs_and_triples_are_in_the_model(spark, docs, monkeypatch):
 
 @pytest.mark.parametrize("part_bytes", [700, 1 << 24])
 def test_exchanged_counts_give_the_scores_of_the_table_of_counts(spark, docs, monkeypatch, part_bytes):
-    monkeypatch.setattr(ngram_model, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(ngram_exchange, "PART_BYTES", part_bytes)
     monkeypatch.setattr(ngram_exchange, "RANGE_KEYS", 300)
     rng = random.Random(17)
     texts = [prose(rng, rng.randint(0, 60)) + (" rare%d word" % i if i % 3 == 0 else "") for i in range(90)] + [None, "", "Unseen words"]
