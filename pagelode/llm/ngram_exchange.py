@@ -30,7 +30,7 @@ from pagelode.llm.tables import written
 from pagelode.llm.words import pieces, text_array
 
 #: Text of the documents that are packed together.
-PART_BYTES = 8 << 20
+PART_BYTES = 5 << 20
 #: N-grams of a range.
 RANGE_KEYS = 1 << 20
 WORDS, LONGER = 0, 1
@@ -109,7 +109,9 @@ class Part:
         down = np.uint64(64 - bits)
         self.keys, self.at, self.own = [None, None], [None, None], [None, None]
         # The first token of a text has no triple; its place stands for its pair, and is not counted.
-        both = np.concatenate((pair.view(np.uint64), triple.view(np.uint64))) >> down
+        both = np.concatenate((pair.view(np.uint64), triple.view(np.uint64)))
+        both >>= down
+        del pair, triple, table
         counts = np.concatenate((train, train & inner))
         for kind, keys, n in ((WORDS, tokens >> down, train), (LONGER, both, counts)):
             self.keys[kind], at = np.unique(keys, return_inverse=True)
@@ -141,6 +143,8 @@ def _sent(parts: DataFrame, bits: int, ranges: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(list(x), t) for x, t in zip(zip(*rows[j:j + 256]), [pa.int64()] * 4 + [pa.binary()] * 2)],
                             names=["kind", "range", "part", "n", "keys", "counts"])
+                del part
+                pa.default_memory_pool().release_unused()
 
     return parts.select("part", "texts").mapInArrow(run, schema)
 
@@ -197,6 +201,8 @@ def _use(joined: DataFrame, bits: int, ranges: int, use, schema: T.StructType) -
                 heads = part.offsets[:-1]
                 seen2[heads], seen3[heads], c3[heads] = counts[WORDS][ends], 0, 0
                 yield use(part, c3, c2, c1, seen3, seen2)
+                del part, counts, c1, c2, c3, seen2, seen3
+                pa.default_memory_pool().release_unused()
 
     return joined.select("texts", "told").mapInArrow(run, schema)
 
