@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelode.functions.binding import let
 from pagelode.llm.words import SPACED, mixed, pieces, split_words, text_array
 
 LEADING, BRANCHING = 3, 8
@@ -113,7 +114,7 @@ def drop_recurring_lines(docs: DataFrame, least_words: int = 4, *, counts: bool
     own = F.col("own").getField
     split = F.split(own("text"), "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1).cast("array<long>"), F.col("lines"))
-    kept = F.array_join(F.transform(places, lambda i: F.get(split, i.cast("int"))), "\n")
+    kept = F.array_join(let(split, lambda s: F.transform(places, lambda i: F.get(s, i.cast("int")))), "\n")
     text = F.when(F.col("lines").isNull(), own("text")).otherwise(kept).alias("text")
     if drop_emptied:
         marked = marked.where(F.col("lines").isNull() | text.rlike(r"\S"))
