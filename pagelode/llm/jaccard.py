@@ -309,13 +309,12 @@ def _meetings(ranked: DataFrame, light: int, block: int = LIST_BLOCK) -> DataFra
     A list meets a node in blocks of about ``block`` nodes, by the nodes' hashes, and what a node has met in all of its lists
     is put together by block before a pair becomes a row.
     """
-    longest = ranked.agg(F.max("all")).first()[0] or 1
-    blocks = 1 << (-(-longest // block) - 1).bit_length() if longest > block else 1
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("all") / block, F.lit(1.0))))).cast("long")
     sight = F.col("m") - F.col("r") + 1
     left = ranked.where(F.col("component") != F.col("main")).select(
         "key", F.col("node").alias("x"), F.col("n").alias("xn"), sight.alias("xs"), F.col("component").alias("xc"))
     member = F.struct(F.col("node").alias("y"), F.col("n").alias("yn"), sight.alias("ys"), F.col("component").alias("yc"))
-    right = ranked.groupBy("key", F.pmod("node", F.lit(blocks)).alias("block")).agg(
+    right = ranked.groupBy("key", F.pmod("node", blocks).alias("block")).agg(
         F.collect_list(member).alias("members"), F.first("main").alias("main"))
 
     def may_be_similar(v: Column) -> Column:
@@ -339,7 +338,7 @@ def _candidates(mixed_lists: DataFrame, light: int) -> DataFrame:
     Every list that two nodes of different components share is an open one, so the count is whole.
     """
     ranked = written(_ranked(mixed_lists))
-    # Two nodes that are both outside the largest component of their lists may have met from either side.
+    # Two nodes may have met from either side, and in lists of different numbers of blocks.
     pairs = _meetings(ranked, light).distinct()
     keys = ranked.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the n-grams of one text
     met = pairs.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("a_keys")), "a").join(
