@@ -3,10 +3,10 @@
 Of every ``WIDTH`` consecutive hashes of ``GRAM`` words the smallest is kept, in documents and in
 benchmark items alike. A shared span of ``WIDTH + GRAM - 1`` words has the same hashes on both sides,
 so the same one is kept and the join of the kept hashes cannot miss it. Documents with such a hit are
-looked at again: their matching grams are followed along each diagonal (place in the document less
-place in the item), and a run of grams that is long enough is a shared window of words.
+looked at again: all their windows meet the distinct windows of the items found, and each hit is
+extended over the places that adjoin it.
 
-An item of fewer words than a window is one window and is looked up as a whole. Null and empty texts
+An item of fewer words than a window is one window and is looked up as a whole, all lengths in one pass. Null and empty texts
 have no words. Rows that repeat both id and text count once; an id with several texts has a row for
 each. Items that occur in many documents, or documents with many items, spread over tasks by document.
 """
@@ -32,12 +32,48 @@ def words_of(text: Column | str) -> Column:
     return F.coalesce(words, F.array().cast("array<string>"))
 
 
-def _with_next(df: DataFrame, new: str, old: str, step: int, f) -> DataFrame:
-    """A column that combines each item of ``old`` with the one ``step`` places on; its tail is not cut."""
-    ahead = F.slice(F.col(old), step + 1, F.greatest(F.size(old) - step, F.lit(0)))
+def _with_next(df: DataFrame, new: str, old: str, step: int, f, other: str | None = None) -> DataFrame:
+    """A column that combines each item of ``old`` with that of ``other`` (or its own) ``step`` places on; its tail is not cut."""
+    other = other or old
+    ahead = F.slice(F.col(other), step + 1, F.greatest(F.size(other) - step, F.lit(0)))
     return df.withColumn(new, F.zip_with(old, ahead, f))
 
 
+def with_windows(df: DataFrame, lengths: list[int], words: str = "words") -> DataFrame:
+    """``windows``: for each length ``n`` the hashes ``gs`` of all its windows of words, by place.
+
+    A window's hash is put together from those of 1, 2, 4 and 8 words, so a text is gone through a few times only,
+    however long its windows are.
+    """
+    both = lambda a, b: F.xxhash64(a, b)
+    kept = df.columns
+    df = df.withColumn("_g1", F.transform(words, lambda w: F.xxhash64(w)))
+    power = 1
+    while 2 * power <= max(lengths):
+        df = _with_next(df, f"_g{2 * power}", f"_g{power}", power, both)
+        power *= 2
+    made = {}
+    for n in lengths:
+        done, name = 0, None
+        for part in (1 << k for k in reversed(range(n.bit_length())) if n >> k & 1):
+            if name is None:
+                name = f"_g{part}"
+            else:
+                df = _with_next(df, f"_g{n}_{done + part}", name, done, both, f"_g{part}")
+                name = f"_g{n}_{done + part}"
+            done += part
+        made[n] = name
+    whole = [F.struct(F.lit(n).alias("n"), F.slice(name, 1, F.greatest(F.size(words) - (n - 1), F.lit(0))).alias("gs"))
+             for n, name in made.items()]
+    return df.select(*kept, F.array(*whole).alias("windows"))
+
+
+def window_places(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """The columns of ``keep`` with (n, at, g) for each window of ``words`` of these lengths."""
+    by_length = with_windows(df, lengths).select(*keep, F.explode_outer("windows").alias("w"))
+    return by_length.select(*keep, F.col("w.n").alias("n"), F.posexplode_outer("w.gs").alias("at", "g"))
+
+
 def with_grams(df: DataFrame, words: str = "words") -> DataFrame:
     """``grams``: the hash of each ``GRAM`` consecutive words; empty where there are fewer."""
     both = lambda a, b: F.xxhash64(a, b)
@@ -72,38 +108,38 @@ def matched_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = with_fingerprints(texts).select("row", F.explode_outer("prints").alias("f")).join(keys, "f")
     candidates = written(found.select("row", "item").distinct())
 
-    item_grams = with_grams(long_items).select("item", F.posexplode_outer("grams").alias("at_item", "g"))
     near = texts.join(candidates.select("row").distinct(), "row", "left_semi")
-    doc_grams = with_grams(near).select("row", F.posexplode_outer("grams").alias("at", "g"))
-    pairs = doc_grams.join(item_grams, "g").join(candidates, ["row", "item"], "left_semi").distinct()
-    along = Window.partitionBy("row", "item", "diagonal").orderBy("at")
-    runs = (pairs.withColumn("diagonal", F.col("at") - F.col("at_item"))
-            .withColumn("island", F.col("at") - F.row_number().over(along))
-            .groupBy("row", "item", "diagonal", "island").agg(F.min("at").alias("start"), F.max("at").alias("last"))
-            .where(F.col("last") - F.col("start") >= WIDTH - 1)
-            .select("row", "item", "start", (F.col("last") + GRAM).alias("end")))
-    hits = [runs]
+    spans = _spans(window_matches(near, long_items, [SPAN]).join(candidates, ["row", "item"], "left_semi"))
     # Lengths of short items: at most SPAN - 1 values.
-    for r in items.where(F.col("n") < SPAN).select("n").distinct().collect():
-        hits.append(_whole_items(texts, items.where(F.col("n") == r.n), r.n))
-    everything = hits[0]
-    for more in hits[1:]:
-        everything = everything.unionByName(more)
-    return everything.join(items.select("item", "item_id"), "item").select("row", "item_id", "start", "end")
+    short = sorted(r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    if short:
+        spans = spans.unionByName(_spans(window_matches(texts, items.where(F.col("n") < SPAN), short)))
+    return spans.join(items.select("item", "item_id"), "item").select("row", "item_id", "start", "end")
+
+
+def window_matches(texts: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(row, item, n, at): places of windows of a text that an item has, too.
+
+    An item has a row for each distinct window, so a place meets an item once, however often either repeats itself.
+    """
+    # An item has windows of its own length only, or of SPAN words.
+    own = items.select("item", "words", F.least("n", F.lit(SPAN)).alias("own"))
+    wanted = window_places(own, lengths, "item", "own")
+    keys = wanted.where(F.col("n") == F.col("own")).select("item", "n", "g").distinct()
+    return window_places(texts, lengths, "row").join(keys, ["n", "g"]).select("row", "item", "n", "at")
 
 
-def _whole_items(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Places of items of ``n`` words, found by the hash of all their words."""
-    whole = items.select("item", F.xxhash64("words").alias("g"))
-    starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1)))
-    grams = texts.select("row", F.posexplode_outer(F.transform(
-        starts, lambda i: F.xxhash64(F.slice("words", i, n)))).alias("start", "g"))
-    return grams.join(whole, "g").select("row", "item", "start", (F.col("start") + n).alias("end"))
+def _spans(matches: DataFrame) -> DataFrame:
+    """(row, item, start, end): windows at adjoining places in one span. Repeated rows of a text change nothing."""
+    along = Window.partitionBy("row", "item").orderBy("at")
+    return (matches.withColumn("island", F.col("at") - F.dense_rank().over(along))
+            .groupBy("row", "item", "n", "island").agg(F.min("at").alias("start"), F.max("at").alias("last"))
+            .select("row", "item", "start", (F.col("last") + F.col("n")).alias("end")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit`` (words in matched windows) and ``items`` (sorted ids as text) by document."""
-    spans = matched_windows(docs, benchmark)
+    spans = written(matched_windows(docs, benchmark))
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     union = spans.select("row", "start", "end").distinct().withColumn("seen", F.max("end").over(before))
     covered = union.groupBy("row").agg(F.sum(F.greatest(
