@@ -6,7 +6,8 @@ of the released blocks the one with the earliest deadline takes the next slot. A
 then less than one block away from its share. Weights are exact fractions, as their decimals are given.
 With their smallest whole numbers the schedule repeats after as many slots as these add up to. The driver
 works out the turns of one period, or only those up to the last block that a source has where the period
-is longer, and the place of every block follows. No document is dropped or repeated: a source that has
+is longer, and the place of every block follows. It keeps one turn of each source and at most ``CHUNK`` of those worked
+out: a longer schedule goes to a table, chunk by chunk, and joins by shuffle; only one that fits a chunk is broadcast. No document is dropped or repeated: a source that has
 run out leaves its slots empty, and ``balanced`` tells which documents come before the first empty slot.
 Weights have to be positive and finite. A caller who gives ``slots`` has weights rounded to that period.
 
@@ -18,14 +19,19 @@ null ids and repeated rows are documents like others.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from math import gcd, lcm
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagelode.llm.tables import shared_folder
+
+#: Turns that the driver holds at once, and rows of a schedule that is broadcast.
+CHUNK = 1 << 17
+
 
 def whole_weights(weights: Mapping[str | None, float]) -> dict[str | None, int]:
     """The smallest whole numbers with the given ratios."""
@@ -54,8 +60,8 @@ def shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None,
 
 
 def period(slots_of: Mapping[str | None, int],
-           needed: Mapping[str | None, int] | None = None) -> list[tuple[str | None, int, int]]:
-    """(source, turn, slot) of one period: earliest deadline first among the released blocks.
+           needed: Mapping[str | None, int] | None = None) -> Iterator[tuple[str | None, int, int]]:
+    """(source, turn, slot) of one period, by slot: earliest deadline first among the released blocks.
 
     With ``needed``, turns of a source from that number on are left out, and the schedule ends after the last one.
     """
@@ -65,7 +71,6 @@ def period(slots_of: Mapping[str | None, int],
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, turn
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, turn
-    out = []
     for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, k, turn = heapq.heappop(waiting)
@@ -73,14 +78,33 @@ def period(slots_of: Mapping[str | None, int],
         deadline, k, turn = heapq.heappop(ready)
         assert slot < deadline
         if needed is None or turn < needed[names[k]]:
-            out.append((names[k], turn, slot))
+            yield names[k], turn, slot
         if needed is not None and turn + 1 == needed[names[k]]:
             missing -= 1
             if not missing:
                 break
         if turn + 1 < slots_of[names[k]]:
             heapq.heappush(waiting, ((turn + 1) * slots // slots_of[names[k]], k, turn + 1))
-    return out
+
+
+def schedule_table(spark: SparkSession, slots_of: Mapping[str | None, int], needed: Mapping[str | None, int],
+                   asked: Mapping[str | None, int], chunk: int = CHUNK) -> tuple[DataFrame, dict[str | None, int]]:
+    """The turns of ``period`` as (_s, _turn, _slot), with a broadcast hint if one chunk holds them, and the slots of
+    the turns that are ``asked`` for, one for each source."""
+    names, path, found, rows = "_s string, _turn long, _slot long", None, {}, []
+    for source, turn, slot in period(slots_of, needed):
+        if len(rows) == chunk:
+            path = path or shared_folder(spark)
+            spark.createDataFrame(rows, names).write.mode("append").parquet(path)
+            rows = []
+        rows.append((source, turn, slot))
+        if asked[source] == turn:
+            found[source] = slot
+    last = spark.createDataFrame(rows, names)
+    if path is None:
+        return F.broadcast(last), found
+    last.write.mode("append").parquet(path)
+    return spark.read.schema(names).parquet(path), found
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, default_weight: float = 1.0,
@@ -105,14 +129,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     slots_of = whole_weights(wanted) if slots is None else shares(wanted, max(slots, len(sizes)))
     # One turn more than a source has blocks: that of its first empty slot.
     turns = {r.source: min(-(-r.n // block_rows) + 1, slots_of[r.source]) for r in sizes}
-    table = period(slots_of, turns)
+    # The block after a source's last full or partial one: it has the source's first empty slot.
+    beyond = {r.source: -(-r.n // block_rows) for r in sizes}
+    schedule, place = schedule_table(spark, slots_of, turns, {s: b % slots_of[s] for s, b in beyond.items()})
     # A number beyond all blocks stands for any larger one.
     length = min(sum(slots_of.values()), 1 << 62)
     slots_of = {s: min(p, 1 << 62) for s, p in slots_of.items()}
-    place = {(s, turn): slot for s, turn, slot in table}
-    # The first slot that stays empty: that of the block after a source's last full or partial one.
-    empty = min((b // slots_of[r.source]) * length + place[r.source, b % slots_of[r.source]]
-                for r in sizes for b in [-(-r.n // block_rows)])
+    empty = min((b // slots_of[s]) * length + place[s] for s, b in beyond.items())
 
     # Rows before a part: those of the groups of parts before its own, and those before it in its group.
     # A window holds 256 rows at most, whatever a source has.
@@ -128,12 +151,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     numbered = rows.withColumn("_i", F.row_number().over(within)).alias("d").join(
         offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d._part") == F.col("o._part")))
     numbered = numbered.select("d.*", (F.col("_offset") + F.col("_i") - 1).alias("_i0"))
-    schedule = spark.createDataFrame(
-        [(s, slots_of[s], turn, slot) for s, turn, slot in table], "_s string, _p long, _turn long, _slot long")
     per_source = spark.createDataFrame([(s, p) for s, p in slots_of.items()], "_s string, _p long")
-    blocks = numbered.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    per_source = F.broadcast(per_source) if len(slots_of) <= CHUNK else per_source
+    blocks = numbered.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     blocks = blocks.withColumn("block", F.floor(F.col("_i0") / block_rows))
-    placed = blocks.join(F.broadcast(schedule.drop("_p")), F.col("source").eqNullSafe(F.col("_s"))
+    placed = blocks.join(schedule, F.col("source").eqNullSafe(F.col("_s"))
                          & (F.col("block") % F.col("_p") == F.col("_turn")))
     slot = F.floor(F.col("block") / F.col("_p")) * length + F.col("_slot")
     return placed.select(

@@ -203,6 +203,31 @@ def test_contamination_matches_brute_force(spark, docs):
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs(rows), none).collect())
 
 
+def test_repetitive_texts_meet_each_item_once_a_place(spark, docs):
+    text, item = " ".join(["ko"] * 3000), " ".join(["ko"] * 2000)
+    words = decontaminate.words_of("text").alias("words")
+    texts = docs([text]).select(F.lit(1).alias("row"), words)
+    items = spark.createDataFrame([(7, item)], "item long, text string").select("item", words, F.size(words).alias("n"))
+    assert decontaminate.window_matches(texts, items, [decontaminate.SPAN]).count() == 3000 - 9
+    benchmark = spark.createDataFrame([(7, item), (8, "ko lu"), (9, "ko ko ko"), (10, "")], "item_id long, text string")
+    found = decontaminate.contamination(docs([text, text + " lu", "ko ko", None]), benchmark).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == [
+        (0, 3000, 3000, ("7", "9")), (1, 3001, 3001, ("7", "8", "9")), (2, 2, 0, ()), (3, 0, 0, ())]
+
+
+def test_windows_of_every_length_have_hashes_of_their_own(spark, docs):
+    rng = random.Random(5)
+    made = docs([prose(rng, 40, ["a", "b"]), "a b", ""]).select("doc_id", decontaminate.words_of("text").alias("words"))
+    lengths = list(range(1, 11))
+    rows = decontaminate.window_places(made, lengths, "doc_id", "words").where(F.col("g").isNotNull()).collect()
+    assert len(rows) == sum(max(0, m - n + 1) for m in (40, 2) for n in lengths)
+    texts = {}
+    for r in rows:
+        texts.setdefault((r.n, r.g), set()).add(tuple(r.words[r["at"]:r["at"] + r.n]))
+    assert all(len(t) == 1 and len(next(iter(t))) == n for (n, _), t in texts.items())
+    assert len({t for s in texts.values() for t in s}) == len(texts)
+
+
 # --- 3 ---
 
 def test_recurring_lines_go_from_all_but_the_first(spark, docs):
@@ -293,7 +318,7 @@ def test_toxicity_without_both_labels(spark, docs):
 def test_pfair_keeps_every_source_within_one_block():
     weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.4, None: 0.1}
     slots = mixing.shares(weights, 997)
-    table = mixing.period(slots)
+    table = list(mixing.period(slots))
     assert sorted(s for _, _, s in table) == list(range(997)) and sum(slots.values()) == 997
     seen = Counter()
     for source, _, slot in sorted(table, key=lambda r: r[2]):
@@ -302,6 +327,17 @@ def test_pfair_keeps_every_source_within_one_block():
             assert abs(seen[s] - n * (slot + 1) / 997) < 1
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_stored_schedules_are_the_same(spark, docs, monkeypatch, chunk):
+    rows = [(i, f"t{i}", "en", ("a", "b", None)[i % 7 % 3], 1, 2, "x") for i in range(120)]
+    table, weights = spark.createDataFrame(rows, SCHEMA), {"a": 0.1234567890123, "b": 0.7}
+    want = sorted(map(tuple, mixing.mix_sources(table, weights, block_rows=4).select("doc_id", "slot", "position", "balanced").collect()))
+    made = mixing.schedule_table
+    monkeypatch.setattr(mixing, "schedule_table", lambda *a: made(*a, chunk=chunk))
+    got = mixing.mix_sources(table, weights, block_rows=4)
+    assert sorted(map(tuple, got.select("doc_id", "slot", "position", "balanced").collect())) == want and len(want) == 120
+
+
 def test_mix_places_every_row_once(spark, docs):
     rng = random.Random(2)
     rows = [(i, f"t{i}", "en", rng.choice("aaaab") if i % 9 else None, 1, 2, "x") for i in range(700)] + [(3, "t3", "en", "a", 1, 2, "x")]
