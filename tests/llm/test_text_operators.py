@@ -283,6 +283,45 @@ def test_toxicity_finds_held_out_words(spark, docs):
     assert toxicity.score_toxicity(docs([]), model).count() == 0
 
 
+def plain_encoding(params, name, inputs):
+    """The pooled states of one sequence, a direction at a time; ``inputs[d]``: what its steps add to the gates."""
+    import numpy as np
+    out = []
+    for d in (0, 1):
+        U, A, v = (params[f"{name}.{k}"][d].astype(np.float64) for k in "UAv")
+        H = len(U)
+        h, states = np.zeros(H), []
+        for g in inputs[d] if d == 0 else inputs[d][::-1]:
+            z = 1 / (1 + np.exp(-(g[:H] + h @ U[:, :H])))
+            r = 1 / (1 + np.exp(-(g[H:2 * H] + h @ U[:, H:2 * H])))
+            n = np.tanh(g[2 * H:] + r * (h @ U[:, 2 * H:]))
+            h = (1 - z) * n + z * h
+            states.append(h)
+        e = np.exp([float((np.tanh(s @ A) * v).sum()) for s in states])
+        out.append(sum(w * s for w, s in zip(e / e.sum(), states)))
+    return np.concatenate(out)
+
+
+def test_toxicity_logits_agree_with_a_plain_forward_pass():
+    import numpy as np
+    model = toxicity.fit(*zip(*toxic_corpus(60, 3)), 0.4, rounds=1)
+    words = toxicity.words_of_all(["ab", "some words of a text " * 40, "", "x" * 15 + " yz"])
+    doc, first, logits = model.largest_logits(words)
+    assert set(doc.tolist()) == {0, 1, 3} and len(doc) > 3
+    letters, lengths = toxicity.spelled(words, np.arange(len(words.starts)))
+    slots, p = toxicity.slots_of(words.hashes), model.params
+    begin, ends = words.offsets[:-1], words.offsets[1:]
+    for d, f, logit in zip(doc, first, logits):
+        inputs = []
+        for w in range(begin[d] + f, min(begin[d] + f + toxicity.WINDOW, ends[d])):
+            spelt = letters[w, :lengths[w]]
+            chars = plain_encoding(p, "char", [p["char.in"][way][spelt].astype(np.float64) for way in (0, 1)])
+            x = np.concatenate((chars, p["word.emb"][slots[w]]))
+            inputs.append((x @ p["word.in"] + p["word.b"]).reshape(2, -1))
+        pooled = plain_encoding(p, "word", [[i[way] for i in inputs] for way in (0, 1)])
+        assert abs(float(pooled @ p["out.w"] + p["out.b"].item()) - float(logit)) < 1e-3
+
+
 def test_toxicity_gradients_agree_with_differences():
     import numpy as np
     rng = np.random.default_rng(1)
