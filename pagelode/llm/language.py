@@ -32,8 +32,8 @@ BLANK = 1
 STRETCH = 1024
 
 
-def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384, languages: int = 500) -> list[tuple[str, str]]:
-    """At most ``texts`` stretches of at most ``chars`` characters for each of the ``languages`` most frequent labels.
+def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384) -> list[tuple[str, str]]:
+    """At most ``texts`` stretches of at most ``chars`` characters for each label.
 
     The documents are those with the smallest hashes of their ids; a stretch begins at a place that
     the same hash gives. The bound holds for any size of the corpus. A count finds the share of hashes
@@ -41,7 +41,7 @@ def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384, lang
     """
     order = F.xxhash64(F.col("doc_id")).bitwiseAND(F.lit((1 << 40) - 1))
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\S")).withColumn("h", order)
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each label
     if not sizes:
         return []
     share = labelled.sparkSession.createDataFrame(
@@ -51,7 +51,7 @@ def training_sample(labelled: DataFrame, texts: int = 64, chars: int = 384, lang
     ids = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= texts).select("lang", "doc_id").distinct()
     piece = F.substring(F.col("text"), (F.col("h") % F.greatest(F.length("text") - chars, F.lit(1)) + 1).cast("int"),
                         F.lit(chars))
-    chosen = labelled.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most languages * texts rows
+    chosen = labelled.sparkSession.createDataFrame(ids.collect(), ids.schema)  # at most ``texts`` rows for each label
     sample = usable.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "h", piece.alias("piece"))
     return [(r.lang, r.piece) for r in sample.distinct().orderBy("lang", "h", "piece").collect()]
 
@@ -122,7 +122,7 @@ class LanguageModel:
                 for c, to in moves[state].items():
                     if c:
                         table[state, c] = (base + to) * CLASSES << 1
-            tables.append(table.astype(np.int32))
+            tables.append(table.astype(np.int32 if (base + n) * CLASSES << 1 < 1 << 31 else np.int64))
             self.roots.append(base * CLASSES)
             base += n
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
@@ -159,7 +159,7 @@ class LanguageModel:
         for j in range(0, len(span), 256):
             steps[:, j:j + 256] = padded[at[j:j + 256, None] + np.arange(longest)].T
         active = len(span) - np.searchsorted(span[::-1], np.arange(longest), side="right")
-        value = np.repeat(np.array(self.roots, np.int32)[:, None] << 1, len(span), axis=1)
+        value = np.repeat(np.array(self.roots, self.table.dtype)[:, None] << 1, len(span), axis=1)
         count = np.zeros_like(value)
         for t in range(longest):
             k = active[t]

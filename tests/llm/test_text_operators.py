@@ -612,6 +612,17 @@ def test_languages_by_fewest_phrases(spark, docs):
     assert language.identify_languages(docs([]), model).count() == 0
 
 
+def test_all_labels_are_learned_and_wide_steps_change_nothing(spark):
+    table = spark.createDataFrame([(i, f"ab{i} cd", f"l{i}") for i in range(520)], "doc_id long, text string, lang string")
+    assert {lang for lang, _ in language.training_sample(table)} == {f"l{i}" for i in range(520)}
+    model = language.LanguageModel([("x", "the cat and the dog"), ("y", "le chat et le chien")])
+    texts = ["the dog", "le chien et", "", "zz top"]
+    want = model.predict(texts)
+    model.table = model.table.astype("int64")
+    got = model.predict(texts)
+    assert got[0] == want[0] == ["x", "y", "und", got[0][3]] and (got[1] == want[1]).all()
+
+
 def test_phrases_are_the_longest_in_the_sample():
     sample = "the cat sat on the mat and the dog sat on the cat"
     model = language.LanguageModel([("x", sample)])
