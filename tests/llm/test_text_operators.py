@@ -577,21 +577,77 @@ def test_licence_phrases_and_chains(spark, docs):
     assert licenses.scan_licenses(docs([])).count() == 0
 
 
+def plain_runs(text, template, least):
+    """All (first, length, ends) of runs common to both that no neighbour extends, by trying every place."""
+    longest = [max(n for n in range(i + 2) if n == 0 or any(
+        template[k:k + n] == text[i + 1 - n:i + 1] for k in range(len(template) - n + 1))) for i in range(len(text))]
+    return [(i + 1 - n, n, [k + n - 1 for k in range(len(template) - n + 1) if template[k:k + n] == text[i + 1 - n:i + 1]])
+            for i, n in enumerate(longest) if n >= least and (i + 1 == len(text) or longest[i + 1] <= n)]
+
+
 def test_automaton_gives_matching_statistics():
     rng = random.Random(10)
-    templates = [("t%d" % k, prose(rng, 14, list("abcd"))) for k in range(3)]
+    templates = [("t%d" % k, prose(rng, 14, list("abcd"))) for k in range(3)] + [("same", "a b c d a b c d a b c d")]
     automaton = licenses.LicenseAutomaton(templates)
-    text = prose(rng, 200, list("abcde")).split()
-    longest = []
-    for i in range(len(text)):
-        longest.append(max((n for n in range(i + 2) for _, t in templates
-                            if n == 0 or f" {' '.join(text[i + 1 - n:i + 1])} " in f" {t} "), default=0))
-    want = {(i + 1 - n, n) for i, n in enumerate(longest) if n >= 3 and (i + 1 == len(text) or longest[i + 1] <= n)}
-    got = {(at, n) for at, n, _ in automaton.long_matches(text, 0, 3)}
-    assert got == want
-    for at, n, places in automaton.long_matches(text, 0, 3):
-        for t, end in places.items():
-            assert automaton.texts[t][end + 1 - n:end + 1] == text[at:at + n]
+    text = prose(rng, 200, list("abcde")).split() + "a b c d a b c d".split()
+    got = {t: [] for t in range(len(templates))}
+    for t, at, n, ends in automaton.runs(text, 0, 3):
+        got[t].append((at, n, ends))
+    for t, (_, template) in enumerate(templates):
+        assert got[t] == plain_runs(text, template.split(), 3)
+
+
+def test_licence_chains_take_the_best_predecessor():
+    def best_of_all(nodes, gap):
+        """Most words that any chain of nodes covers, by trying all of them."""
+        def longest(i):
+            at, end, place = nodes[i]
+            ways = [end - at]
+            for j in range(i):
+                cut = max(0, nodes[j][1] - at, nodes[j][2] - (place - end + at))
+                if nodes[j][1] >= at - gap and cut < end - at and at + cut - nodes[j][1] <= gap:
+                    ways.append(longest(j) + end - at - cut)
+            return max(ways)
+        return max(map(longest, range(len(nodes))))
+
+    rng = random.Random(12)
+    template = prose(rng, 40, list("abcdef"))
+    automaton = licenses.LicenseAutomaton([("t", template)])
+    for _ in range(60):
+        words = [rng.choice("abcdef") if rng.random() < 0.2 else w for w in template.split()]
+        nodes = [(at, at + n, end + 1) for _, at, n, ends in automaton.runs(words, 0, 3) for end in ends]
+        if nodes:
+            chains = licenses._best_chains(nodes, 8, 1)
+            assert max(c for _, _, c in chains) == best_of_all(nodes, 8)
+            assert all(a[1] <= b[0] for a, b in zip(chains, chains[1:]))
+    # A run of another place in between does not end a chain.
+    middle = licenses.LicenseAutomaton([("x", "k l m n o p q r s t u v")])
+    runs = list(middle.runs("k l m n z s t u z o p q r s t u v".split(), 0, 3))
+    assert middle.chains(runs, 8, 0.75) == [("x", 0, 17, 1.0)]
+
+
+def test_whole_licence_texts_and_templates_of_a_table(spark, docs):
+    filler = "Copyright 2020 by somebody or other, who wrote all of this by hand. " * 3
+    named = {t: licenses.TEMPLATES[t][1] for t in range(13)}
+    texts = [filler + text + " " + filler for text in named.values()]
+    texts += [" ".join([licenses.MIT, licenses.MIT]), licenses.MIT[:600], licenses.BSD_CONDITIONS[:160], licenses.MIT.replace(
+        "Software", "Program")]
+    got = {r.doc_id: r.spans for r in licenses.scan_licenses(docs(texts)).collect()}
+    for t in named:
+        assert {s.label for s in got[t]} == {licenses.TEMPLATES[t][0]} and max(s.share for s in got[t]) == 1.0
+    n = len(licenses.template_words(licenses.MIT))
+    assert [(s.label, s.first_word, s.end_word) for s in got[13]] == [("mit", 0, n), ("mit", n, 2 * n)]
+    assert {s.label for s in got[14]} == {"mit"} and {s.label for s in got[15]} == {"bsd"} and {s.label for s in got[16]} == {"mit"}
+
+    table = spark.createDataFrame([("own", "alpha beta gamma delta", 1), ("own", "alpha beta gamma delta", 2), (None, "x y z", 3),
+                                   ("no", None, 4)], "label string, text string, extra int")
+    assert licenses.read_templates(table) == (("own", "alpha beta gamma delta"),)
+    [row] = licenses.scan_licenses(docs(["so ALPHA beta, gamma delta."]), table).collect()
+    assert [(s.label, s.first_word, s.end_word, s.share) for s in row.spans] == [("own", 1, 5, 1.0)]
+    [none] = licenses.scan_licenses(docs(["alpha beta gamma"]), table.where("false")).collect()
+    assert none.spans == []
+    with pytest.raises(ValueError):
+        licenses.read_templates(table, most_chars=10)
 
 
 # --- 9 ---
