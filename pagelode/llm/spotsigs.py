@@ -73,7 +73,7 @@ def with_next(docs: DataFrame, prepare, columns: list[str], parts: int = 16_384,
 
     Ids are cut into ranges by approximate quantiles, at most ``parts`` of them; a range is a window's
     partition, and the first row of the next range stands at its end as a guest. So nothing is ordered
-    as a whole, and every text moves once.
+    as a whole, and every text moves once; ``prepare`` runs where the text has arrived.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
     ids = docs.select(_place(docs).alias("d")).where("d IS NOT NULL")
@@ -90,7 +90,7 @@ def with_next(docs: DataFrame, prepare, columns: list[str], parts: int = 16_384,
         F.col("_r").alias("_to"), F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_hh"))
     guests = marked.join(F.broadcast(after), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hh")))
     guests = guests.dropDuplicates(["_to"]).select(*docs.columns, "_h", F.col("_to").alias("_r"), F.lit(1).alias("_guest"))
-    everyone = prepare(marked.withColumn("_guest", F.lit(0)).unionByName(guests))
+    everyone = prepare(marked.withColumn("_guest", F.lit(0)).unionByName(guests).repartition("_r"))
     within = Window.partitionBy("_r").orderBy("_guest", *order)
     led = everyone.withColumn("_next", F.lead(F.struct(*columns)).over(within)).where("_guest = 0")
     return led.select(*(c for c in everyone.columns if c not in ("_h", "_r", "_guest")),
