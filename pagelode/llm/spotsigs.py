@@ -79,9 +79,10 @@ def with_next(docs: DataFrame, prepare, columns: list[str], parts: int = 16_384,
     ids = docs.select(_place(docs).alias("d")).where("d IS NOT NULL")
     m = max(1, min(parts, ids.count() // rows_per_part))
     cuts = sorted(set(ids.approxQuantile("d", [i / m for i in range(1, m)], 1 / (4 * m)))) if m > 1 else []
+    # Ranges are whole numbers: a window over doubles would not take the exchange below as its own.
     ranges = Bucketizer(splits=[-float("inf"), *(cuts or [0.0]), float("inf")], inputCol="_d", outputCol="_r")
     marked = ranges.transform(docs.withColumn("_h", F.xxhash64("text")).withColumn(
-        "_d", F.coalesce(_place(docs), F.lit(-1.7e308)))).drop("_d")
+        "_d", F.coalesce(_place(docs), F.lit(-1.7e308)))).withColumn("_r", F.col("_r").cast("int")).drop("_d")
     # Of each range the id and hash of the first row; at most as many as there are ranges.
     heads = marked.groupBy("_r").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "_h")).alias("k"))
     along = Window.orderBy("_r")
