@@ -153,14 +153,15 @@ def light_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
 
 
 def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied: dict[int, object]) -> DataFrame:
-    """(part, key, split, set, n, central): what each set puts into lists. ``copied``: the row that speaks for a frequent set.
+    """(key, part, set, n, central): what each set puts into lists. ``copied``: the row that speaks for a frequent set.
 
-    A list that the sketch expects to be long has several parts, and ``split`` is how many. ``central`` is how many frequent n-grams
-    the prefix of the set has: edited copies have rare ones of their own, what they were made from has not.
+    A list that the sketch expects to be long has several parts, numbered from 1; the only part of another list is 0.
+    ``central`` is how many frequent n-grams the prefix of the set has: edited copies have rare ones of their own, what
+    they were made from has not.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequency_classes(counts), np.maximum(1, -(-counts // LIST_ROWS)), copied))
-    names = ["part", "key", "split", "set", "n", "central"]
+    names = ["key", "part", "set", "n", "central"]
     schema = T.StructType([T.StructField(c, T.LongType()) for c in names])
 
     def keys_of(order, size):
@@ -201,9 +202,9 @@ def postings(docs: DataFrame, words: int, light: int, counts: np.ndarray, copied
             if not own:
                 continue
             keys, split, own = np.concatenate(out_keys), np.concatenate(out_parts), np.concatenate(own)
-            salt = (mixed(ids[own].view(np.uint64)) % split.astype(np.uint64)) * _SALT
+            dealt = (mixed(ids[own].view(np.uint64)) % split.astype(np.uint64)).astype(np.int64) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mixed(keys + salt).view(np.int64)), pa.array(keys.view(np.int64)), pa.array(split), pa.array(ids[own]),
+                [pa.array(keys.view(np.int64)), pa.array(np.where(split > 1, dealt, 0)), pa.array(ids[own]),
                  pa.array(sizes[own]), pa.array(central[own])], names=names)
 
     return docs.select(_row(), "text").mapInArrow(run, schema)
@@ -214,29 +215,29 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "set", "n", "pivot", "pivot_n")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], [], [], [], []]
+        columns = [[], [], [], [], []]
         for batch in batches:
             for kept, column in zip(columns, batch.columns):
                 kept.append(column.to_numpy())
         if not columns[0]:
             return
-        part, key, split, own, n, central = (np.concatenate(c) for c in columns)
-        order = np.lexsort((own, -central, part))
-        part, key, split, own, n = part[order], key[order], split[order], own[order], n[order]
-        fresh = np.ones(len(part), bool)
-        fresh[1:] = (part[1:] != part[:-1]) | (own[1:] != own[:-1])
-        part, key, split, own, n = part[fresh], key[fresh], split[fresh], own[fresh], n[fresh]
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        key, part, own, n, central = (np.concatenate(c) for c in columns)
+        order = np.lexsort((own, -central, part, key))
+        key, part, own, n = key[order], part[order], own[order], n[order]
+        begins = np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        fresh = begins | np.concatenate(([True], own[1:] != own[:-1]))
+        key, part, own, n, begins = key[fresh], part[fresh], own[fresh], n[fresh], begins[fresh]
+        first = np.flatnonzero(begins)
         size = np.diff(np.concatenate((first, [len(part)])))
         pivot = np.repeat(first, size)
         # A list in parts may have its other sets in another part.
-        keep = (np.repeat(size, size) > 1) | (split > 1)
+        keep = (np.repeat(size, size) > 1) | (part > 0)
         for i in range(0, len(part), 100_000):
             k = np.flatnonzero(keep[i:i + 100_000]) + i
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[k], own[k], n[k], own[pivot[k]], n[pivot[k]])],
                                              names=["key", "set", "n", "pivot", "pivot_n"])
 
-    return rows.repartition("part").mapInArrow(run, schema)
+    return rows.repartition("key", "part").mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
