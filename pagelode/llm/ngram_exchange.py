@@ -124,6 +124,11 @@ def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def first_of_range(keys: np.ndarray, number: int, bits: int, ranges: int) -> int:
+    """The place in sorted keys where a range begins, without a look at all of them."""
+    return int(np.searchsorted(keys, np.uint64(-(-(number << 32) // ranges) << (bits - 32))))
+
+
 def _sent(parts: DataFrame, bits: int, ranges: int) -> DataFrame:
     """What the parts send: for each kind and range the distinct n-grams, and their counts in the part's training texts."""
     schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("kind", "range", "part", "n")),
@@ -190,7 +195,7 @@ def _use(joined: DataFrame, bits: int, ranges: int, use, schema: T.StructType) -
                 counts = [part.own[WORDS].copy(), part.own[LONGER].copy()]
                 for told in batch.column("told")[i].as_py() or []:
                     kind = told["kind"]
-                    first = np.searchsorted(range_of(part.keys[kind], bits, ranges), np.uint64(told["range"]))
+                    first = first_of_range(part.keys[kind], told["range"], bits, ranges)
                     at = np.cumsum(unpacked(told["at"], told["n"]).astype(np.int64))
                     counts[kind][first + at] = unpacked(told["totals"], told["n"]).astype(np.int64)
                 c1 = counts[WORDS][part.at[WORDS]]

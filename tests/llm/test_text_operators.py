@@ -804,6 +804,15 @@ def test_exchanged_counts_give_the_scores_of_the_table_of_counts(spark, docs, mo
         assert none.tokens == 0 and all(r.score == 0 and r.n_known == 0 for r in scored.collect())
 
 
+@pytest.mark.parametrize("bits, ranges", [(33, 1), (40, 7), (64, 412), (64, 24_001)])
+def test_ranges_are_found_without_a_look_at_every_key(bits, ranges):
+    import numpy as np
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << bits, 5000, np.uint64, endpoint=False))
+    where = ngram_exchange.range_of(keys, bits, ranges)
+    for number in {*where.tolist()[::50], 0, ranges - 1}:
+        assert ngram_exchange.first_of_range(keys, number, bits, ranges) == np.searchsorted(where, np.uint64(number))
+
+
 def test_numbers_are_packed_without_loss():
     import numpy as np
     for x in ([], [0], [0, 0], [1, 255, 256, 2 ** 63, 2 ** 64 - 1], list(range(5000))):
