@@ -9,6 +9,7 @@ from pagelode.functions.binding import evaluate_once, let
 from pagelode.functions.prices import price_digits
 from pagelode.operators import detail as D
 from pagelode.operators import prices as P
+from pagelode.plans.storage import written
 
 QUERIES, SQL = {}, {}
 
@@ -221,7 +222,7 @@ def f11_validate(spark, sf_dir):
 @query(DETAILS + "SELECT url, CASE WHEN NOT has_specs THEN 'no brand' WHEN k % 11 = 0 THEN 'no model' "
        "ELSE 'valid' END AS reason FROM wide")
 def f12_validated_split(spark, sf_dir):
-    parsed = D.parse_details(R.detail_pages(spark, sf_dir))
+    parsed = written(D.parse_details(R.detail_pages(spark, sf_dir)).select(*D.CHECKED_COLUMNS))
     good = D.valid_products(parsed).select(F.col("detail_url").alias("url"), F.lit("valid").alias("reason"))
     return good.unionByName(D.invalid_products(parsed).select("url", "reason"))
 
