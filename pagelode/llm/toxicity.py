@@ -13,6 +13,8 @@ Repeated rows are scored each; ties and extra columns do not matter.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -394,6 +396,15 @@ def fit(texts: list[str], toxic: list[int], prior: float, rounds: int = 4, seed:
     return model
 
 
+def give_back_memory() -> None:
+    """Return what training has freed to the system: the C library keeps it, and the driver goes on with other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+    if trim is not None:
+        trim(0)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int,
                   chars: int) -> tuple[list[str], list[int], float]:
     """At most ``rows`` labelled texts, half of each kind, each of at most ``chars`` characters; and the share of toxic.
@@ -416,7 +427,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int,
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = 2560, chars: int = 6000) -> ToxicityModel:
     """A model of ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``); see ``training_rows``."""
-    return fit(*training_rows(docs, labels, rows, chars))
+    model = fit(*training_rows(docs, labels, rows, chars))
+    give_back_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str, name: str = "toxicity") -> DataFrame:

@@ -32,3 +32,17 @@ def classes_of(docs):
 
 def test_the_pipeline_is_registered():
     assert "pipeline" in corpus_pipeline.QUERIES and len(QUERIES) == 13
+
+
+def test_training_gives_its_memory_back():
+    """Many blocks that the C library keeps, with one in use above them."""
+    import numpy as np
+
+    from pagelode.llm.toxicity import give_back_memory
+    rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+    blocks = [np.ones(12_000) for _ in range(2_000)]  # 192 MB
+    last = np.ones(12_000)
+    held = rss()
+    del blocks
+    give_back_memory()
+    assert rss() < held - 120 and last.sum() == 12_000
