@@ -4,6 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from catalog_queries import render as R
 from pagelode import schema as S
 from pagelode.operators import detail as D
 from pagelode.operators import enrich as E
@@ -15,6 +16,7 @@ from pagelode.plans.storage import StoredStages, shared_folder, written
 from pagelode.sinks import export as K
 from pagelode.sources import captures as C
 from pagelode.sources import pages as P
+from pagelode.streaming import state as T
 from pagelode.streaming.pages import append_stream, stream_pages
 
 SITE = "https://shop.example.com"
@@ -458,3 +460,60 @@ def test_scans_read_what_they_need(spark, archive, tmp_path):
     assert "ReadSchema: struct<url:string,kind:string,status_code:int,html:string>" in plan
     listing = explained(L.listing_pages(W._of_catalogue(stored, BASE)))
     assert "EqualTo(kind,listing)" in listing and "StringStartsWith(url,https://shop.example.com/list)" in listing
+
+
+def parts(spark, path, n=60):
+    """A ``part`` table of a few rows for the queries that render pages."""
+    spark.range(n).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "concat('Brand#', id % 5) AS p_brand",
+                              "'TYPE' AS p_type", "cast(id % 50 AS int) AS p_size", "900.5 + id AS p_retailprice").write.parquet(
+        f"{path}/part.parquet")
+    return str(path)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tasks_share_a_batch_of_one_file(spark, tmp_path):
+    pages = R.detail_pages(spark, parts(spark, tmp_path))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/in")
+    marked = lambda rows: rows.select("url", F.spark_partition_id().alias("task"))
+    append_stream(stream_pages(spark, f"{tmp_path}/in", 1), marked, f"{tmp_path}/out", f"{tmp_path}/cp", tasks=3).awaitTermination()
+    tables = T.BatchTables(spark, f"{tmp_path}/kept")
+    T.keep_batches(stream_pages(spark, f"{tmp_path}/in", 1), {"rows": marked}, tables, f"{tmp_path}/cp2", tasks=3).awaitTermination()
+    for got in (spark.read.parquet(f"{tmp_path}/out"), tables.rows("rows")):
+        assert got.select("task").distinct().count() == 3
+        assert sorted(r.url for r in got.collect()) == sorted(r.url for r in pages.collect())
+
+
+def test_f12_parses_pages_once(spark, tmp_path):
+    from catalog_queries.detail_queries import QUERIES
+    split = QUERIES["f12_validated_split"](spark, parts(spark, tmp_path))
+    assert "product-specs" not in plan_of(split)[0]  # both sides read the parsed rows
+    reason = lambda k: "no brand" if k % 17 == 0 else "no model" if k % 11 == 0 else "valid"
+    assert {r.url.rsplit("-", 1)[1]: r.reason for r in split.collect()} == {
+        str(k): reason(k) for k in range(60) if k % 19}
+
+
+def test_urls_of_good_captures_need_no_page_text(spark):
+    page = lambda url, status, day, html="<p>": (url, None, "detail", status, html, datetime(2025, 1, day))
+    pages = spark.createDataFrame(
+        [page("a", 200, 1), page("a", 404, 2), page("b", 404, 1), page(" b\n", 200, 2), page("c", 200, 1), page("c", 200, 1),
+         page("d", None, 3), page("d", 200, 1), page(None, 200, 1), ("e", 1, "listing", 200, "", datetime(2025, 1, 1))], S.PAGE_SCHEMA)
+    got = W.parsed_urls(pages)
+    assert "html" not in plan_of(got.where("detail_url <> 'x'"))[0].split("LogicalRDD")[0]
+    want = sorted(str(r.detail_url) for r in W.product_details(pages).collect())
+    assert sorted(str(r.detail_url) for r in got.collect()) == want == ["None", "b", "c"]
+
+
+def test_l3_sends_no_pages_to_the_driver(spark, tmp_path):
+    from catalog_queries.listing_queries import QUERIES
+    assert "Broadcast" not in plan_of(QUERIES["l3_source_precedence"](spark, parts(spark, tmp_path)))[1]
+
+
+def test_long_texts_are_no_missing_values(spark):
+    from pagelode.functions.text import missing_to_null
+    texts = ["N/A", "na", "NOT Available", "-", "", "not available!", "a longer text than any token", "x", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", missing_to_null(F.col("t")).alias("v"))
+    assert [r.v for r in rows.collect()] == [None] * 5 + texts[5:]
+    assert "char_length" in plan_of(rows)[0] or "length(t" in plan_of(rows)[0]
