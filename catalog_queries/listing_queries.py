@@ -196,7 +196,7 @@ def l3_source_precedence(spark, sf_dir):
     """Pages that have both, a catalogue and the same page's anchors: the catalogue counts, and anchors where it is empty."""
     anchors = R.anchor_pages(spark, sf_dir)
     both = R.catalogue_pages(spark, sf_dir).alias("c").join(
-        anchors.select("url", F.col("html").alias("more")), "url").select(
+        anchors.select("url", F.col("html").alias("more")).hint("merge"), "url").select(
         *[F.concat("html", "more").alias("html") if c == "html" else c for c in anchors.columns])
     # Records of a catalogue tell of availability, anchors do not.
     rows = lambda pages, name: L.explode_products(L.listing_pages(pages)).select(
