@@ -74,7 +74,7 @@ def j1_enrichment(spark, sf_dir):
 @query(BOTH + "SELECT l.detail_url AS url, 'network_errors' AS error_type, 'no detail page' AS reason "
        "FROM firsts l WHERE l.detail_url NOT IN (SELECT url FROM wide)")
 def j2_unmatched(spark, sf_dir):
-    return E.unmatched(all_products(spark, sf_dir), all_details(spark, sf_dir))
+    return E.unmatched(all_products(spark, sf_dir), W.parsed_urls(R.detail_pages(spark, sf_dir)))
 
 
 @query(BOTH + f"SELECT {ENRICHED}, d.url IS NULL AS skeleton FROM firsts l LEFT JOIN wide d "
@@ -401,18 +401,18 @@ def t1_stream_of_pages(spark, sf_dir):
     out = scratch(spark)
     R.detail_pages(spark, sf_dir).write.parquet(f"{out}/pages")
     append_stream(stream_pages(spark, f"{out}/pages", files_per_batch=2), D.long_specs,
-                  f"{out}/specs", f"{out}/state").awaitTermination()
+                  f"{out}/specs", f"{out}/state", tasks=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.parquet(f"{out}/specs").select("url", "field", "value")
 
 
-def streamed_twice(spark, rows, steps, files=5):
+def streamed_twice(spark, rows, steps, files=5, tasks=None):
     """Rows as a stream of files, a micro-batch each; then all batches once more, as after a lost checkpoint."""
     out = scratch(spark)
     rows.repartition(files).write.parquet(f"{out}/in")
     tables = T.BatchTables(spark, f"{out}/kept")
     for attempt in (1, 2):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-        T.keep_batches(stream, steps, tables, f"{out}/state{attempt}").awaitTermination()
+        T.keep_batches(stream, steps, tables, f"{out}/state{attempt}", tasks=tasks).awaitTermination()
     return tables
 
 
@@ -439,6 +439,7 @@ def t2_stream_walk(spark, sf_dir):
     """A walk over pages that a stream brings in any order, among them older captures without products."""
     pages = R.catalogue_pages(spark, sf_dir)
     older = pages.withColumn("html", F.lit("<p>soon</p>")).withColumn("fetched_at", F.to_timestamp(F.lit("2001-01-01 00:00:00")))
-    tables = streamed_twice(spark, pages.unionByName(older), {"pages": T.listing_step(L.listing_pages)})
+    tables = streamed_twice(spark, pages.unionByName(older), {"pages": T.listing_step(L.listing_pages)},
+                            tasks=spark.sparkContext.defaultParallelism)
     tables.merge("pages", 2, T.newest_pages)
     return T.walked_pages(tables, "pages").select(F.col("url").alias("page_url"), "page_no", "products")

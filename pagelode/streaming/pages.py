@@ -20,12 +20,20 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
+def spread(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows dealt to ``tasks`` tasks; as they are without a number.
+
+    A micro-batch of few files has few tasks, and parsing a page costs far more than moving its text.
+    """
+    return rows if tasks is None else rows.repartition(tasks)
+
+
 def append_stream(pages: DataFrame, step: Callable[[DataFrame], DataFrame], out: str,
-                  checkpoint: str, available_now: bool = True) -> StreamingQuery:
+                  checkpoint: str, available_now: bool = True, tasks: int | None = None) -> StreamingQuery:
     """Run a per-page step over a stream of pages and append its rows as Parquet.
 
-    ``checkpoint`` is a folder that all machines share.
+    ``checkpoint`` is a folder that all machines share. ``tasks`` share the pages of a batch, where its files are fewer.
     """
-    writer = (step(pages).writeStream.format("parquet").outputMode("append")
+    writer = (step(spread(pages, tasks)).writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint))
     return (writer.trigger(availableNow=True) if available_now else writer).start(out)

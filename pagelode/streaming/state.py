@@ -17,6 +17,7 @@ from pagelode.operators import pagination as G
 from pagelode.operators import stats as A
 from pagelode.plans.storage import path_exists
 from pagelode.sources.pages import latest_captures
+from pagelode.streaming.pages import spread
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -67,11 +68,15 @@ class BatchTables:
 
 
 def keep_batches(stream: DataFrame, steps: dict[str, Step], tables: BatchTables, checkpoint: str,
-                 available_now: bool = True) -> StreamingQuery:
-    """Run ``steps`` on every micro-batch of a stream and keep what they give, by table and batch."""
+                 available_now: bool = True, tasks: int | None = None) -> StreamingQuery:
+    """Run ``steps`` on every micro-batch of a stream and keep what they give, by table and batch.
+
+    ``tasks`` share the rows of a batch, where its files are fewer.
+    """
     def handle(batch: DataFrame, number: int) -> None:
+        rows = spread(batch, tasks)
         for name, step in steps.items():
-            tables.put(name, number, step(batch))
+            tables.put(name, number, step(rows))
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
