@@ -45,8 +45,12 @@ def clean_text(text: Column) -> Column:
 
 
 def missing_to_null(text: Column) -> Column:
-    """Null for the missing-value tokens, in any case."""
-    return F.when(~F.lower(text).isin(*S.MISSING_TOKENS), text)
+    """Null for the missing-value tokens, in any case.
+
+    Lower case is costly and never shorter, so texts longer than every token are spared it.
+    """
+    longest = max(len(t) for t in S.MISSING_TOKENS)
+    return F.when((F.char_length(text) > longest) | ~F.lower(text).isin(*S.MISSING_TOKENS), text)
 
 
 def normalize_boolean(text: Column) -> Column:
